@@ -1,0 +1,5 @@
+"""The reference has no streaming operator, so none is built.
+
+Row-local rule checks (`rowlens.operators.rules.check_rows`) are narrow projections and
+accept a streaming DataFrame as they are.
+"""
