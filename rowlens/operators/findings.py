@@ -88,7 +88,7 @@ def reinforced(finding_columns: DataFrame) -> DataFrame:
     pairs = finding_columns.select("finding_key", "internal_key").distinct()
     counts = pairs.groupBy("internal_key").agg(F.count(F.lit(1)).alias("n"))
     return (
-        pairs.join(counts, "internal_key")
+        pairs.join(F.broadcast(counts), "internal_key")  # one row per column of the table
         .groupBy("finding_key")
         .agg(F.bool_or(F.col("n") >= 2).alias("is_reinforced"))
     )
