@@ -144,26 +144,24 @@ def matched_families(normalized: Column) -> Column:
 
 
 def subtypes(families: Column) -> Column:
-    """FN-16."""
-    mapping = F.create_map(*[F.lit(x) for kv in FAMILY_SUBTYPE.items() for x in kv])
-    return F.array_distinct(
-        F.transform(
-            families,
-            lambda f: F.coalesce(F.try_element_at(mapping, f), F.lit(SUBTYPES[0])),
-        )
-    )
+    """FN-16: the subtypes of a families column, in report order."""
+    special = F.array(*[F.lit(f) for f in FAMILY_SUBTYPE])
+    marks = [F.when(F.size(F.array_except(families, special)) > 0, F.lit(SUBTYPES[0]))]
+    for name in SUBTYPES[1:]:
+        family = next(f for f, s in FAMILY_SUBTYPE.items() if s == name)
+        marks.append(F.when(F.array_contains(families, family), F.lit(name)))
+    return F.array_compact(F.array(*marks))
 
 
 def excerpt(normalized: Column) -> Column:
     """FN-17: cut at the earliest heightened phrase, mask, bound."""
-    lengths = [
-        F.nullif(
-            F.length(F.regexp_extract(normalized, f"(?isU)^(.*?(?:{p}))", 1)), F.lit(0)
-        )
-        for family in HEIGHTENED
-        for p in FAMILIES[family]
-    ]
-    cut = F.coalesce(F.least(*lengths), F.length(normalized))
+    ends = []
+    for family in HEIGHTENED:
+        for p in FAMILIES[family]:
+            found = F.regexp_substr(normalized, F.lit(f"(?iU){p}"))
+            before = F.element_at(F.split(normalized, f"(?iU){p}", 2), 1)
+            ends.append(F.length(before) + F.length(found))
+    cut = F.coalesce(F.least(*ends), F.length(normalized))
     kept = F.substring(normalized, F.lit(1), cut)
     for mask in MASKS:
         kept = F.regexp_replace(kept, mask, MASK_TEXT)

@@ -129,10 +129,9 @@ class Detection:
             marks = F.array_compact(
                 F.array(*[F.when(predicate, F.lit(key)) for key, predicate in flags])
             )
+            # explode drops rows without a mark; the marks are evaluated once per row
             frames.append(
-                self.ctx.table.df.select(ROW_NUMBER, marks.alias("keys"))
-                .where(F.size("keys") > 0)
-                .select(F.explode("keys").alias("finding_key"), ROW_NUMBER)
+                self.ctx.table.df.select(F.explode(marks).alias("finding_key"), ROW_NUMBER)
             )
         if not frames:
             return self.spark.createDataFrame([], f"finding_key string, {ROW_NUMBER} bigint")

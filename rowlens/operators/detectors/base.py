@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.functions import security, text
+from rowlens.functions.once import where_once
 from rowlens.operators.profile import TEXT_FAMILY, Profile
 from rowlens.operators.table import ColumnRef
 from rowlens.sources.rownum import ROW_NUMBER
@@ -181,8 +182,9 @@ class Context:
             self.text_values(*TEXT_FAMILY)
             .select("ordinal", "n", "first_row", "value", security.normalize(F.col("value")).alias("plain"))
             .withColumn("families", security.matched_families(F.col("plain")))
-            .where(F.size("families") > 0)
-            .withColumn("subtypes", security.subtypes(families))
+        )
+        matched = where_once(matched, F.size("families") > 0).withColumn(
+            "subtypes", security.subtypes(families)
         )
         rows = matched.groupBy("ordinal").agg(
             F.sum("n").alias("rows"),

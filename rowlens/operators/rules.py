@@ -305,11 +305,8 @@ def row_rule_failures(table: Table, rules: list[Rule]) -> DataFrame:
                 F.struct(F.lit(rule.rule_id).alias("rule_id"), reason.alias("reason")),
             )
         )
-    failed = (
-        table.df.select(ROW_NUMBER, F.array_compact(F.array(*marks)).alias("failed"))
-        .where(F.size("failed") > 0)
-        .select(ROW_NUMBER, F.inline("failed"))
-    )
+    # inline drops rows without a failure; the marks are evaluated once per row
+    failed = table.df.select(ROW_NUMBER, F.inline(F.array_compact(F.array(*marks))))
     rank = F.row_number().over(W.partitionBy("rule_id").orderBy(ROW_NUMBER))
     return (
         failed.withColumn("position", rank)
