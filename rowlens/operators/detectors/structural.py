@@ -197,6 +197,19 @@ def parse_failure_verdict(facts: dict, config: dict) -> dict | None:
     }
 
 
+def parse_failure_frame(
+    facts: DataFrame, row_ratio_threshold: float = 0.05, minimum_count: int = 5
+) -> DataFrame:
+    """DET-23's row measure for a table of ingest facts, one row per dataset."""
+    ratio = F.least(F.col("ragged_row_count") / F.col("row_count"), F.lit(1.0))
+    hit = (F.col("ragged_row_count") >= minimum_count) & (ratio >= row_ratio_threshold)
+    return facts.where((F.col("row_count") > 0) & hit).select(
+        "dataset",
+        F.when(ratio >= HIGH_SHARE, "high").otherwise("medium").alias("severity"),
+        F.round(ratio, 4).alias("ragged_row_ratio"),
+    )
+
+
 def _parse_failures(ctx: Context, config: dict) -> Outcome:
     out = Outcome()
     verdict = parse_failure_verdict(ctx.facts, config)

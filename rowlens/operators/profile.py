@@ -150,32 +150,45 @@ class Profile:
         )
 
 
-def duplicate_candidates(table: Table) -> tuple[DataFrame, list[str]]:
+def _duplicate_candidates(table: Table) -> tuple[DataFrame, list[str]]:
     """Rows whose 64-bit row hash occurs more than once; only hashes are shuffled to find them."""
     fields = [c.field for c in table.columns]
     hashed = table.df.select(ROW_NUMBER, *fields, F.xxhash64(*fields).alias("_hash"))
-    repeated = (
-        hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1)
+    repeated = materialize(
+        hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1),
+        "hashes",
+    )
+    return (
+        skew_safe_join(hashed, repeated, ["_hash"], "_copies", table.row_count).drop("_copies"),
+        fields,
     )
-    return skew_safe_join(hashed, repeated, ["_hash"], "_copies", table.row_count), fields
+
+
+def _duplicates(table: Table) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(candidate rows, exact groups, fields), each written once per table."""
+    if "duplicates" not in table.stored:
+        candidates, fields = _duplicate_candidates(table)
+        candidates = materialize(candidates, "candidates")
+        groups = materialize(
+            candidates.groupBy("_hash", *fields)
+            .agg(F.count(F.lit(1)).alias("copies"), F.min(ROW_NUMBER).alias("first_row"))
+            .where(F.col("copies") > 1),
+            "copies",
+        )
+        table.stored["duplicates"] = (candidates, groups, fields)
+    return table.stored["duplicates"]
 
 
 def duplicate_groups(table: Table) -> DataFrame:
     """AGG-20 / DET-01: exact full-row groups with more than one member."""
-    candidates, fields = duplicate_candidates(table)
-    return (
-        candidates.groupBy("_hash", *fields)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(ROW_NUMBER).alias("first_row"))
-        .where(F.col("copies") > 1)
-    )
+    return _duplicates(table)[1]
 
 
 def duplicate_members(table: Table) -> DataFrame:
     """Every row of every duplicate group."""
-    candidates, fields = duplicate_candidates(table)
-    groups = duplicate_groups(table).select("_hash", *fields, "copies")
+    candidates, groups, fields = _duplicates(table)
     return skew_safe_join(
-        candidates.drop("_copies"), groups, ["_hash", *fields], "copies", table.row_count
+        candidates, groups.drop("first_row"), ["_hash", *fields], "copies", table.row_count
     ).select(ROW_NUMBER, "copies")
 
 
@@ -295,7 +308,8 @@ def compute_profile(
     """AGG-23. The frequency table is written once; every metric reads only the columns it needs."""
     as_of = as_of or dt.date.today()
     if vf is None:
-        vf = materialize(value_frequencies(table), "vf")
+        # sorted by column, so that a later read of some columns skips the others' row groups
+        vf = materialize(value_frequencies(table).sortWithinPartitions("ordinal"), "vf")
     counts = {r.ordinal: r for r in type_counts(vf).collect()}
     columns = []
     for ref in table.columns:

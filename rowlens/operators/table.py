@@ -73,6 +73,7 @@ class Table:
         self.df = df
         self.columns = columns
         self.facts = facts  # ingest facts, when the source recorded them
+        self.stored: dict = {}  # intermediate tables several operators read
 
     @classmethod
     def from_dataframe(
