@@ -24,57 +24,50 @@ MONTHS = (
     "july", "august", "september", "october", "november", "december",
 )
 
-_PATTERNS = {
+_YEAR_FIRST = {
     "iso_year_month_day": r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$",
     "slash_year_first": r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$",
-    "slash_numeric": r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$",
-    "dot_numeric": r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$",
-    "dash_numeric": r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$",
-    "day_month_name_year": r"^([0-9]{1,2}) ([A-Za-z]{3,9}) ([0-9]{4})$",
-    "month_name_day_year": r"^([A-Za-z]{3,9}) ([0-9]{1,2}),? ([0-9]{4})$",
+}
+_YEAR_LAST = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{4})$"
+_SEPARATORS = {"/": "slash_numeric", ".": "dot_numeric", "-": "dash_numeric"}
+_NAMED = {
+    "day_month_name_year": (r"^([0-9]{1,2}) ([A-Za-z]{3,9}) ([0-9]{4})$", "$1", "$2", "$3"),
+    "month_name_day_year": (r"^([A-Za-z]{3,9}) ([0-9]{1,2}),? ([0-9]{4})$", "$2", "$1", "$3"),
 }
 
 
-def valid_ymd(year: Column, month: Column, day: Column) -> Column:
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    last = (
-        F.when(month == 2, F.when(leap, 29).otherwise(28))
-        .when(month.isin(4, 6, 9, 11), 30)
-        .otherwise(31)
-    )
-    return (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last)
+def _real(ymd: Column) -> Column:
+    """Is a `year-month-day` text a real date? Year 0 is not a year."""
+    return ymd.try_cast("date").isNotNull() & ~ymd.startswith("0000")
 
 
-def _month_number(name: Column) -> Column:
-    number = F.lit(None).cast("int")
+def _month(name: Column) -> Column:
+    """Month number text of an English name, its three-letter form or `sept`; else null."""
     low = F.lower(name)
-    for i, month in reversed(list(enumerate(MONTHS, start=1))):
-        spellings = [month, month[:3]] + (["sept"] if month == "september" else [])
-        number = F.when(low.isin(*spellings), i).otherwise(number)
-    return number
+    spellings = [*MONTHS, *[m[:3] for m in MONTHS], "sept"]
+    place = F.instr(F.lit("".join(m[:3] for m in MONTHS)), F.substring(low, 1, 3))
+    return F.when(low.isin(*spellings), F.floor((place + 2) / 3).cast("string"))
 
 
 def date_family(c: Column) -> Column:
-    s = strip(c)
-
-    def part(family: str, i: int) -> Column:
-        return F.regexp_extract(s, _PATTERNS[family], i)
+    """The form of a date-like text, null when it is no real date in any of them.
 
-    def num(family: str, i: int) -> Column:
-        return part(family, i).try_cast("int")
-
-    result = None
-    for family in DATE_FAMILIES:
-        if family in ("iso_year_month_day", "slash_year_first"):
-            ok = valid_ymd(num(family, 1), num(family, 2), num(family, 3))
-        elif family == "day_month_name_year":
-            ok = valid_ymd(num(family, 3), _month_number(part(family, 2)), num(family, 1))
-        elif family == "month_name_day_year":
-            ok = valid_ymd(num(family, 3), _month_number(part(family, 1)), num(family, 2))
-        else:
-            a, b, y = num(family, 1), num(family, 2), num(family, 3)
-            ok = valid_ymd(y, b, a) | valid_ymd(y, a, b)
-        branch = s.rlike(_PATTERNS[family])
-        value = F.when(F.coalesce(ok, F.lit(False)), family)
-        result = F.when(branch, value) if result is None else result.when(branch, value)
+    Numeric forms with the year last count when either day-month order gives a real date.
+    """
+    s = strip(c)
+    result = F
+    for family, pattern in _YEAR_FIRST.items():
+        ymd = F.regexp_replace(s, pattern, "$1-$2-$3")
+        result = result.when(s.rlike(pattern), F.when(_real(ymd), family))
+    either = _real(F.regexp_replace(s, _YEAR_LAST, "$4-$3-$1")) | _real(
+        F.regexp_replace(s, _YEAR_LAST, "$4-$1-$3")
+    )
+    for separator, family in _SEPARATORS.items():
+        result = result.when(s.rlike(_YEAR_LAST) & s.contains(separator), F.when(either, family))
+    for family, (pattern, day, month, year) in _NAMED.items():
+        number = _month(F.regexp_replace(s, pattern, month))
+        ymd = F.concat_ws(
+            "-", F.regexp_replace(s, pattern, year), number, F.regexp_replace(s, pattern, day)
+        )
+        result = result.when(s.rlike(pattern), F.when(number.isNotNull() & _real(ymd), family))
     return result

@@ -276,7 +276,8 @@ def navigate(scored: DataFrame) -> DataFrame:
     block = 100_000
     blocked = listed.withColumn("block", F.floor(F.col("position") / block))
     inside = W.partitionBy("block").orderBy("position")
-    later = inside.rowsBetween(1, W.unboundedFollowing)
+    # read backwards, the nearest later finding is the last one seen
+    later = W.partitionBy("block").orderBy(F.desc("position")).rowsBetween(W.unboundedPreceding, -1)
     open_key = F.when(F.col("review_state") == "unreviewed", F.col("finding_key"))
     firsts = blocked.groupBy("block").agg(
         F.min_by("finding_key", F.when(F.col("review_state") == "unreviewed", F.col("position"))).alias("first_open"),
@@ -288,14 +289,14 @@ def navigate(scored: DataFrame) -> DataFrame:
         "block",
         F.lag("last_key").over(over_blocks).alias("before_block"),
         F.lead("first_key").over(over_blocks).alias("after_block"),
-        F.first("first_open", ignorenulls=True)
-        .over(over_blocks.rowsBetween(1, W.unboundedFollowing))
+        F.last("first_open", ignorenulls=True)
+        .over(W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1))
         .alias("open_after_block"),
     )
     return (
         blocked.withColumn("_prev", F.lag("finding_key").over(inside))
         .withColumn("_next", F.lead("finding_key").over(inside))
-        .withColumn("_open", F.first(open_key, ignorenulls=True).over(later))
+        .withColumn("_open", F.last(open_key, ignorenulls=True).over(later))
         .join(edges, "block")
         .select(
             "finding_key",
