@@ -45,7 +45,7 @@ def seen_before(runs: DataFrame, content_sha256: str, filename: str) -> DataFram
     def notice(frame: DataFrame, kind: str, rank: int) -> DataFrame:
         return frame.agg(
             F.count(F.lit(1)).alias("matches"),
-            F.min_by("analysis_id", F.struct(-F.unix_micros("created_at"), "analysis_id")).alias("latest"),
+            F.min_by("analysis_id", F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "analysis_id")).alias("latest"),
         ).where(F.col("matches") > 0).select(
             F.lit(kind).alias("kind"), "matches", "latest", F.lit(rank).alias("_rank")
         )

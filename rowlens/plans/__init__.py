@@ -1 +1,4 @@
 """Composed plans: the whole analysis, its stored tables, rule exports and the report."""
+from rowlens.plans.analysis import Analysis, analyze
+
+__all__ = ["Analysis", "analyze"]
