@@ -55,7 +55,8 @@ def date_family(c: Column) -> Column:
     Numeric forms with the year last count when either day-month order gives a real date.
     """
     s = strip(c)
-    result = F
+    # Every form is short and starts or ends with a four-digit year.
+    result = F.when(~s.rlike(r"^(?=.{8,18}$)(?:[0-9]{4}[-/]|.*[ /.-][0-9]{4}$)"), F.lit(None))
     for family, pattern in _YEAR_FIRST.items():
         ymd = F.regexp_replace(s, pattern, "$1-$2-$3")
         result = result.when(s.rlike(pattern), F.when(_real(ymd), family))

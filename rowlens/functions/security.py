@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlens.functions.text import SPACE_CLASS, strip
+from rowlens.functions.text import collapse_spaces, strip
 
 # The coarse profiling pattern.
 INSTRUCTION_LIKE = (
@@ -76,6 +76,12 @@ FAMILIES: dict[str, tuple[str, ...]] = {
         r"(data|dataset|records|rows|information)\b",
     ),
 }
+# The words a phrase can open with.
+OPENING_WORDS = (
+    "ignore disregard reveal show print display you act pretend do don claim say state output "
+    "respond answer only disclose share give tell provide paste send email return list dump "
+    "expose leak hand read what post upload export mail forward transmit copy sync stream exfiltrate"
+).split()
 HEIGHTENED = ("disclose_secrets", "exfiltrate_data")
 
 # Subtypes in report order, and the families that are not plain injection.
@@ -96,11 +102,12 @@ MASKS = (
 MASK_TEXT = "[redacted]"
 EXCERPT_LENGTH = 80
 
-# Characters NFKC leaves alone and that are not invisible format characters:
-# ASCII, Latin-1 letters and stable signs, and common typographic punctuation.
+# A character folding may change or drop: neither ASCII nor one of the characters listed here,
+# which NFKC leaves alone and which are no format characters (Latin-1 letters and stable signs,
+# common typographic punctuation). The plain range is tried first, so ASCII costs one comparison.
 _FOLD_RISK = (
-    r"[^\x{0}-\x{7f}\x{a1}-\x{a7}\x{a9}\x{ab}\x{ac}\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}"
-    r"\x{bf}-\x{ff}\x{2012}-\x{2016}\x{2018}-\x{2023}]"
+    r"[^\x{0}-\x{7f}](?<![\x{a1}-\x{a7}\x{a9}\x{ab}\x{ac}\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}"
+    r"\x{bf}-\x{ff}\x{2012}-\x{2016}\x{2018}-\x{2023}])"
 )
 
 
@@ -121,9 +128,9 @@ def _fold(c: Column) -> Column:
 def normalize(c: Column, raw_limit: int | None = None, limit: int | None = None) -> Column:
     """FN-14. Limits are optional guards: by default the whole text is kept."""
     raw = F.substring(c, 1, raw_limit) if raw_limit else c
-    risky = raw.rlike(_FOLD_RISK)
-    folded = F.when(risky, _fold(F.when(risky, raw))).otherwise(raw)
-    flat = strip(F.regexp_replace(folded, f"[{SPACE_CLASS}]+", " "))
+    ascii_only = F.octet_length(raw) == F.length(raw)
+    folded = F.coalesce(_fold(F.when(~ascii_only & raw.rlike(_FOLD_RISK), raw)), raw)
+    flat = strip(collapse_spaces(folded))
     return F.substring(flat, 1, limit) if limit else flat
 
 
@@ -136,6 +143,17 @@ def family_match(normalized: Column, family: str) -> Column:
     return normalized.rlike("(?iU)" + "|".join(f"(?:{p})" for p in FAMILIES[family]))
 
 
+def any_match(normalized: Column) -> Column:
+    """Does any family match? One pattern, so one pass over the text.
+
+    Every phrase opens with one of a few words; looking for their first letters at a word
+    boundary skips most positions before any phrase is tried.
+    """
+    openings = "|".join(sorted({word[:3] for word in OPENING_WORDS}))
+    patterns = "|".join(f"(?:{p})" for family in FAMILIES.values() for p in family)
+    return normalized.rlike(f"(?iU)\\b(?={openings})(?:{patterns})")
+
+
 def matched_families(normalized: Column) -> Column:
     """FN-15: the names of the families a normalized text matches."""
     return F.array_compact(

@@ -22,6 +22,8 @@ WHITESPACE = "".join(
 )
 SPACE_CLASS = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE)
 
+SPACE_CLASS_BUT_BLANK = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE if ch != " ")
+
 # The tokens type inference reads as boolean.
 BOOLEAN_TOKENS = ("true", "false", "yes", "no")
 
@@ -66,6 +68,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def collapse_spaces(c: Column) -> Column:
+    """Every run of white space becomes one space. A single space is no match, so ordinary text
+    is hardly rewritten."""
+    return F.regexp_replace(
+        c, f"[{SPACE_CLASS_BUT_BLANK}][{SPACE_CLASS}]*| [{SPACE_CLASS}]+", " "
+    )
+
+
 def is_missing(c: Column) -> Column:
     """FN-01: null or the empty string."""
     return c.isNull() | (c == "")
@@ -191,7 +201,7 @@ def compare(left: Column, operator: str, right: Column) -> Column:
 
 def markdown(c: Column, limit: int = 300) -> Column:
     """FN-19: white space collapsed, bounded, and Markdown characters escaped."""
-    flat = strip(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
+    flat = strip(collapse_spaces(c))
     bounded = F.when(
         F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))
     ).otherwise(flat)

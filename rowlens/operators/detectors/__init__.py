@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ CATALOGUE: tuple[Detector, ...] = (
     observations.CONCENTRATED_MISSING,
 )
 BY_ID = {d.id: d for d in CATALOGUE}
+CONCURRENT_DETECTORS = 6
 RANK = {d.id: i for i, d in enumerate(CATALOGUE)}
 FINDING_ORDER = ["detector_rank", "first_ordinal", "group_position", "group_text"]
 
@@ -130,8 +133,9 @@ class Detection:
                 F.array(*[F.when(predicate, F.lit(key)) for key, predicate in flags])
             )
             # explode drops rows without a mark; the marks are evaluated once per row
+            rows = self.ctx.table.df.select("*", *self._all("prepared"))
             frames.append(
-                self.ctx.table.df.select(F.explode(marks).alias("finding_key"), ROW_NUMBER)
+                rows.select(F.explode(marks).alias("finding_key"), ROW_NUMBER)
             )
         if not frames:
             return self.spark.createDataFrame([], f"finding_key string, {ROW_NUMBER} bigint")
@@ -183,44 +187,34 @@ def run_detectors(
     config: dict[str, dict] | None = None,
 ) -> Detection:
     """DET-27: input gating, merged and checked configuration, isolated failures, timing."""
-    runs: list[dict] = []
-    outcomes: list[Outcome] = []
-
-    def record(d: Detector, status: str, warning=None, error=None, started=None, ran=False):
-        took = round((time.perf_counter() - started) * 1000) if started else 0
-        runs.append(
-            {
-                "detector_id": d.id,
-                "version": d.version,
-                "status": status,
-                "warning": warning,
-                "error": error,
-                "duration_ms": took,
-                "ran": ran,
-            }
-        )
-
-    for d in detectors:
+    def attempt(d: Detector) -> tuple[dict, Outcome | None]:
+        record = {
+            "detector_id": d.id, "version": d.version, "status": "success", "warning": None,
+            "error": None, "duration_ms": 0, "ran": False,
+        }
         if d.needs_facts and ctx.facts is None:
-            record(d, "skipped", warning="detector.skipped_ingest_facts_absent")
-            continue
+            record.update(status="skipped", warning="detector.skipped_ingest_facts_absent")
+            return record, None
         merged = {**d.defaults, **(config or {}).get(d.id, {})}
+        started = time.perf_counter()
+        outcome = None
         try:
             unknown = set(merged) - set(d.defaults)
             if unknown:
                 raise ValueError(f"unknown configuration: {sorted(unknown)}")
             if d.check:
                 d.check(merged)
-        except (ValueError, TypeError) as error:
-            record(d, "failed", error=type(error).__name__)
-            continue
-        started = time.perf_counter()
-        try:
             outcome = d.run(ctx, merged)
         except Exception as error:  # one detector's failure never stops the others
-            record(d, "failed", error=type(error).__name__, started=started)
-            continue
-        outcomes.append(outcome)
-        warning = outcome.warnings[0][0] if outcome.warnings else None
-        record(d, "success", warning=warning, started=started, ran=True)
-    return Detection(ctx, runs, outcomes)
+            record.update(status="failed", error=type(error).__name__)
+        else:
+            record.update(
+                ran=True, warning=outcome.warnings[0][0] if outcome.warnings else None
+            )
+        record["duration_ms"] = round((time.perf_counter() - started) * 1000)
+        return record, outcome
+
+    # Most detectors are one small job, so several are submitted at a time.
+    with ThreadPoolExecutor(CONCURRENT_DETECTORS) as pool:
+        results = list(pool.map(inheritable_thread_target(ctx.table.spark)(attempt), detectors))
+    return Detection(ctx, [r for r, _ in results], [o for _, o in results if o is not None])

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ class Outcome:
     findings: list[dict] = field(default_factory=list)
     finding_frames: list[DataFrame] = field(default_factory=list)
     flags: list[tuple[str, Column]] = field(default_factory=list)
+    prepared: list[Column] = field(default_factory=list)  # columns that flags read more than once
     row_frames: list[DataFrame] = field(default_factory=list)
     value_frames: list[DataFrame] = field(default_factory=list)
     finding_columns: list[tuple[str, int, int]] = field(default_factory=list)
@@ -108,6 +111,12 @@ class Context:
         self.profile = profile
         self.table = profile.table
         self.samples_sent = samples_sent
+        # detectors run side by side; a shared pass runs once
+        self._locks = defaultdict(RLock)
+
+    def shared(self, name: str) -> dict[int, dict]:
+        with self._locks[name]:
+            return getattr(self, name)
 
     @property
     def facts(self) -> dict | None:
@@ -142,11 +151,13 @@ class Context:
         if not self.profile.of_type(*types):
             return {}
         value, n = F.col("value"), F.col("n")
-        solid = ~text.is_blank(value)
-        token = text.casing_key(value)
+        solid = value != ""
+        # the longest word of the vocabulary has five letters
+        token = F.when(F.octet_length(value) <= 5, F.lower(value))
         vocabulary = token.isin(*text.BOOLEAN_FAMILIES)
         family = F.create_map(*[F.lit(x) for kv in text.BOOLEAN_FAMILIES.items() for x in kv])
-        email = text.has_email_shape(text.strip(value))
+        vocabulary = F.coalesce(vocabulary, F.lit(False))
+        email = text.has_email_shape(value)
         number = text.is_decorated_or_plain_number(value)
         kinds = text.number_decorations(value)
         decorated = F.coalesce(F.size(kinds) > 0, F.lit(False))
@@ -154,14 +165,15 @@ class Context:
         def total(condition: Column) -> Column:
             return F.sum(F.when(solid & condition, n).otherwise(0))
 
-        rows = self.text_values(*types).groupBy("ordinal").agg(
+        stripped = self.text_values(*types).select("ordinal", text.strip(value).alias("value"), "n")
+        rows = stripped.groupBy("ordinal").agg(
             F.sum(F.when(solid, n).otherwise(0)).alias("checked"),
             F.bool_and(~solid | vocabulary).alias("all_boolean"),
             # at most the vocabulary's families, and its spellings in upper/lower case
             F.collect_set(F.when(solid & vocabulary, F.try_element_at(family, token))).alias(
                 "families"
             ),
-            F.collect_set(F.when(solid & vocabulary, text.strip(value))).alias("spellings"),
+            F.collect_set(F.when(solid & vocabulary, value)).alias("spellings"),
             total(~email).alias("not_email"),
             total(number).alias("numeric_like"),
             total(decorated).alias("decorated"),
@@ -178,13 +190,14 @@ class Context:
         if not self.profile.of_type(*TEXT_FAMILY):
             return {}
         n, families = F.col("n"), F.col("families")
+        plain = self.text_values(*TEXT_FAMILY).select(
+            "ordinal", "n", "first_row", security.normalize(F.col("value")).alias("plain")
+        )
+        # Families are told apart only for the values that match at all.
         matched = (
-            self.text_values(*TEXT_FAMILY)
-            .select("ordinal", "n", "first_row", "value", security.normalize(F.col("value")).alias("plain"))
+            where_once(plain, security.any_match(F.col("plain")))
             .withColumn("families", security.matched_families(F.col("plain")))
-        )
-        matched = where_once(matched, F.size("families") > 0).withColumn(
-            "subtypes", security.subtypes(families)
+            .withColumn("subtypes", security.subtypes(families))
         )
         rows = matched.groupBy("ordinal").agg(
             F.sum("n").alias("rows"),

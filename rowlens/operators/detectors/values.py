@@ -105,7 +105,7 @@ def _edge_whitespace(ctx: Context, _: dict) -> Outcome:
 def _future_dates(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     for ref, _p in ctx.profile.of_type("date"):
-        count = ctx.date_counters[ref.ordinal]["future"]
+        count = ctx.shared("date_counters")[ref.ordinal]["future"]
         if count:
             out.add(
                 FUTURE_DATES,
@@ -129,7 +129,7 @@ def _old_dates(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     cutoff = EARLIEST_PLAUSIBLE_DATE
     for ref, _p in ctx.profile.of_type("date"):
-        c = ctx.date_counters[ref.ordinal]
+        c = ctx.shared("date_counters")[ref.ordinal]
         if c["old"]:
             out.add(
                 OLD_DATES,
@@ -300,14 +300,15 @@ def _outliers(ctx: Context, _: dict) -> Outcome:
 def _injection(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     for ref, _p in ctx.profile.of_type(*TEXT_FAMILY):
-        c = ctx.injection_counters.get(ref.ordinal)
+        c = ctx.shared("injection_counters").get(ref.ordinal)
         if not c:
             continue
         families = sorted(f for f in security.FAMILIES if c[f"f_{f}"])
         present = [s for s in security.SUBTYPES if c[f"s_{s}"]]
         heightened = any(f in security.HEIGHTENED for f in families)
         high, low = ("critical", "medium") if ctx.samples_sent else ("high", "low")
-        plain = security.normalize(ctx.table.text(ref))
+        plain = f"_plain_{ref.ordinal}"
+        out.prepared.append(security.normalize(ctx.table.text(ref)).alias(plain))
         out.add(
             INJECTION,
             [ref],
@@ -325,7 +326,7 @@ def _injection(ctx: Context, _: dict) -> Outcome:
                 "risk_subtypes": present,
                 "subtype_row_counts": {s: c[f"s_{s}"] for s in present},
             },
-            flag=text.any_of([security.family_match(plain, f) for f in families]),
+            flag=security.any_match(F.col(plain)),
         )
     return out
 
@@ -333,7 +334,7 @@ def _injection(ctx: Context, _: dict) -> Outcome:
 def _booleans(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     for ref, _p in ctx.profile.of_type("text", "categorical", "boolean", "mixed"):
-        c = ctx.word_counters.get(ref.ordinal)
+        c = ctx.shared("word_counters").get(ref.ordinal)
         if not c or not c["checked"] or not c["all_boolean"] or len(c["families"]) < 2:
             continue
         spellings = sorted(c["spellings"])
@@ -361,7 +362,7 @@ def _emails(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     for ref, _p in ctx.profile.of_type(*TEXT_FAMILY, "mixed"):
         compact = ref.original_name.lower().replace("-", "").replace("_", "").replace(" ", "")
-        c = ctx.word_counters.get(ref.ordinal)
+        c = ctx.shared("word_counters").get(ref.ordinal)
         if EMAIL_MARKER not in compact or not c or not c["not_email"]:
             continue
         if (c["checked"] - c["not_email"]) / c["checked"] < EMAIL_VALID_SHARE:
@@ -390,7 +391,7 @@ def _emails(ctx: Context, _: dict) -> Outcome:
 def _numbers_as_text(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     for ref, _p in ctx.profile.of_type(*TEXT_FAMILY, "mixed"):
-        c = ctx.word_counters.get(ref.ordinal)
+        c = ctx.shared("word_counters").get(ref.ordinal)
         if not c or not c["decorated"] or c["numeric_like"] / c["checked"] < NUMBER_SHARE:
             continue
         kinds = sorted(k for i, k in enumerate(DECORATIONS) if c[f"d_{i}"])

@@ -6,14 +6,14 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowlens.functions import security, text
-from rowlens.operators.cells import top_values, value_frequencies, vf_number, vf_shape, vf_text
+from rowlens.operators.cells import top_values, value_frequencies, vf_number, vf_text
 from rowlens.operators.joins import skew_safe_join
-from rowlens.operators.quantiles import exact_percentiles
+from rowlens.operators.quantiles import SMALL_GROUP, exact_percentiles
 from rowlens.operators.table import ColumnRef, Table
 from rowlens.sources.rownum import ROW_NUMBER
 from rowlens.sources.scratch import materialize
@@ -67,18 +67,26 @@ def mixed_warning(booleans: int, dates: int, numbers: int, total: int) -> str:
     )
 
 
+def readable(vf: DataFrame) -> DataFrame:
+    """The frequency table with `v`, the number each value stands for, worked out once."""
+    return vf if "v" in vf.columns else vf.withColumn("v", vf_number())
+
+
 def type_counts(vf: DataFrame) -> DataFrame:
-    """AGG-02/03 inputs: totals, distincts and shape matches per column, one pass."""
-    n = F.col("n")
-    value, num = F.col("value"), F.col("num")
-    is_num = num.isNotNull() | text.is_numeric(value)
-    return vf.groupBy("ordinal").agg(
+    """AGG-02/03 inputs and the plain numeric sums of every column, in one pass."""
+    n, value, v = F.col("n"), F.col("value"), F.col("v")
+    return readable(vf).groupBy("ordinal").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("distinct"),
         F.sum(F.when(text.is_boolean(value), n).otherwise(0)).alias("booleans"),
         F.sum(F.when(text.is_iso_date(value), n).otherwise(0)).alias("dates"),
-        F.sum(F.when(is_num, n).otherwise(0)).alias("numbers"),
+        F.sum(F.when(v.isNotNull(), n).otherwise(0)).alias("numbers"),
         F.sum(F.octet_length(vf_text()).cast("long") * n).alias("bytes"),
+        F.min("v").alias("num_min"),
+        F.max("v").alias("num_max"),
+        F.sum(v * n).alias("weighted"),
+        F.sum(F.when(v == 0, n).otherwise(0)).alias("zero_count"),
+        F.sum(F.when(v < 0, n).otherwise(0)).alias("negative_count"),
     )
 
 
@@ -201,54 +209,48 @@ def _date_gaps(vf: DataFrame) -> DataFrame:
     )
 
 
-def _numeric_metrics(vf: DataFrame) -> dict[int, dict]:
-    """AGG-07..11 in three passes over the distinct numbers of numeric columns."""
-    v = vf.select("ordinal", vf_number().alias("v"), "n")
+def _numeric_metrics(vf: DataFrame, counts: dict) -> dict[int, dict]:
+    """AGG-07..11: two passes over the distinct numbers, after the sums of the type pass."""
+    v = vf.select("ordinal", "v", "n")
     n = F.col("n")
-    sums = {
-        r.ordinal: r.asDict()
-        for r in v.groupBy("ordinal")
-        .agg(
-            F.min("v").alias("num_min"),
-            F.max("v").alias("num_max"),
-            (F.sum(F.col("v") * n) / F.sum("n")).alias("mean"),
-            F.sum("n").alias("total"),
-            F.sum(F.when(F.col("v") == 0, n).otherwise(0)).alias("zero_count"),
-            F.sum(F.when(F.col("v") < 0, n).otherwise(0)).alias("negative_count"),
-        )
-        .collect()
-    }
-    quartiles = exact_percentiles(v, [0.25, 0.5, 0.75])
-
-    def per_column(values: dict[int, float]) -> Column:
-        """A constant per column, as an expression (at most one branch per column)."""
-        pairs = [x for o, value in values.items() for x in (F.lit(o), F.lit(float(value)))]
-        return F.create_map(*pairs)[F.col("ordinal")]
-
-    median = per_column({o: q[1] for o, q in quartiles.items()})
-    mad = exact_percentiles(
-        v.select("ordinal", F.abs(F.col("v") - median).alias("v"), "n"), [0.5]
-    )
+    sizes = {o: (c.total, c.distinct) for o, c in counts.items()}
+    quartiles = exact_percentiles(v, [0.25, 0.5, 0.75], sizes=sizes)
     iqr = {o: q[2] - q[0] for o, q in quartiles.items()}
-    low = per_column({o: q[0] - FENCE_MULTIPLIER * iqr[o] for o, q in quartiles.items()})
-    high = per_column({o: q[2] + FENCE_MULTIPLIER * iqr[o] for o, q in quartiles.items()})
-    mean = per_column({o: s["mean"] for o, s in sums.items()})
-    outside = (F.col("v") < low) | (F.col("v") > high)
-    spread = {
-        r.ordinal: r
-        for r in v.groupBy("ordinal")
-        .agg(
-            F.sum(n * F.pow(F.col("v") - mean, 2)).alias("ss"),
-            F.sum(F.when(outside & ~F.isnan("v"), n).otherwise(0)).alias("extreme_count"),
+    mean = {o: counts[o].weighted / counts[o].total for o in quartiles}
+    # one row per numeric column
+    constants = F.broadcast(
+        vf.sparkSession.createDataFrame(
+            [
+                (
+                    o, float(mean[o]), q[1],
+                    q[0] - FENCE_MULTIPLIER * iqr[o], q[2] + FENCE_MULTIPLIER * iqr[o],
+                )
+                for o, q in quartiles.items()
+            ],
+            "ordinal int, mean double, median double, low double, high double",
         )
-        .collect()
-    }
+    )
+    placed = v.join(constants, "ordinal")
+    outside = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
+    deviation = F.abs(F.col("v") - F.col("median"))
+    aggregates = [
+        F.sum(n * F.pow(F.col("v") - F.col("mean"), 2)).alias("ss"),
+        F.sum(F.when(outside & ~F.isnan("v"), n).otherwise(0)).alias("extreme_count"),
+    ]
+    all_small = all(d <= SMALL_GROUP for _, d in sizes.values())
+    if all_small:  # the exact median of deviations fits the same pass
+        aggregates.append(F.percentile(deviation, [0.5], n).alias("mad"))
+    spread = {r.ordinal: r for r in placed.groupBy("ordinal").agg(*aggregates).collect()}
+    if all_small:
+        mad = {o: r.mad for o, r in spread.items()}
+    else:
+        mad = exact_percentiles(placed.select("ordinal", deviation.alias("v"), "n"), [0.5], sizes=sizes)
     out = {}
-    for o, s in sums.items():
-        q1, q2, q3 = quartiles[o]
-        total = s["total"]
+    for o, (q1, q2, q3) in quartiles.items():
+        c, total = counts[o], counts[o].total
         out[o] = {
-            **{k: s[k] for k in ("num_min", "num_max", "mean", "zero_count", "negative_count")},
+            "num_min": c.num_min, "num_max": c.num_max, "mean": mean[o],
+            "zero_count": c.zero_count, "negative_count": c.negative_count,
             "median": q2, "q1": q1, "q2": q2, "q3": q3, "iqr": iqr[o], "mad": mad[o][0],
             "stdev": (spread[o].ss / (total - 1)) ** 0.5 if total >= 2 else 0.0,
             "extreme_count": spread[o].extreme_count,
@@ -309,7 +311,8 @@ def compute_profile(
     as_of = as_of or dt.date.today()
     if vf is None:
         # sorted by column, so that a later read of some columns skips the others' row groups
-        vf = materialize(value_frequencies(table).sortWithinPartitions("ordinal"), "vf")
+        vf = materialize(readable(value_frequencies(table)).sortWithinPartitions("ordinal"), "vf")
+    vf = readable(vf)
     counts = {r.ordinal: r for r in type_counts(vf).collect()}
     columns = []
     for ref in table.columns:
@@ -344,7 +347,10 @@ def compute_profile(
             for ordinal, values in metrics(profile.vf_of(refs)).items():
                 columns[ordinal].update(values)
 
-    fill(("numeric",), _numeric_metrics)
+    fill(
+        ("numeric",),
+        lambda f: _numeric_metrics(f, {o: counts[o] for o in (r.ordinal for r, _ in profile.of_type("numeric"))}),
+    )
     fill(("date",), lambda f: _date_metrics(f, as_of))
     fill(TEXT_FAMILY, _text_metrics)
     for _, p in profile.of_type(*TEXT_FAMILY):

@@ -20,16 +20,23 @@ SPLITS = 64
 
 
 def exact_percentiles(
-    values: DataFrame, fractions: list[float], small_group: int = SMALL_GROUP
+    values: DataFrame,
+    fractions: list[float],
+    small_group: int = SMALL_GROUP,
+    sizes: dict[int, tuple[int, int]] | None = None,
 ) -> dict[int, list[float]]:
-    """`values(ordinal, v, n)` -> {ordinal: [percentile per fraction]}."""
+    """`values(ordinal, v, n)` -> {ordinal: [percentile per fraction]}.
+
+    `sizes` holds (weight, rows) per ordinal when the caller has counted them already.
+    """
     merged = values.where(F.col("v").isNotNull()).groupBy("ordinal", "v").agg(F.sum("n").alias("n"))
-    sizes = {
-        r.ordinal: (r.total, r.distinct)
-        for r in values.groupBy("ordinal")
-        .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
-        .collect()
-    }
+    if sizes is None:
+        sizes = {
+            r.ordinal: (r.total, r.distinct)
+            for r in values.groupBy("ordinal")
+            .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+            .collect()
+        }
     small = [o for o, (_, d) in sizes.items() if d <= small_group]
     large = [o for o, (_, d) in sizes.items() if d > small_group]
     result: dict[int, list[float]] = {}

@@ -66,6 +66,14 @@ def _kind(data_type: T.DataType) -> str:
     return "skip"
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores is spread over all of them; a large one is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, ROW_NUMBER)
+    return df
+
+
 class Table:
     """A DataFrame with a `row_number` column and the references of its data columns."""
 
@@ -101,7 +109,7 @@ class Table:
             df = df.withColumn(ROW_NUMBER, row_number.cast("long"))
         elif ROW_NUMBER not in df.columns:
             df = number_rows(df, order_by) if order_by else number_file_rows(df)
-        return cls(df, columns, facts)
+        return cls(_spread(df), columns, facts)
 
     @property
     def spark(self) -> SparkSession:

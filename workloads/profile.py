@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rowlens.operators import profile as prof
 from rowlens.operators.cells import top_values, value_frequencies
 from rowlens.operators.quantiles import exact_percentiles  # noqa: F401
+from rowlens.sources.scratch import materialize
 from workloads.base import *  # noqa: F403
 
 AS_OF = dt.date(2000, 1, 1)
@@ -127,7 +128,7 @@ def agg_07(spark, sf):
 def agg_08(spark, sf):
     """Exact percentiles with the memory bound forced low, so the narrowing path runs."""
     table = view_table(spark, sf, "sales", NUM)
-    values = value_frequencies(table).select("ordinal", F.col("num").alias("v"), "n")
+    values = materialize(value_frequencies(table).select("ordinal", F.col("num").alias("v"), "n"), "numbers")
     found = exact_percentiles(values, [0.25, 0.5, 0.75], small_group=2_000)
     rows = [(o, q[0], q[1], q[2], q[2] - q[0]) for o, q in found.items()]
     return _rounded(
