@@ -92,7 +92,6 @@ def name_groups(columns: DataFrame, dataset: list[str] | None = None) -> DataFra
             F.count(F.lit(1)).alias("column_count"),
             F.count_distinct("original_name").alias("spellings"),
             F.min("ordinal").alias("first_ordinal"),
-            F.sort_array(F.collect_list("ordinal")).alias("ordinals"),
         )
         .where(F.col("column_count") >= 2)
     )
@@ -100,11 +99,17 @@ def name_groups(columns: DataFrame, dataset: list[str] | None = None) -> DataFra
 
 def _duplicate_names(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
-    for g in name_groups(ctx.table.columns_frame()).orderBy("first_ordinal").collect():
-        refs = [ctx.table.columns[o] for o in g.ordinals]
+    columns = ctx.table.columns_frame()
+    shared = name_groups(columns).select("name_key", "spellings", "first_ordinal")
+    keyed = columns.withColumn("name_key", text.name_key(F.col("original_name")))
+    members: dict[tuple, list[int]] = {}
+    for r in keyed.join(shared, "name_key").orderBy("first_ordinal", "ordinal").collect():
+        members.setdefault((r.first_ordinal, r.spellings), []).append(r.ordinal)
+    for (_first, spellings), ordinals in members.items():
+        refs = [ctx.table.columns[o] for o in ordinals]
         shown = ", ".join(f"'{c.original_name[:NAME_DISPLAY]}'" for c in refs[:NAMES_SHOWN])
         more = f" and {len(refs) - NAMES_SHOWN} more" if len(refs) > NAMES_SHOWN else ""
-        identical = g.spellings == 1
+        identical = spellings == 1
         out.add(
             DUPLICATE_NAMES,
             refs,
@@ -117,7 +122,7 @@ def _duplicate_names(ctx: Context, _: dict) -> Outcome:
             rows=0,
             payload={
                 "column_count": len(refs),
-                "ordinals": list(g.ordinals),
+                "ordinals": ordinals,
                 "identical_as_written": identical,
             },
         )

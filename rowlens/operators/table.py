@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.functions import text
-from rowlens.sources.rownum import ROW_NUMBER, number_file_rows, number_rows
+from rowlens.sources.rownum import ROW_NUMBER, number_file_rows, number_rows, spread
 
 MAX_NAME_LENGTH = 256
 
@@ -66,14 +66,6 @@ def _kind(data_type: T.DataType) -> str:
     return "skip"
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores is spread over all of them; a large one is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, ROW_NUMBER)
-    return df
-
-
 class Table:
     """A DataFrame with a `row_number` column and the references of its data columns."""
 
@@ -106,10 +98,12 @@ class Table:
             for i, (f, (name, key, _)) in enumerate(zip(fields, name_columns(header), strict=True))
         ]
         if row_number is not None:
-            df = df.withColumn(ROW_NUMBER, row_number.cast("long"))
-        elif ROW_NUMBER not in df.columns:
+            df = spread(df.withColumn(ROW_NUMBER, row_number.cast("long")))
+        elif ROW_NUMBER in df.columns:
+            df = spread(df)
+        else:
             df = number_rows(df, order_by) if order_by else number_file_rows(df)
-        return cls(_spread(df), columns, facts)
+        return cls(df, columns, facts)
 
     @property
     def spark(self) -> SparkSession:

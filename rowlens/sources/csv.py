@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.operators.table import ColumnRef, Table, name_columns
-from rowlens.sources.rownum import ROW_NUMBER, number_line_rows
+from rowlens.sources.rownum import ROW_NUMBER, broadcast_if_small, number_line_rows
 from rowlens.sources.scratch import materialize
 
 # Delimiter candidates in tie order, bounds of one file.
@@ -196,7 +196,7 @@ def read_csv(
 def _drop_header(lines: DataFrame) -> DataFrame:
     """Everything but the first line of each file (one id per file is joined back)."""
     heads = lines.where(F.col("block") == 0).groupBy("file").agg(F.min("mono").alias("mono"))
-    return lines.join(F.broadcast(heads), ["file", "mono"], "left_anti")
+    return lines.join(broadcast_if_small(heads), ["file", "mono"], "left_anti")
 
 
 def ingest_counts(stored: DataFrame, described: list[tuple[str, str, list[str]]]) -> dict:
@@ -244,8 +244,7 @@ def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits())
     heads = first_lines(lines).select(
         "file", field_counts(F.col("line"), delimiter).alias("column_count")
     )
-    # one row per file
-    counted = lines.join(F.broadcast(heads), "file").withColumn(
+    counted = lines.join(broadcast_if_small(heads), "file").withColumn(
         "have", field_counts(F.col("line"), delimiter)
     )
     shapes = counted.groupBy("file").agg(

@@ -14,8 +14,38 @@ from rowlens.sources.scratch import materialize
 
 ROW_NUMBER = "row_number"
 
-# Above this many files or partitions the offsets are joined, not broadcast.
-MAX_BROADCAST_OFFSETS = 200_000
+# A per-file or per-partition table above this many rows is joined, not broadcast.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a table of short rows only after counting it."""
+    few = df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return F.broadcast(df) if few else df
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def is_small(df: DataFrame) -> bool:
+    """Does the scan read fewer files than there are cores, and little data in all of them?
+
+    Only file names and lengths are looked at; nothing is executed on the data.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return False
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return size < cores * SPLIT_BYTES
+
+
+def spread(df: DataFrame, small: bool | None = None) -> DataFrame:
+    """A small scan with fewer splits than cores is spread over all of them; others are left alone."""
+    if not (is_small(df) if small is None else small):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, ROW_NUMBER)
 
 
 def _add_offsets(df: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -28,9 +58,7 @@ def _add_offsets(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     offsets = counts.select(
         *keys, F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_offset")
     )
-    if offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
-    return df.join(offsets, keys).withColumn(
+    return df.join(broadcast_if_small(offsets), keys).withColumn(
         ROW_NUMBER, (F.col("_offset") + F.col(position)).cast("long")
     )
 
@@ -42,7 +70,8 @@ def number_file_rows(df: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_index"),
     )
-    return _add_offsets(placed, ["_file"], "_index").drop("_file", "_index", "_offset")
+    numbered = _add_offsets(placed, ["_file"], "_index").drop("_file", "_index", "_offset")
+    return spread(numbered, is_small(df))
 
 
 def number_rows(df: DataFrame, order_by: list) -> DataFrame:
@@ -67,10 +96,8 @@ def number_line_rows(df: DataFrame, file: str, block: str, mono: str) -> DataFra
     offsets = first.select(
         file, block, "_first", F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_offset")
     )
-    if offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
     return (
-        df.join(offsets, [file, block])
+        df.join(broadcast_if_small(offsets), [file, block])
         .withColumn(ROW_NUMBER, (F.col("_offset") + F.col(mono) - F.col("_first")).cast("long"))
         .drop("_first", "_offset", file, block, mono)
     )

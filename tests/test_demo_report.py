@@ -83,6 +83,15 @@ def test_report(spark, done):
     assert "Example affected row numbers (bounded to 5): 4, 5" in text
 
 
+def test_long_pending_list_is_kept_whole(done, monkeypatch):
+    from rowlens.plans import report
+
+    monkeypatch.setattr(report, "MAX_LISTED", 5)
+    lines = report.report_lines(done, FileFacts("a.csv", "csv", 0, "-")).orderBy(*report.ORDER).collect()
+    at = next(i for i, r in enumerate(lines) if r.line == "Review still pending for 22 finding(s):")
+    assert [r.line for r in lines[at + 1 : at + 23]] == [f"- Finding {i}" for i in EXPECTED]
+
+
 def test_proposed_rules_hold_where_they_should(done):
     offers = rul.offer_rules(done.table, done.detection.findings, done.detection.finding_columns)
     fails = {r.rule_id.removeprefix("proposed."): (r.fail_count, r.error) for r in offers.results.collect()}

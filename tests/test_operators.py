@@ -253,3 +253,12 @@ def test_rule_shapes():
     assert all(r.problem() for r in bad)
     with pytest.raises(ValueError):
         rul.provenance_of(Rule("r", "not_null", ("a",)), rul.CHOICE_DETECTOR, ("A", "a"))
+
+
+def test_duplicate_names_keep_their_columns(text_table):
+    table = text_table(["Order ID", "x", "order_id", "X ", "?", "!"], [("1",) * 6])
+    d = detect(table, structural.DUPLICATE_NAMES)
+    assert keys(d) == [
+        "structural.duplicate_normalized_column_name.order_id", "structural.duplicate_normalized_column_name.x"]
+    cols = d.finding_columns.where("finding_key LIKE '%.order_id'").orderBy("position").collect()
+    assert [(c.position, c.ordinal) for c in cols] == [(0, 0), (1, 2)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rowlens.functions import text
 from rowlens.functions.security import FAMILIES, INSTRUCTION_LIKE
 from rowlens.operators.table import Table
+from rowlens.sources.rownum import number_file_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,30 +139,14 @@ def view_df(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | No
     picked = [f"{exprs[c]} AS {c}" for c in wanted]
     df = load(spark, sf_dir, table)
     if number == "row":
-        placed = df.selectExpr(
-            "*", "_metadata.file_path AS _file", "_metadata.row_index AS row_number"
-        )  # one file: its row index is the row number
-        return placed.selectExpr("row_number", *picked)
+        return number_file_rows(df).selectExpr("row_number", *picked)
     return df.selectExpr(f"{number} AS row_number", *picked)
 
 
 def view_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> Table:
-    if VIEWS[name][1] == "row":
-        return Table.from_dataframe(
-            number_whole_table(load(spark, sf_dir, VIEWS[name][0]), name, columns)
-        )
     return Table.from_dataframe(view_df(spark, sf_dir, name, columns))
 
 
-def number_whole_table(df: DataFrame, name: str, columns: list[str] | None) -> DataFrame:
-    from rowlens.sources.rownum import number_file_rows
-
-    exprs = VIEWS[name][2]
-    return number_file_rows(df).selectExpr(
-        "row_number", *[f"{exprs[c]} AS {c}" for c in (columns or list(exprs))]
-    )
-
-
 def view_sql(name: str, columns: list[str] | None = None) -> str:
     table, number, exprs = VIEWS[name]
     wanted = columns or list(exprs)
