@@ -42,33 +42,44 @@ def _real(ymd: Column) -> Column:
 
 
 def _month(name: Column) -> Column:
-    """Month number text of an English name, its three-letter form or `sept`; else null."""
+    """Month number text of an English name, its three-letter form or `sept`; else no number."""
     low = F.lower(name)
     spellings = [*MONTHS, *[m[:3] for m in MONTHS], "sept"]
     place = F.instr(F.lit("".join(m[:3] for m in MONTHS)), F.substring(low, 1, 3))
-    return F.when(low.isin(*spellings), F.floor((place + 2) / 3).cast("string"))
+    return F.when(low.isin(*spellings), F.floor((place + 2) / 3).cast("string")).otherwise("x")
 
 
 def date_family(c: Column) -> Column:
     """The form of a date-like text, null when it is no real date in any of them.
 
-    Numeric forms with the year last count when either day-month order gives a real date.
+    Numeric forms with the year last count when either day-month order gives a real date. The
+    form is chosen first; one year-month-day text per form is then checked once.
     """
     s = strip(c)
     # Every form is short and starts or ends with a four-digit year.
-    result = F.when(~s.rlike(r"^(?=.{8,18}$)(?:[0-9]{4}[-/]|.*[ /.-][0-9]{4}$)"), F.lit(None))
+    plausible = s.rlike(r"^(?=.{8,18}$)(?:[0-9]{4}[-/]|.*[ /.-][0-9]{4}$)")
+    form = F.when(~plausible, F.lit(None))
     for family, pattern in _YEAR_FIRST.items():
-        ymd = F.regexp_replace(s, pattern, "$1-$2-$3")
-        result = result.when(s.rlike(pattern), F.when(_real(ymd), family))
-    either = _real(F.regexp_replace(s, _YEAR_LAST, "$4-$3-$1")) | _real(
-        F.regexp_replace(s, _YEAR_LAST, "$4-$1-$3")
+        form = form.when(s.rlike(pattern), family)
+    form = form.when(
+        s.rlike(_YEAR_LAST),
+        F.element_at(
+            F.create_map(*[F.lit(x) for kv in _SEPARATORS.items() for x in kv]),
+            F.regexp_replace(s, _YEAR_LAST, "$2"),
+        ),
     )
-    for separator, family in _SEPARATORS.items():
-        result = result.when(s.rlike(_YEAR_LAST) & s.contains(separator), F.when(either, family))
-    for family, (pattern, day, month, year) in _NAMED.items():
-        number = _month(F.regexp_replace(s, pattern, month))
-        ymd = F.concat_ws(
-            "-", F.regexp_replace(s, pattern, year), number, F.regexp_replace(s, pattern, day)
-        )
-        result = result.when(s.rlike(pattern), F.when(number.isNotNull() & _real(ymd), family))
-    return result
+    for family, (pattern, *_) in _NAMED.items():
+        form = form.when(s.rlike(pattern), family)
+
+    def named(pattern: str, day: str, month: str, year: str) -> Column:
+        cut = F.split(F.regexp_replace(s, pattern, f"{year}|{month}|{day}"), "[|]")
+        return F.concat_ws("-", F.get(cut, F.lit(0)), _month(F.get(cut, F.lit(1))), F.get(cut, F.lit(2)))
+
+    year_first = F.regexp_replace(s, "/", "-")
+    ymd = F.when(s.rlike("^[0-9]{4}"), year_first).when(
+        s.rlike("^[0-9]{1,2}[/.-]"), F.regexp_replace(s, _YEAR_LAST, "$4-$3-$1")
+    )
+    day_name, name_day = _NAMED.values()
+    ymd = ymd.when(s.rlike("^[0-9]"), named(*day_name)).otherwise(named(*name_day))
+    swapped = F.regexp_replace(s, _YEAR_LAST, "$4-$1-$3")
+    return F.when(form.isNotNull() & (_real(ymd) | _real(swapped)), form)
