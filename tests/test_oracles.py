@@ -6,7 +6,9 @@ from oracle import compare, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+EVERY, ORACLES = entry.queries(), entry.oracle_sql()
+# the corpus operators have tests of their own
+QUERIES = {k: v for k, v in EVERY.items() if not k.startswith("op") and k != "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def duck():
 def test_inventory_is_covered():
     sizes = {"src": 15, "fn": 20, "agg": 23, "det": 28, "fnd": 20, "rul": 21, "ctx": 11, "win": 4, "his": 8, "snk": 4, "aud": 7}
     assert set(QUERIES) == {f"{k}_{i:02d}" for k, n in sizes.items() for i in range(1, n + 1)}
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(EVERY)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
