@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import quality_rules
+from rowlens.llm import quality_classifier, quality_rules
+from rowlens.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(column: str, n: int):
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+@register("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    known = materialize(
+        quality_classifier.with_features(docs)
+        .select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "_x"),
+        "classifier-features",
+    )
+    labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    taught = known.where(~F.col("held_out")).join(labels, "doc_id")
+    model = quality_classifier.fit(taught, "_x", "quality")
+    return known.select(
+        "doc_id", "held_out", quality_classifier.scored(F.col("_x"), model).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @register("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
