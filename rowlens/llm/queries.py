@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import quality_classifier, quality_rules
+from rowlens.llm import decontaminate, quality_classifier, quality_rules, url_filter
 from rowlens.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,65 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+@register("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match(docs, load(spark, sf_dir, "benchmark"))
+    n_words, n_hit = F.col("n_words"), F.col("n_hit")
+    return (
+        found.select(
+            "doc_id",
+            F.col("_match.n_words").alias("n_words"),
+            decontaminate.hit_words(F.col("_match.runs")).alias("n_hit"),
+            F.size("_match.items").cast("bigint").alias("n_items"),
+            F.sha2(F.array_join(F.array_sort("_match.items"), ","), 256).alias("items_sha256"),
+        ).withColumn("contaminated", decontaminate.contaminated(n_words, n_hit))
+    )
+
+
+URL_RULES = [
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+]
+# pages whose text insults someone list their address
+INSULTS = "worthless|disgusting|trash|idiot"
+
+_URL = r"'(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
+_HOST = f"translate(coalesce(regexp_extract(url, {_URL}, 1), ''), '{url_filter._UPPER}', '{url_filter._LOWER}')"
+_FITS = {
+    f"{h}{p}": f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in URL_RULES
+}
+_LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+OP4_SQL = f"""
+WITH parts AS (
+  SELECT page_id, html, {_HOST} AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path,
+    list_sort(list_filter(string_split(coalesce(regexp_extract(url, {_URL}, 3), ''), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))) AS args
+  FROM pages),
+keyed AS (
+  SELECT page_id, html, host, path, CASE WHEN regexp_replace(host, '^www[.]', '') <> '' THEN
+    regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canon FROM parts),
+listed AS (SELECT DISTINCT canon FROM keyed WHERE canon IS NOT NULL AND regexp_matches(html, '{INSULTS}')),
+ruled AS (
+  SELECT page_id, host, path, canon,
+    CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{h}{p}'" for _, h, p in _LONGEST)} END AS rule,
+    CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{v}'" for v, h, p in _LONGEST)} END AS decided FROM keyed)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN listed.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN listed ON ruled.canon = listed.canon
+"""
+
+
+@register("op4_url_filter", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    listed = materialize(pages.where(F.col("html").rlike(INSULTS)).select("url"), "listed-urls")
+    judged = url_filter.judge(pages.select("page_id", "url"), listed, URL_RULES)
+    return judged.select(
+        "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"),
+        F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"),
+    )
+
+
 @register("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
