@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import decontaminate, quality_classifier, quality_rules, url_filter
-from rowlens.sources.scratch import materialize
+from rowlens.llm import decontaminate, quality_classifier, quality_rules, secret_scan, url_filter
+from rowlens.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,53 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _op2_sql() -> str:
+    def text(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    parts = []
+    for i, r in enumerate(secret_scan.RULES):
+        p = text(r.pattern)
+        parts.append(
+            f"SELECT k, '{r.kind}' AS kind, {i} AS place, unnest(regexp_extract_all(body, {p})) AS hit, "
+            f"unnest(string_split_regex(body, {p})) AS gap, generate_subscripts(string_split_regex(body, {p}), 1) AS nth, "
+            f"{p} AS pattern, {r.group} AS grp, {r.least} AS least FROM src WHERE regexp_matches(body, {p})"
+        )
+    cases = " ".join(
+        f"WHEN place = {i} THEN length(regexp_extract(hit, {text(r.pattern)}, {r.group})) >= {r.least}"
+        for i, r in enumerate(secret_scan.RULES)
+    )
+    base = len(secret_scan.BASE_RULES)
+    one = "kind || ':' || (upto - length(hit)) || ':' || upto"
+    return f"""
+WITH src AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS body FROM documents),
+cut AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY k, place ORDER BY nth) AS upto FROM cut WHERE hit IS NOT NULL),
+good AS (SELECT * FROM placed WHERE CASE {cases} END),
+per AS (SELECT k, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+  string_agg({one}, ',' ORDER BY upto - length(hit), place) FILTER (place < {base}) AS base,
+  string_agg({one}, ',' ORDER BY upto - length(hit), place) AS every FROM good GROUP BY k)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM src LEFT JOIN per USING (k)"""
+
+
+@register("op2_secret_scan", _op2_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secret_scan.Ledger(spark, scratch_path(spark, "secret-ledger"))
+    secret_scan.scan(docs, ledger)
+    found = secret_scan.by_path(docs.select("doc_id", secret_scan.blob(F.col("text")).alias("_blob")), ledger)
+    of = lambda kind: F.size(F.filter("_findings", lambda f: f["kind"] == kind)).cast("bigint")
+    base = F.filter("_findings", lambda f: f["place"] < len(secret_scan.BASE_RULES))
+    return found.select(
+        "doc_id",
+        *[of(r.kind).alias(f"n_{r.kind}") for r in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("_findings")).alias("spans"),
+    )
+
+
 @register("op3_decontaminate")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
