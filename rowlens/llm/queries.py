@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm import decontaminate, quality_classifier, quality_rules, secret_scan, url_filter
+from rowlens.llm import (
+    decontaminate,
+    near_dup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    url_filter,
+)
 from rowlens.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +173,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_q_base_failed").alias("base_failed"),
         F.col("_q_kept").alias("kept"),
     )
+
+
+@register("op8_minhash_near_dup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.groups(load(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
