@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.llm import (
     decontaminate,
+    lm_score,
     near_dup,
     quality_classifier,
     quality_rules,
@@ -181,3 +182,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+@register("op9_lm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score(docs, public_tokenizers.path("piece_bpe_32k.model"), remainder("doc_id", 5) == 1)
