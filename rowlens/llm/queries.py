@@ -14,6 +14,7 @@ from rowlens.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    substring_dedup,
     url_filter,
 )
 from rowlens.sources.scratch import materialize, scratch_path
@@ -190,3 +191,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_score.score(docs, public_tokenizers.path("piece_bpe_32k.model"), remainder("doc_id", 5) == 1)
+
+
+@register("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(load(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
