@@ -11,6 +11,7 @@ from rowlens.llm import (
     decontaminate,
     lm_score,
     near_dup,
+    packing,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -149,6 +150,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    from pathlib import Path
+
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+@register("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_json())
+
+
 @register("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
