@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.llm import (
     decontaminate,
+    line_dedup,
     lm_score,
     near_dup,
     packing,
@@ -44,6 +45,49 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _op1_sql(levels: int = 14) -> str:
+    ranks = ["r0 AS (SELECT *, dense_rank() OVER (ORDER BY body) AS r FROM numbered)"]
+    for k in range(1, levels):
+        ranks.append(
+            f"n{k} AS (SELECT * EXCLUDE (r), r AS a, lead(r, {1 << (k - 1)}) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM r{k - 1}), "
+            f"r{k} AS (SELECT * EXCLUDE (a, b), dense_rank() OVER (ORDER BY a, b) AS r FROM n{k} WHERE b IS NOT NULL)"
+        )
+    later = " UNION ALL ".join(
+        f"SELECT doc_id, i, p, chars, {1 << k} AS depth, min(p) OVER (PARTITION BY r) AS f FROM r{k}" for k in range(levels)
+    )
+    return f"""
+WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+numbered AS (SELECT doc_id, body, line, length(body) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i,
+  row_number() OVER (ORDER BY doc_id, line) AS p FROM cut WHERE regexp_matches(body, '[^\\x20\\x09-\\x0D]')),
+{", ".join(ranks)},
+found AS (SELECT * FROM ({later}) WHERE f < p),
+gone AS (
+  SELECT doc_id, i FROM found WHERE depth = 1 AND chars >= {line_dedup.MIN_CHARS}
+  UNION SELECT doc_id, i + s AS i FROM found, range({line_dedup.MIN_LINES}) AS t(s) WHERE depth = {line_dedup.MIN_LINES}),
+depths AS (SELECT doc_id, max(depth) AS d FROM found GROUP BY doc_id),
+kept AS (
+  SELECT cut.doc_id, count(n.i) AS n_lines, count(g.i) AS n_removed,
+    coalesce(string_agg(cut.body, chr(10) ORDER BY cut.line) FILTER (g.i IS NULL), '') AS body
+  FROM cut LEFT JOIN numbered n ON n.doc_id = cut.doc_id AND n.line = cut.line
+  LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY cut.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(depths.d, 0) AS BIGINT) AS copied_depth, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN depths USING (doc_id)"""
+
+
+@register("op1_line_dedup", _op1_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    full = F.filter(line_dedup.split_lines(F.col("text")), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return found.select(
+        "doc_id",
+        F.coalesce(F.size(full), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.size(F.coalesce("_gone", F.array().cast("array<int>"))).cast("bigint").alias("n_removed"),
+        F.col("_copied_depth").alias("copied_depth"),
+        F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def _op2_sql() -> str:
     def text(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
