@@ -294,11 +294,9 @@ def without_runs(text: Column, runs: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = COVERAGE_PERCENT) -> DataFrame:
-    """Contaminated documents go; from others the hit runs are cut out. Keeps the columns of `docs`."""
+    """Contaminated documents go; from others the hit runs are cut out. `docs` keeps its columns,
+    `_text` is the text left."""
     found = match(docs, benchmark)
     hit = hit_words(F.col("_match.runs"))
     cut = F.when(F.size("_match.runs") > 0, without_runs(F.col("text"), F.col("_match.runs"))).otherwise(F.col("text"))
-    kept = found.where(~contaminated(F.col("_match.n_words"), hit, percent)).withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    return found.where(~contaminated(F.col("_match.n_words"), hit, percent)).withColumn("_text", cut).drop("_match")

@@ -276,8 +276,11 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id), a row per row of `docs` (doc_id, text)."""
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    """(doc_id, text_key, n_shingles, group, component_id), a row per row of `docs` (doc_id, text).
+
+    `group` is null without shingles. Every group has its own number, also where ids are null.
+    """
+    keyed = with_key(docs.select("doc_id", "text"))
     signed = materialize(signatures(keyed, size), "near-signatures")
     classes = materialize(
         signed.where("n_shingles > 0")
@@ -292,7 +295,37 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     root = classes.select("cls", "low").join(edges.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
     root = root.withColumn("root", F.coalesce("root", "cls"))
     lowest = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = root.join(lowest, "root").select("cls", "component_id")
+    by_class = root.join(lowest, "root").select("cls", F.col("root").alias("group"), "component_id")
     found = signed.select("doc_id", "text_key", "n_shingles", "cls").join(by_class, "cls", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
+    return found.select("doc_id", "text_key", "n_shingles", "group", own.alias("component_id"))
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each group: the smallest id, null ids last. Texts without words stay."""
+    found = materialize(groups(docs.select("doc_id", "text"), size, percent), "near-groups")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    grouped = found.where("group IS NOT NULL")
+    best = grouped.groupBy("group").agg(F.min(row).alias("best"))
+    lost = (
+        grouped.join(best, "group").where(row != F.col("best"))
+        .select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    )
+    lost = materialize(lost, "near-lost")
+    if lost.count() <= BROADCAST_KEYS:
+        lost = F.broadcast(lost)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(lost, (key == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    # rows that repeat id and text of a row that stays
+    again = grouped.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again.select("doc_id", "text_key"), "near-again")
+    if again.isEmpty():
+        return kept
+    same = again.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+    matches = (key == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    once = kept.join(same, matches, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(same, matches, "left_anti").unionByName(once)
