@@ -294,7 +294,7 @@ def split_documents(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.column("doc_id"), own.column("held_out"), pa.array(found.counts.astype(np.int64)),
-                        *[pa.array(np.bincount(rows, v[at], minlength=n)) for v in (known, base, lps)],
+                        *[pa.array(np.bincount(rows, v[at], minlength=n).astype(np.float64)) for v in (known, base, lps)],
                         pa.ListArray.from_arrays(pa.array(ends), pairs),
                     ],
                     ["doc_id", "held_out", "n_words", "f_known", "f_base", "f_lp", "rare"],
