@@ -60,36 +60,44 @@ def test_every_detector_ran(done):
     assert len(runs) == 26 and {r.status for r in runs} == {"success"}
 
 
-def test_report(spark, done):
+def test_report(spark, done, monkeypatch):
+    from rowlens.plans import report
+
     file = FileFacts("sales_demo.csv", "csv", len(demo_csv()), "abc")
-    frozen = freeze_report(report_lines(done, file), "r").first()
-    assert hashlib.sha256(frozen.markdown.encode()).hexdigest() == frozen.content_sha256
-    lines = frozen.markdown.split("\n")
-    assert lines[0] == "# Data quality report: sales\\_demo.csv"
-    headings = [x for x in lines if x.startswith("## ")]
-    assert len(headings) == 10
-    order = [int(x.split("**")[1].split()[1]) for x in lines if x.startswith("- **Finding")]
-    assert order == list(EXPECTED)
+    frozen = freeze_report(report_lines(done, file), "r").collect()
+    assert len(frozen) == 1
+    digest = hashlib.sha256(frozen[0].markdown.encode()).hexdigest()
+    assert digest == frozen[0].part_sha256
+    assert hashlib.sha256(digest.encode()).hexdigest() == frozen[0].content_sha256
+    lines = frozen[0].markdown.split("\n")
+    assert lines[0] == "# Quality of sales\\_demo.csv"
+    assert len([x for x in lines if x.startswith("## ")]) == 9
+    found = [x for x in lines if x.startswith("- ") and x.endswith(")") and "priority" in x]
+    assert [int(x.rsplit("finding ", 1)[1][:-1]) for x in found] == list(EXPECTED)
+    assert [x.split("priority ")[1].split(",")[0] for x in found] == [v[1] for v in EXPECTED.values()]
     reviews = spark.createDataFrame(
         [("structural.empty_column.empty_col", "dismissed", None, "by design", dt.datetime(2026, 1, 1)),
          ("structural.exact_duplicate_rows.table", "confirmed", "fix it", None, dt.datetime(2026, 1, 1))],
         "finding_key string, review_state string, note string, dismissal_reason string, reviewed_at timestamp",
     )
-    text = freeze_report(
+    monkeypatch.setattr(report, "LINES_PER_PART", 40)
+    parts = freeze_report(
         report_lines(done, file, reviews=reviews, options=ReportOptions(include_examples=True, include_appendix=True)), "r"
-    ).first().markdown
-    assert "1 dismissed finding(s) are omitted" in text and "**Finding 1**" not in text
-    assert "- Finding 0 (Confirmed) note: fix it" in text
-    assert "Example affected row numbers (bounded to 5): 4, 5" in text
+    ).orderBy("part").collect()
+    text = "".join(p.markdown for p in parts)
+    assert len(parts) > 2 and all(p.line_count == 40 for p in parts[:-1])
+    assert "dismissed them: 1." in text and "(finding 1)" not in text
+    assert "- finding 0 (confirmed): fix it" in text
+    assert "  - first rows: 4, 5\n" in text
+    assert "- mend at the source: finding 0" in text and text.count("- decide on: finding") == 20
 
 
-def test_long_pending_list_is_kept_whole(done, monkeypatch):
-    from rowlens.plans import report
+def test_one_decimal_rounds_ties_of_the_binary_value_to_even(spark):
+    from rowlens.plans.report import one_decimal
 
-    monkeypatch.setattr(report, "MAX_LISTED", 5)
-    lines = report.report_lines(done, FileFacts("a.csv", "csv", 0, "-")).orderBy(*report.ORDER).collect()
-    at = next(i for i, r in enumerate(lines) if r.line == "Review still pending for 22 finding(s):")
-    assert [r.line for r in lines[at + 1 : at + 23]] == [f"- Finding {i}" for i in EXPECTED]
+    values = [0.05, 0.15, 0.25, 0.35, 12.25, 12.75, 99.95, 45.45, 100.0, 0.0, 18.75]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_decimal("v").alias("t")).collect()
+    assert [r.t for r in rows] == [f"{v:.1f}" for v in values]
 
 
 def test_proposed_rules_hold_where_they_should(done):

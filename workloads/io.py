@@ -319,13 +319,8 @@ def snk_01(spark, sf):
     return rules_export(rules, "a1").select("rule_id", "export_type", "rule_count", "excluded_rule_count", "document")
 
 
-_REPORT_COLUMNS = ["order_id", "priority", "day", "constant_col", "empty_col"]
-
-
 def _analysis(spark, sf):
-    return analyze(
-        view_table(spark, sf, "orders_view", _REPORT_COLUMNS), analysis_id="a1", as_of=dt.date(2026, 1, 1)
-    )
+    return analyze(view_table(spark, sf, "orders_view"), analysis_id="a1", as_of=dt.date(2026, 1, 1))
 
 
 _FILE = FileFacts("orders.csv", "csv", 0, "-")
