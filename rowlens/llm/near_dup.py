@@ -9,8 +9,10 @@ Documents with equal shingle sets are one class. Classes meet in band buckets. I
 are compared with the members that are not yet known to be connected to them, links join
 components, and the bucket is finished when its members that were not hubs yet belong to one
 component: every pair of a bucket is then verified or known to be connected. A group of thousands
-of near copies thus costs about one comparison per member. With 36 bands of 6 registers, a pair of
-similarity 0.8 meets in some bucket except with probability 2e-5.
+of near copies thus costs about one comparison per member. Classes of buckets that are not
+finished after two rounds, such as a large group of copies that drifted apart, are compared by an
+exact prefix filter instead. With 36 bands of 6 registers, a pair of similarity 0.8 meets in some
+bucket except with probability 2e-5.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; rows may repeat
 ids and texts; a row without id belongs to the smallest id of its group, if there is one.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.llm import words as w
@@ -35,9 +37,9 @@ by_value(__name__)
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 80
-# a verified pair agrees in fewer registers than this share less than once in 1e12
-SKETCH_MARGIN = 0.2
-HUBS = 16
+# a verified pair agrees in fewer registers than this share less than once in a million
+SKETCH_MARGIN = 0.14
+HUBS = (1, 4)  # per bucket and round
 BROADCAST_KEYS = 2_000_000  # 8 bytes each
 _BLOCK = 1 << 20
 _HASH_BITS = np.uint64(16)  # shingles keep 48 bits; the text's number in its block takes 16
@@ -249,16 +251,13 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
         "near-sets",
     )
     spark = classes.sparkSession
-    comps = spark.createDataFrame([], "cls bigint, comp bigint")
-    done = spark.createDataFrame([], "a bigint, b bigint")
-    open_, edges = members, spark.createDataFrame([], "u bigint, v bigint")
-    hubs_per_bucket = 1
-    while True:
-        pairs, hubs, rest = _candidates(open_, comps, hubs_per_bucket, percent)
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
-        hubs = materialize(hubs, "near-hubs")
-        if hubs.isEmpty():
-            return edges
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    state = _State(empty, spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "cls bigint, comp bigint"))
+
+    def verify(pairs: DataFrame) -> None:
+        """Links the pairs that overlap enough, and joins their components."""
+        pairs = materialize(pairs.join(state.done, ["a", "b"], "left_anti"), "near-pairs")
+        state.done = materialize(state.done.unionByName(pairs), "near-done")
         sketches = about.select("cls", "sketch")
         near = _agreeing(
             pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b"), percent / 100 - SKETCH_MARGIN
@@ -267,12 +266,76 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
         linked = _linked(near.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b"), percent)
         linked = materialize(linked, "near-links")
         if not linked.isEmpty():
-            edges = components(edges.unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-            roots = edges.select(F.col("v").alias("cls")).distinct().withColumn("comp", F.col("cls"))
-            comps = edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots)
-        done = materialize(done.unionByName(pairs), "near-done")
+            state.join(linked)
+
+    open_ = members
+    for hubs_per_bucket in HUBS:
+        pairs, hubs, rest = _candidates(open_, state.comps, hubs_per_bucket, percent)
+        hubs = materialize(hubs, "near-hubs")
+        if hubs.isEmpty():
+            return state.edges
+        verify(pairs)
         open_ = rest.join(hubs, ["key", "cls"], "left_anti")
-        hubs_per_bucket = HUBS
+    unclear = materialize(_unclear(open_, state.comps), "near-unclear")
+    if not unclear.isEmpty():
+        verify(_prefix_pairs(unclear, sets, percent))
+    return state.edges
+
+
+class _State:
+    """Verified pairs, components as (node, smallest node), and as (cls, comp) of all nodes."""
+
+    def __init__(self, done: DataFrame, edges: DataFrame, comps: DataFrame):
+        self.done, self.edges, self.comps = done, edges, comps
+
+    def join(self, linked: DataFrame) -> None:
+        self.edges = components(self.edges.unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+        roots = self.edges.select(F.col("v").alias("cls")).distinct().withColumn("comp", F.col("cls"))
+        self.comps = self.edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots)
+
+
+def _unclear(open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """(cls, n, comp) of classes in buckets whose members that were not hubs lie in several components."""
+    labelled = open_.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    return labelled.join(mixed, "key").select("cls", "n", "comp").distinct()
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """(cls, token) of class sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, x in zip(batch.column("cls"), batch.column("elements"), strict=True):
+                tokens = pa.array(np.frombuffer(x.as_buffer(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.repeat(cls, len(tokens)), tokens], ["cls", "token"])
+
+    return sets.mapInArrow(run, "cls bigint, token bigint")
+
+
+def _prefix_pairs(unclear: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of unclear classes of different components that can overlap enough.
+
+    With shingles ordered from rare to frequent, the first common shingle of two sets at places i
+    and j leaves an overlap of at most min(n - i, m - j), which must reach p / (100 + p) of n + m.
+    So it lies in the first (100 - p) / 100 of both sets and in the first (100 - p) / (100 + p) of
+    one. Members of a group that differ in many places begin with shingles no one else has.
+    """
+    tokens = _exploded(sets.join(unclear.select("cls"), "cls"))
+    tokens = materialize(tokens, "near-tokens")
+    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("frequency", "token")) - 1
+    entries = (
+        tokens.join(frequency, "token").withColumn("i", place).where("frequency > 1").join(unclear, "cls")
+        .where(100 * F.col("i") <= (100 - percent) * F.col("n"))
+        .select("token", "cls", "n", "comp", "i")
+    )
+    entries = materialize(entries, "near-entries")
+    early = entries.where((100 + percent) * F.col("i") <= (100 - percent) * F.col("n"))
+    other = entries.toDF("token", "cls2", "n2", "comp2", "i2")
+    reach = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    joined = early.join(other, (early["token"] == other["token"]) & (F.col("comp") != F.col("comp2")) & reach)
+    return joined.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
