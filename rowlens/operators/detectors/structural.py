@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.functions import text
@@ -129,6 +129,12 @@ def _duplicate_names(ctx: Context, _: dict) -> Outcome:
     return out
 
 
+def empty_datasets(rows: DataFrame, present: Column) -> DataFrame:
+    """DET-21 for many datasets at once: those without a row that is `present`."""
+    counts = rows.groupBy("dataset").agg(F.count_if(present).alias("row_count"))
+    return counts.where("row_count = 0").select("dataset", F.lit("high").alias("severity"), "row_count")
+
+
 def _empty_dataset(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
     if ctx.profile.row_count == 0:
@@ -220,7 +226,8 @@ def _parse_failures(ctx: Context, config: dict) -> Outcome:
     verdict = parse_failure_verdict(ctx.facts, config)
     if verdict:
         p = verdict["payload"]
-        rows = ctx.facts["ragged_rows"] if verdict["row_hit"] else []
+        # every ragged row, as a frame of row numbers
+        rows = ctx.facts["ragged_rows"] if verdict["row_hit"] else None
         key = out.add(
             PARSE_FAILURES,
             [],
@@ -230,15 +237,11 @@ def _parse_failures(ctx: Context, config: dict) -> Outcome:
                 f"{p['ragged_row_count']} of {p['row_count']} row(s) are ragged and "
                 f"{p['unreadable_cell_count']} cell(s) could not be read."
             ),
-            rows=len(rows),
+            rows=p["ragged_row_count"] if verdict["row_hit"] else 0,
             payload=p,
         )
-        if rows:
-            out.row_frames.append(
-                ctx.table.spark.createDataFrame(
-                    [(key, r) for r in rows], f"finding_key string, {ROW_NUMBER} bigint"
-                )
-            )
+        if rows is not None:
+            out.row_frames.append(rows.select(F.lit(key).alias("finding_key"), F.col(ROW_NUMBER).cast("bigint")))
     return out
 
 

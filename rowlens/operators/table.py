@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from rowlens.functions import text
 from rowlens.sources.rownum import ROW_NUMBER, number_file_rows, number_rows, spread
 
-MAX_NAME_LENGTH = 256
-
 
 @dataclass(frozen=True)
 class ColumnRef:
@@ -29,8 +27,10 @@ def internal_key(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_") or "column"
 
 
-def name_columns(header: list[str]) -> list[tuple[str, str, list[str]]]:
-    """Display name, unique key and warning codes per header cell (a header is one short row)."""
+def name_columns(header: list[str], max_length: int | None = None) -> list[tuple[str, str, list[str]]]:
+    """Display name, unique key and warning codes per header cell (a header is one short row).
+
+    Names are kept whole unless `max_length` is given."""
     used: set[str] = set()
     out = []
     for ordinal, raw in enumerate(header):
@@ -39,8 +39,8 @@ def name_columns(header: list[str]) -> list[tuple[str, str, list[str]]]:
         if not name:
             name = f"column_{ordinal}"
             codes.append("parsing.empty_column_name")
-        if len(name) > MAX_NAME_LENGTH:
-            name = name[:MAX_NAME_LENGTH]
+        if max_length and len(name) > max_length:
+            name = name[:max_length]
             codes.append("parsing.column_name_truncated")
         base = key = internal_key(name)
         suffix = 2

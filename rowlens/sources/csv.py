@@ -1,8 +1,10 @@
 """CSV ingest (SRC-01, 02, 04..07, 12..14).
 
-Files are read as lines, so a file splits over many tasks and blank lines stay visible; each
-line is parsed with the built-in CSV parser. Files with line breaks inside quotes are read with
-the multi-line reader instead, one task per file.
+Files are read as lines, so a file splits over many tasks and blank lines stay visible. A line is
+a function from "starts inside quotes or not" to "ends inside quotes or not"; composing these
+functions, first within blocks and then over the few blocks, tells which lines continue the record
+before them, and only files with such lines are put together. Every file keeps its own delimiter
+and header; columns are aligned by normalized name.
 """
 
 from __future__ import annotations
@@ -10,18 +12,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowlens.operators.table import ColumnRef, Table, name_columns
-from rowlens.sources.rownum import ROW_NUMBER, broadcast_if_small, number_line_rows
+from rowlens.sources.rownum import ROW_NUMBER, broadcast_if_small
 from rowlens.sources.scratch import materialize
 
-# Delimiter candidates in tie order, bounds of one file.
+# Delimiter candidates in tie order.
 DELIMITERS = (",", ";", "\t", "|")
-SNIFF_CHARACTERS = 8192
-MAX_FIELD_LENGTH = 10_000
 MAX_REFERENCES = 20
 MAX_NOTICES = 6
+# distinct headers of one folder; more are a sign that the files are not one table
+MAX_HEADERS = 1000
 
 
 @dataclass(frozen=True)
@@ -31,12 +34,13 @@ class Limits:
     max_bytes: int | None = None
     max_rows: int | None = None
     max_columns: int | None = None
-    max_field_length: int | None = MAX_FIELD_LENGTH
+    max_field_length: int | None = None
+    max_name_length: int | None = None
 
 
 def pick_delimiter(line: Column) -> Column:
     """SRC-02: the most frequent candidate in the first line; earlier wins ties; default comma."""
-    head = F.substring(line, 1, SNIFF_CHARACTERS)
+    head = line
     counts = [F.length(head) - F.length(F.replace(head, F.lit(d), F.lit(""))) for d in DELIMITERS]
     best = F.greatest(*counts)
     choice = F.lit(DELIMITERS[0])
@@ -51,17 +55,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mono"),
-        F.regexp_replace(F.col("value"), "\r$", "").alias("line"),
+        F.col("value").alias("line"),
     )
 
 
+def _without_return(line: Column) -> Column:
+    return F.regexp_replace(line, "\\r$", "")
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """The header line of every file, byte-order mark removed."""
     return (
         lines.where(F.col("block") == 0)
         .groupBy("file")
         .agg(F.min_by("line", "mono").alias("line"))
-        .select("file", F.regexp_replace("line", "^﻿", "").alias("line"))
+        .select("file", _without_mark(_without_return(F.col("line"))).alias("line"))
     )
 
 
@@ -69,31 +77,166 @@ def file_delimiters(lines: DataFrame) -> DataFrame:
     return first_lines(lines).select("file", pick_delimiter(F.col("line")).alias("delimiter"))
 
 
-def split_fields(line: Column, delimiter: str) -> Column:
-    """Fields of one line by delimiters outside quotes. Used on malformed lines only."""
-    quoted = "\\" + delimiter if delimiter in "|" else delimiter
-    return F.split(line, quoted + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+def _quoted(delimiter: str) -> str:
+    return "\\" + delimiter if delimiter == "|" else delimiter
+
+
+_REST = r'[^"]*+(?:""[^"]*+)*+'  # of a quoted field, up to its closing quote
+
+
+def leaves_quote_open(line: Column, delimiter: str) -> Column:
+    """Does a line that starts outside quotes end inside a quoted field?
+
+    Only a quote at the start of a field opens one. Possessive throughout, so linear.
+    """
+    d = _quoted(delimiter)
+    field = rf'(?:"{_REST}"[^{d}]*+|(?!")[^{d}]*+){d}'
+    return line.contains('"') & line.rlike(rf'(?s)^(?:{field})*+"{_REST}\z')
 
 
 def field_counts(line: Column, delimiter: str) -> Column:
-    return F.when(line == "", 0).otherwise(F.size(split_fields(line, delimiter)))
+    """Fields of a record: delimiters outside quoted fields, plus one; none in a blank line."""
+    d = _quoted(delimiter)
+    bare = F.regexp_replace(line, rf'(?s)(^|{d})"{_REST}(?:"|\z)', "$1")
+    return F.when(line == "", 0).otherwise(
+        F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    )
 
 
-def has_quoted_breaks(lines: DataFrame) -> bool:
-    """A line with an odd number of quotes starts or ends a field that spans lines."""
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
+def _by_delimiter(make) -> Column:
+    """`make(delimiter)` for the row's own delimiter."""
+    out = make(DELIMITERS[0])
+    for d in DELIMITERS[1:]:
+        out = F.when(F.col("delimiter") == d, make(d)).otherwise(out)
+    return out
+
+
+def _without_mark(line: Column) -> Column:
+    return F.regexp_replace(line, "^\ufeff", "")
 
 
 def parse_header(spark: SparkSession, line: str, delimiter: str) -> list[str]:
-    """One header line as names: parsed by the same CSV parser as the rows."""
+    """One header record as names: parsed by the same CSV parser as the rows."""
     row = spark.createDataFrame([(line,)], "line string")
-    width = row.select(F.size(split_fields(F.col("line"), delimiter)).alias("n")).first()["n"]
-    schema = ", ".join(f"c{i} string" for i in range(width))
+    width = row.select(field_counts(F.col("line"), delimiter).alias("n")).first()["n"]
+    schema = ", ".join(f"c{i} string" for i in range(max(width, 1)))
     parsed = row.select(F.from_csv("line", schema, _options(delimiter)).alias("h")).first()["h"]
     return [v or "" for v in parsed]
 
 
+# --- lines to records ---------------------------------------------------------------------------
+
+
+def _composed(over, state: str, other: str) -> tuple[Column, Column]:
+    """State after the rows of an ordered window, for a start outside and inside quotes.
+
+    A row maps outside to `state` and inside to `other`; equal values forget the start, the pair
+    (true, false) turns it round, and (false, true) keeps it.
+    """
+    turns = F.sum((F.col(state) & ~F.col(other)).cast("int")).over(over)
+    fixed = F.col(state) == F.col(other)
+    value = F.last(F.when(fixed, F.col(state)), ignorenulls=True).over(over)
+    return value, turns
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(file, block, mono, line, delimiter) -> the same with whole records, and `index`: the
+    record's number within its (file, block)."""
+    marked = materialize(
+        lines.withColumn("opens", _by_delimiter(lambda d: leaves_quote_open(F.col("line"), d))), "csv-lines"
+    )
+    first = marked.groupBy("file", "block").agg(F.min("mono").alias("_first"))
+    joined = materialize(marked.where("opens").select("file").distinct(), "csv-joined-files")
+    plain = marked.join(broadcast_if_small(joined), "file", "left_anti")
+    plain = plain.join(broadcast_if_small(first), ["file", "block"]).withColumn("index", F.col("mono") - F.col("_first"))
+    plain = plain.select("file", "block", "mono", "line", "delimiter", "index")
+    if joined.isEmpty():
+        return plain
+    return plain.unionByName(_joined_records(marked.join(broadcast_if_small(joined), "file", "left_semi")))
+
+
+def _joined_records(marked: DataFrame) -> DataFrame:
+    within = W.partitionBy("file", "block").orderBy("mono").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = F.when(
+        F.col("line").contains('"'), _by_delimiter(lambda d: leaves_quote_open(F.concat(F.lit('"'), F.col("line")), d))
+    ).otherwise(True)
+    narrow = marked.select("file", "block", "mono", "opens", inside.alias("stays"))
+    value, turns = _composed(within, "opens", "stays")
+    placed = narrow.withColumn("value", value).withColumn("turns", turns)
+    at_value = F.last(F.when(F.col("opens") == F.col("stays"), F.col("turns")), ignorenulls=True).over(within)
+    placed = materialize(
+        placed.withColumn("turns", F.col("turns") - F.coalesce(at_value, F.lit(0))).select("file", "block", "mono", "value", "turns"),
+        "csv-states",
+    )
+    turned = lambda v, t: F.when(t % 2 == 1, ~v).otherwise(v)
+    # one row per block: what it does to a start outside and inside quotes
+    last = placed.groupBy("file", "block").agg(F.max_by(F.struct("value", "turns"), "mono").alias("s"))
+    effect = last.select(
+        "file", "block",
+        turned(F.coalesce("s.value", F.lit(False)), F.col("s.turns")).alias("opens"),
+        turned(F.coalesce("s.value", F.lit(True)), F.col("s.turns")).alias("stays"),
+    )
+    over = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
+    value, turns = _composed(over, "opens", "stays")
+    chained = effect.withColumn("value", value).withColumn("turns", turns)
+    at_value = F.last(F.when(F.col("opens") == F.col("stays"), F.col("turns")), ignorenulls=True).over(over)
+    after = turned(F.coalesce("value", F.lit(False)), F.col("turns") - F.coalesce(at_value, F.lit(0)))
+    starts = chained.withColumn("after", after).select(
+        "file", "block", F.coalesce(F.lag("after").over(W.partitionBy("file").orderBy("block")), F.lit(False)).alias("start")
+    )
+    ordered = W.partitionBy("file", "block").orderBy("mono")
+    ended = placed.join(broadcast_if_small(starts), ["file", "block"]).withColumn(
+        "after", turned(F.coalesce("value", F.col("start")), F.col("turns"))
+    )
+    told = ended.withColumn("continues", F.coalesce(F.lag("after").over(ordered), F.col("start")))
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = told.select(
+        "file", "block", "mono", "continues",
+        F.last(F.when(~F.col("continues"), F.col("mono")), ignorenulls=True).over(upto).alias("own"),
+        (F.sum((~F.col("continues")).cast("bigint")).over(upto) - 1).alias("index"),
+    )
+    told = materialize(told, "csv-records")
+    # a block may begin inside a record that began blocks before
+    begun = told.groupBy("file", "block").agg(F.max("own").alias("own"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("own").isNotNull(), F.struct("block", "own")), ignorenulls=True).over(before)
+    begun = begun.select("file", "block", carried.alias("carried"))
+    lines = (
+        marked.join(told, ["file", "block", "mono"])
+        .join(broadcast_if_small(begun), ["file", "block"])
+        .withColumn("home", F.when(F.col("own").isNotNull(), F.struct("block", "own")).otherwise(F.col("carried")))
+    )
+    whole = lines.groupBy("file", "home").agg(
+        F.array_sort(F.collect_list(F.struct("block", "mono", "line"))).alias("parts"),
+        F.first("delimiter").alias("delimiter"),
+        F.min(F.when(~F.col("continues"), F.col("index"))).alias("index"),
+    )
+    return whole.select(
+        "file", F.col("home.block").alias("block"), F.col("home.own").alias("mono"),
+        F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"), "delimiter", "index",
+    )
+
+
+def number_records(found: DataFrame) -> DataFrame:
+    """Adds `in_file` (0 is the header) and `row_number` over all data records in path order."""
+    counts = found.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    every = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        "file", "block",
+        F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(own), F.lit(0)).alias("_before_in_file"),
+        F.dense_rank().over(W.orderBy("file")).alias("_files"),
+    )
+    return (
+        found.join(broadcast_if_small(offsets), ["file", "block"])
+        .withColumn("in_file", F.col("_before_in_file") + F.col("index"))
+        # as many headers come before a record as there are files up to its own
+        .withColumn(ROW_NUMBER, (F.col("_before") + F.col("index") - F.col("_files")).cast("long"))
+        .drop("_before", "_before_in_file", "_files", "index")
+    )
+
+
 def _options(delimiter: str) -> dict[str, str]:
     return {
         "sep": delimiter,
@@ -110,10 +253,10 @@ def _options(delimiter: str) -> dict[str, str]:
 def repair_rows(
     parsed: DataFrame, fields: list[str], delimiter: str, max_field_length: int | None
 ) -> DataFrame:
-    """SRC-04/05 on `parsed(…, line, rec)`.
+    """SRC-04/05 on `parsed(row_number, line, rec)`.
 
     An empty cell of a complete row is the empty string; a cell a short row never had is null;
-    extra cells are dropped. Values beyond the limit are cut and marked.
+    extra cells are dropped. With a limit, values beyond it are cut and marked.
     """
     width = len(fields)
     bad = F.col("rec._bad").isNotNull() | (F.col("line") == "")
@@ -127,9 +270,8 @@ def repair_rows(
             long_cell = long_cell | F.coalesce(F.length(value) > cut, F.lit(False))
             value = F.substring(value, 1, cut)
         cells.append(value.alias(name))
-    placed = [c for c in parsed.columns if c not in ("line", "rec")]
     return parsed.withColumn("_have", have).select(
-        *placed, *cells, (F.col("_have") != width).alias("_ragged"), long_cell.alias("_cut")
+        ROW_NUMBER, *cells, (F.col("_have") != width).alias("_ragged"), long_cell.alias("_cut")
     )
 
 
@@ -138,52 +280,58 @@ def read_csv(
     path: str,
     *,
     delimiter: str | None = None,
-    multiline: bool | None = None,
     limits: Limits = Limits(),
 ) -> Table:
-    """SRC-01: a folder of CSV files with one header shape, as an all-text table.
+    """SRC-01: a folder of CSV files with the same columns, as an all-text table.
 
-    The parsed rows are written once as Parquet, which also fixes the row order (SRC-08).
+    Every file has its own delimiter (unless one is given) and column order; a file whose columns
+    are not those of the first is refused by name. The parsed rows are written once as Parquet,
+    which also fixes the row order (SRC-08).
     """
-    lines = read_lines(spark, path)
-    head = first_lines(lines).orderBy("file").limit(1).first()
-    if head is None or head["line"] == "":
-        raise ValueError("there is no header row with at least one column")
-    if delimiter is None:
-        delimiter = (
-            spark.createDataFrame([(head["line"],)], "line string")
-            .select(pick_delimiter(F.col("line")).alias("d"))
-            .first()["d"]
-        )
-    names = parse_header(spark, head["line"], delimiter)
-    if limits.max_columns is not None and len(names) > limits.max_columns:
-        raise ValueError(f"{len(names)} columns are more than the limit of {limits.max_columns}")
     if limits.max_bytes is not None:
         size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
         if size > limits.max_bytes:
             raise ValueError(f"{size} bytes are more than the limit of {limits.max_bytes}")
-    described = name_columns(names)
-    fields = [key for _, key, _ in described]
-    if multiline is None:
-        multiline = has_quoted_breaks(lines)
-    schema = ", ".join(f"c{i} string" for i in range(len(fields))) + ", _bad string"
-    if multiline:
-        reader = spark.read.options(**_options(delimiter), header="true", multiLine="true", enforceSchema="true")
-        rows = reader.schema(schema).csv(path).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.lit(0).cast("bigint").alias("block"),
-            F.monotonically_increasing_id().alias("mono"),
-            F.coalesce("_bad", F.lit("-")).alias("line"),
-            F.struct(*[f"c{i}" for i in range(len(fields))], "_bad").alias("rec"),
-        )
+    lines = read_lines(spark, path)
+    if delimiter is None:
+        lines = lines.join(broadcast_if_small(file_delimiters(lines)), "file")
     else:
-        rows = (
-            materialize(lines, "lines")
-            .transform(_drop_header)
-            .withColumn("rec", F.from_csv("line", schema, _options(delimiter)))
-        )
-    repaired = repair_rows(rows, fields, delimiter, limits.max_field_length)
-    stored = materialize(number_line_rows(materialize(repaired, "csv"), "file", "block", "mono"), "rows")
+        lines = lines.withColumn("delimiter", F.lit(delimiter))
+    numbered = number_records(records(lines)).withColumn("line", _without_return(F.col("line")))
+    heads = materialize(
+        numbered.where("in_file = 0").select("file", "delimiter", _without_mark(F.col("line")).alias("header")), "csv-headers"
+    )
+    shapes = heads.groupBy("delimiter", "header").agg(F.min("file").alias("first_file")).orderBy("first_file").limit(MAX_HEADERS + 1).collect()
+    if len(shapes) > MAX_HEADERS:
+        raise ValueError(f"the files have more than {MAX_HEADERS} different headers")
+    if not shapes or any(h["header"] == "" for h in shapes):
+        raise ValueError("there is no header row with at least one column")
+    layouts = []
+    for h in shapes:
+        names = parse_header(spark, h["header"], h["delimiter"])
+        if limits.max_columns is not None and len(names) > limits.max_columns:
+            raise ValueError(f"{len(names)} columns are more than the limit of {limits.max_columns}")
+        layouts.append((h, name_columns(names, limits.max_name_length)))
+    described = layouts[0][1]
+    fields = [key for _, key, _ in described]
+    for h, own in layouts:
+        if sorted(key for _, key, _ in own) != sorted(fields):
+            raise ValueError(f"the columns of {h['first_file']} are not those of {shapes[0]['first_file']}")
+    rows = numbered.where("in_file > 0")
+    parts = []
+    for h, own in layouts:
+        mine = rows
+        if len(layouts) > 1:
+            files = heads.where((F.col("delimiter") == h["delimiter"]) & (F.col("header") == h["header"])).select("file")
+            mine = rows.join(broadcast_if_small(files), "file", "left_semi")
+        schema = ", ".join(f"c{i} string" for i in range(len(own))) + ", _bad string"
+        parsed = mine.withColumn("rec", F.from_csv("line", schema, _options(h["delimiter"])))
+        keys = [key for _, key, _ in own]
+        parts.append(repair_rows(parsed, keys, h["delimiter"], limits.max_field_length).select(ROW_NUMBER, *fields, "_ragged", "_cut"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    stored = materialize(whole, "rows")
     facts = ingest_counts(stored, described)
     if limits.max_rows is not None and facts["row_count"] > limits.max_rows:
         raise ValueError(f"{facts['row_count']} rows are more than the limit of {limits.max_rows}")
@@ -193,27 +341,13 @@ def read_csv(
     return Table(stored.drop("_ragged", "_cut"), columns, facts)
 
 
-def _drop_header(lines: DataFrame) -> DataFrame:
-    """Everything but the first line of each file (one id per file is joined back)."""
-    heads = lines.where(F.col("block") == 0).groupBy("file").agg(F.min("mono").alias("mono"))
-    return lines.join(broadcast_if_small(heads), ["file", "mono"], "left_anti")
-
-
 def ingest_counts(stored: DataFrame, described: list[tuple[str, str, list[str]]]) -> dict:
-    """SRC-13 for one CSV table: exact totals, and the first references of each kind."""
+    """SRC-13 for one CSV table: exact totals, every ragged row (a frame) and unnamed column."""
     counts = stored.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("_ragged").alias("ragged"),
         F.count_if("_cut").alias("cut"),
     ).first()
-    ragged_rows = [
-        r[0]
-        for r in stored.where("_ragged")
-        .select(ROW_NUMBER)
-        .orderBy(ROW_NUMBER)
-        .limit(MAX_REFERENCES)
-        .collect()
-    ]
     unnamed = [i for i, (_, _, codes) in enumerate(described) if "parsing.empty_column_name" in codes]
     warnings: dict[str, int] = {}
     for _, _, codes in described:
@@ -227,9 +361,9 @@ def ingest_counts(stored: DataFrame, described: list[tuple[str, str, list[str]]]
         "row_count": counts["rows"],
         "column_count": len(described),
         "unnamed_column_count": len(unnamed),
-        "unnamed_columns": unnamed[:MAX_REFERENCES],
+        "unnamed_columns": unnamed,
         "ragged_row_count": counts["ragged"],
-        "ragged_rows": ragged_rows,
+        "ragged_rows": stored.where("_ragged").select(ROW_NUMBER),
         "formula_without_cached_value_cell_count": 0,
         "error_value_cell_count": 0,
         "warnings": warnings,
@@ -239,12 +373,21 @@ def ingest_counts(stored: DataFrame, described: list[tuple[str, str, list[str]]]
 # --- folder-wide inventory -------------------------------------------------------------------
 
 
-def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits()) -> DataFrame:
-    """SRC-06/14: shape, ragged rows and refusals per file, one pass over the lines."""
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, byte_size) without reading any content."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("byte_size"))
+
+
+def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits(), sizes: DataFrame | None = None) -> DataFrame:
+    """SRC-06/14: shape, ragged rows and refusals per file, one pass over the lines.
+
+    With `sizes(file, byte_size)` the byte guard is applied too.
+    """
+    bare = lines.withColumn("line", _without_return(F.col("line")))
     heads = first_lines(lines).select(
         "file", field_counts(F.col("line"), delimiter).alias("column_count")
     )
-    counted = lines.join(broadcast_if_small(heads), "file").withColumn(
+    counted = bare.join(broadcast_if_small(heads), "file").withColumn(
         "have", field_counts(F.col("line"), delimiter)
     )
     shapes = counted.groupBy("file").agg(
@@ -252,15 +395,22 @@ def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits())
         (F.count(F.lit(1)) - 1).alias("row_count"),
         F.count_if(F.col("have") != F.col("column_count")).alias("ragged_rows"),
     )
+    shapes = (
+        shapes.withColumn("byte_size", F.lit(None).cast("bigint"))
+        if sizes is None
+        else shapes.join(broadcast_if_small(sizes), "file", "left")
+    )
     too_wide = F.lit(False) if limits.max_columns is None else F.col("column_count") > limits.max_columns
     too_long = F.lit(False) if limits.max_rows is None else F.col("row_count") > limits.max_rows
+    too_large = F.lit(False) if limits.max_bytes is None else F.coalesce(F.col("byte_size") > limits.max_bytes, F.lit(False))
     problem = (
-        F.when(F.col("column_count") == 0, "NO_HEADER_ROW")
+        F.when(too_large, "BYTE_LIMIT_EXCEEDED")
+        .when(F.col("column_count") == 0, "NO_HEADER_ROW")
         .when(too_wide, "COLUMN_LIMIT_EXCEEDED")
         .when(too_long, "ROW_LIMIT_EXCEEDED")
     )
     return shapes.select(
-        "file", "column_count", "row_count", "ragged_rows", problem.alias("problem"),
+        "file", "column_count", "row_count", "ragged_rows", "byte_size", problem.alias("problem"),
         problem.isNull().alias("can_run"),
     )
 
@@ -303,8 +453,6 @@ def ingest_facts(warnings: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_references(warnings: DataFrame, keys: list[str], limit: int = MAX_REFERENCES) -> DataFrame:
     """The first distinct references per dataset and code (a per-partition group limit)."""
-    from pyspark.sql import Window as W
-
     distinct = warnings.where(F.col("reference").isNotNull()).select(*keys, "code", "reference").distinct()
     rank = F.row_number().over(W.partitionBy(*keys, "code").orderBy("reference"))
     return distinct.withColumn("rank", rank).where(F.col("rank") <= limit)

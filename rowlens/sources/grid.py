@@ -12,10 +12,14 @@ from rowlens.operators.table import ColumnRef, Table, name_columns
 from rowlens.sources.rownum import ROW_NUMBER
 
 
-def decode_cells(cells: DataFrame, shared_strings: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """SRC-10: cell text by type. Shared strings are joined by index, broadcast only when few."""
+BROADCAST_BYTES = 64 << 20
+
+
+def decode_cells(cells: DataFrame, shared_strings: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """SRC-10: cell text by type. Shared strings are joined by index, broadcast up to a size in bytes."""
     strings = shared_strings.select("index", "string")
-    if shared_strings.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    size = strings.agg(F.sum(F.coalesce(F.octet_length("string"), F.lit(0)) + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
         strings = F.broadcast(strings)
     index = F.when(F.col("type") == "s", F.col("raw").try_cast("bigint"))
     joined = cells.withColumn("_index", index).join(strings, F.col("_index") == F.col("index"), "left")
@@ -100,15 +104,14 @@ def sheet_rows(decoded: DataFrame, sheet: str) -> tuple[Table, DataFrame]:
     cells = mine.agg(
         F.count_if("is_error").alias("errors"), F.count_if("is_unresolved_formula").alias("formulas")
     ).first()
-    ragged_rows = [r[0] for r in ragged.orderBy(ROW_NUMBER).limit(20).collect()]
     unnamed = [i for i, n in enumerate(names) if not n]
     facts = {
         "row_count": count,
         "column_count": width,
         "unnamed_column_count": len(unnamed),
-        "unnamed_columns": unnamed[:20],
+        "unnamed_columns": unnamed,
         "ragged_row_count": ragged.count(),
-        "ragged_rows": ragged_rows,
+        "ragged_rows": ragged,
         "formula_without_cached_value_cell_count": cells["formulas"],
         "error_value_cell_count": cells["errors"],
     }

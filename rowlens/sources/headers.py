@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowlens.functions.text import strip
-from rowlens.operators.table import MAX_NAME_LENGTH
 
 HEADER_SCHEMA = (
     "file string, ordinal int, original_name string, internal_key string, was_empty boolean, "
@@ -16,9 +15,11 @@ HEADER_SCHEMA = (
 )
 
 
-def normalize_headers(headers: DataFrame) -> DataFrame:
+def normalize_headers(headers: DataFrame, max_length: int | None = None) -> DataFrame:
     """headers(file, ordinal, name) -> display names, unique keys and warning flags.
 
+    Names are kept whole unless `max_length` is given.
+
     The n-th use of a base key in a file gets the suffix `_n`. Only files in which a suffixed key
     meets a key spelled that way are settled cell by cell, one file's header per group.
     """
@@ -33,9 +34,9 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
     ).select(
         "file",
         "ordinal",
-        F.substring("full", 1, MAX_NAME_LENGTH).alias("original_name"),
+        (F.substring("full", 1, max_length) if max_length else F.col("full")).alias("original_name"),
         "was_empty",
-        (F.length("full") > MAX_NAME_LENGTH).alias("was_cut"),
+        (F.length("full") > max_length if max_length else F.lit(False)).alias("was_cut"),
     )
     joined = F.regexp_replace(F.lower(strip(F.col("original_name"))), "[^a-z0-9]+", "_")
     base = F.regexp_replace(joined, "^_+|_+$", "")

@@ -14,8 +14,9 @@ from rowlens.sources.scratch import materialize
 
 ROW_NUMBER = "row_number"
 
-# A per-file or per-partition table above this many rows is joined, not broadcast.
-MAX_BROADCAST_ROWS = 200_000
+# A per-file, per-block or per-partition table above this many rows is joined, not broadcast: rows
+# hold a path and three numbers, and 100 TB in blocks of 128 MB are 800,000 of them.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -84,20 +85,3 @@ def number_rows(df: DataFrame, order_by: list) -> DataFrame:
     return _add_offsets(materialize(placed, "ordered"), ["_part"], "_index").drop(
         "_part", "_index", "_offset"
     )
-
-
-def number_line_rows(df: DataFrame, file: str, block: str, mono: str) -> DataFrame:
-    """Row numbers of a written text scan: (file, block start) groups in path order.
-
-    Ids of one block are consecutive because one task reads a block front to back.
-    """
-    first = df.groupBy(file, block).agg(F.min(mono).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    running = W.orderBy(file, block).rowsBetween(W.unboundedPreceding, -1)
-    offsets = first.select(
-        file, block, "_first", F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_offset")
-    )
-    return (
-        df.join(broadcast_if_small(offsets), [file, block])
-        .withColumn(ROW_NUMBER, (F.col("_offset") + F.col(mono) - F.col("_first")).cast("long"))
-        .drop("_first", "_offset", file, block, mono)
-    )

@@ -198,17 +198,19 @@ def test_csv_edges(spark, tmp_path):
         ("id", "id"), ("name", "name"), ("column_2", "column_2"), ("id", "id_2")]
     rows = [tuple(r)[:4] for r in table.df.select("id", "name", "column_2", "id_2", "row_number").orderBy("row_number").collect()]
     assert rows == [("1", "a;b", "x", "y"), ("2", "", "", "z"), ("3", None, None, None), (None,) * 4, ("4", 'q"q', "1", "2")]
-    assert (table.facts["ragged_row_count"], table.facts["ragged_rows"], table.facts["unnamed_columns"]) == (3, [2, 3, 4], [2])
+    ragged = sorted(r.row_number for r in table.facts["ragged_rows"].collect())
+    assert (table.facts["ragged_row_count"], ragged, table.facts["unnamed_columns"]) == (3, [2, 3, 4], [2])
     with pytest.raises(ValueError):
         csv.read_csv(spark, str(tmp_path), limits=csv.Limits(max_rows=2))
 
 
-def test_parse_failures_and_unnamed(text_table):
+def test_parse_failures_and_unnamed(spark, text_table):
     facts = {"row_count": 20, "column_count": 2, "unnamed_column_count": 1, "unnamed_columns": [1], "ragged_row_count": 10,
-             "ragged_rows": [3, 4], "formula_without_cached_value_cell_count": 0, "error_value_cell_count": 0}
+             "ragged_rows": spark.range(3, 13).toDF("row_number"), "formula_without_cached_value_cell_count": 0, "error_value_cell_count": 0}
     d = detect(text_table(["a", "column_1"], [("1", "2")] * 20, facts), structural.UNNAMED_COLUMN, structural.PARSE_FAILURES)
     assert [(r.detector_id, r.severity, r.affected_row_count) for r in d.findings.orderBy("finding_index").collect()] == [
-        ("structural.unnamed_column", "medium", 0), ("structural.excessive_parse_failures", "high", 2)]
+        ("structural.unnamed_column", "medium", 0), ("structural.excessive_parse_failures", "high", 10)]
+    assert d.finding_rows.count() == 10
 
 
 def test_sheet_choice():

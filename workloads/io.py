@@ -16,7 +16,7 @@ from rowlens.sources.scratch import scratch_path
 from workloads.base import *  # noqa: F403
 
 K = "o_orderkey"
-NO_CUT = csv.Limits(max_field_length=None)
+CUT = csv.Limits(max_field_length=10_000)
 
 
 def _write_csv(df, label: str) -> str:
@@ -32,7 +32,7 @@ def _documents_csv(spark, sf):
 @register("src_01", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang FROM documents")
 def src_01(spark, sf):
     """Texts with quotes and line breaks inside fields."""
-    table = csv.read_csv(spark, _documents_csv(spark, sf), limits=NO_CUT)
+    table = csv.read_csv(spark, _documents_csv(spark, sf))
     return table.df.select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
@@ -115,7 +115,7 @@ def _ragged_file(spark, sf):
     f"CASE WHEN {K} % 101 = 0 OR {K} % 50 = 7 THEN NULL WHEN {K} % 77 = 5 THEN 'x' ELSE o_orderstatus END AS column_2 FROM orders",
 )
 def src_04(spark, sf):
-    return csv.read_csv(spark, _ragged_file(spark, sf), multiline=False).df.select("row_number", "key", "label", "column_2")
+    return csv.read_csv(spark, _ragged_file(spark, sf)).df.select("row_number", "key", "label", "column_2")
 
 
 @register(
@@ -123,7 +123,7 @@ def src_04(spark, sf):
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(substr(text, 1, 10000)) AS text_md5, CAST(least(length(text), 10000) AS BIGINT) AS kept FROM documents",
 )
 def src_05(spark, sf):
-    table = csv.read_csv(spark, _documents_csv(spark, sf))
+    table = csv.read_csv(spark, _documents_csv(spark, sf), limits=CUT)
     return table.df.select("doc_id", F.md5("text").alias("text_md5"), big(F.length("text"), "kept"))
 
 
@@ -286,15 +286,31 @@ _PLANTED = union_sql(
 )
 
 
+_SEEN = {
+    # what the planted cells look like in the table itself
+    "missing_values": "quantity = ''", "missing_identifier": "sale_id = ''", "negative_measures": "quantity LIKE '-%'",
+    "invalid_percentages": "discount_pct = '140' OR tax_pct = '-9'", "future_dates": "sold_on >= '2026-03-02'",
+    "possible_prompt_injection": "remark <> ''", "empty_column": "spare = ''", "constant_column": "entered_by = 'till 1'",
+    "whitespace": "buyer LIKE ' %' OR buyer LIKE '%\t'",
+    "inconsistent_capitalization": "material = upper(material) OR material = lower(material)",
+}
+_PLACES = {k: (v[0] or tuple(range(demo.CYCLE))) for k, v in demo.DEFECTS.items()}
+
+
 @register(
     "src_15",
-    f"WITH p AS ({_PLANTED}), n AS (SELECT count(*) AS rows FROM lineitem) SELECT issue_type, column_name, "
-    "CAST(sum((rows - place + 299) // 300) AS BIGINT) AS planted FROM p, n GROUP BY 1, 2",
+    f"WITH p AS ({_PLANTED}), n AS (SELECT count(*) AS rows FROM lineitem), s AS ("
+    + union_sql([f"SELECT '{k}' AS issue_type, '(table)' AS column_name, {p} AS place" for k in _SEEN for p in _PLACES[k]])
+    + f"), e AS (SELECT * FROM p UNION ALL SELECT * FROM s) SELECT issue_type, column_name, "
+    f"CAST(sum(greatest(rows - place + {demo.CYCLE - 1}, 0) // {demo.CYCLE}) AS BIGINT) AS planted FROM e, n GROUP BY 1, 2",
 )
 def src_15(spark, sf):
-    """As many demo rows as lineitem has; the planted defects are counted from the rows themselves."""
+    """As many demo rows as lineitem has: the manifest, and the defects seen in the table."""
     numbered = number_file_rows(load(spark, sf, "lineitem")).select("row_number")
-    return demo.manifest(numbered).groupBy("issue_type", "column_name").agg(F.count(F.lit(1)).alias("planted"))
+    listed = demo.manifest(numbered).groupBy("issue_type", "column_name").agg(F.count(F.lit(1)).alias("planted"))
+    seen = demo.plant_defects(numbered).agg(*[F.count_if(F.expr(e)).alias(k) for k, e in _SEEN.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("issue_type"), F.lit("(table)").alias("column_name"), F.col(k).alias("planted")) for k in _SEEN])
+    return listed.unionByName(seen.select(F.inline(pairs)))
 
 
 # --- SNK --------------------------------------------------------------------------------------
