@@ -16,6 +16,7 @@ from functools import cached_property
 from threading import RLock
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowlens.functions import security, text
@@ -215,16 +216,19 @@ class Context:
             .collect()
         }
 
-    def first_rows(self, condition: Column, limit: int = MAX_EXAMPLE_ROWS) -> list[int]:
-        """The first rows, in row order, that satisfy a condition (bounded examples)."""
-        return [
-            r[0]
-            for r in self.table.df.where(condition)
-            .select(ROW_NUMBER)
-            .orderBy(ROW_NUMBER)
-            .limit(limit)
-            .collect()
-        ]
+    def first_rows_of(self, conditions: list[Column], limit: int = MAX_EXAMPLE_ROWS) -> list[list[int]]:
+        """For each condition its first rows in row order, all from one scan (bounded examples)."""
+        if not conditions:
+            return []
+        marks = F.array_compact(
+            F.array(*[F.when(c, F.struct(F.lit(i).alias("condition"))) for i, c in enumerate(conditions)])
+        )
+        rank = F.row_number().over(W.partitionBy("condition").orderBy(ROW_NUMBER))
+        found = self.table.df.select(ROW_NUMBER, F.inline(marks)).withColumn("_rank", rank).where(F.col("_rank") <= limit)
+        out: list[list[int]] = [[] for _ in conditions]
+        for r in sorted(found.select("condition", ROW_NUMBER).collect()):
+            out[r["condition"]].append(r[ROW_NUMBER])
+        return out
 
 
 # Fixed values shared by detectors.

@@ -42,6 +42,7 @@ def _mixed_types(ctx: Context, _: dict) -> Outcome:
     if not mixed:
         return out
     counts = _by_column(label_counts(ctx.text_values("mixed"), vf_shape()))
+    noted, conditions = [], []
     for ref, _p in mixed:
         shapes = counts[ref.ordinal]
         present = [s for s in SHAPES if shapes.get(s)]
@@ -49,10 +50,9 @@ def _mixed_types(ctx: Context, _: dict) -> Outcome:
             continue
         top = dominant(shapes, SHAPES)
         value = ctx.table.text(ref)
-        rows = ctx.first_rows(~ctx.table.missing(ref) & (text.value_shape(value) != top))
+        conditions.append(~ctx.table.missing(ref) & (text.value_shape(value) != top))
         total = sum(shapes.values())
-        out.observe(
-            MIXED_TYPES,
+        noted.append((
             ref,
             f"Column '{ref.original_name}' has {total} value(s) in {len(present)} shapes: "
             + ", ".join(f"{shapes[s]} {s}" for s in present),
@@ -61,8 +61,9 @@ def _mixed_types(ctx: Context, _: dict) -> Outcome:
                 "shape_counts": {s: shapes[s] for s in present},
                 "dominant_shape": top,
             },
-            rows,
-        )
+        ))
+    for note, rows in zip(noted, ctx.first_rows_of(conditions), strict=True):
+        out.observe(MIXED_TYPES, *note, rows)
     return out
 
 
@@ -73,6 +74,7 @@ def _date_formats(ctx: Context, config: dict) -> Outcome:
     if not text_refs:
         return out
     counts = _by_column(label_counts(ctx.profile.vf_of(text_refs), date_family(F.col("value"))))
+    noted, conditions = [], []
     for ref in text_refs:
         families = {k: v for k, v in counts.get(ref.ordinal, {}).items() if k}
         non_blank = sum(counts.get(ref.ordinal, {}).values())
@@ -81,9 +83,8 @@ def _date_formats(ctx: Context, config: dict) -> Outcome:
             continue
         top = dominant(families, DATE_FAMILIES)
         present = [f for f in DATE_FAMILIES if f in families]
-        rows = ctx.first_rows(date_family(ctx.table.text(ref)) != top)
-        out.observe(
-            DATE_FORMATS,
+        conditions.append(date_family(ctx.table.text(ref)) != top)
+        noted.append((
             ref,
             f"Column '{ref.original_name}' writes {date_like} date(s) in {len(present)} formats: "
             + ", ".join(f"{families[f]} {f}" for f in present),
@@ -94,8 +95,9 @@ def _date_formats(ctx: Context, config: dict) -> Outcome:
                 "dominant_format": top,
                 "minimum_date_like_ratio": threshold,
             },
-            rows,
-        )
+        ))
+    for note, rows in zip(noted, ctx.first_rows_of(conditions), strict=True):
+        out.observe(DATE_FORMATS, *note, rows)
     return out
 
 
@@ -187,6 +189,7 @@ def _concentrated_missing(ctx: Context, config: dict) -> Outcome:
     if kept < minimum:
         return out
     runs = {r.ordinal: r for r in missing_runs(ctx.table, candidates).collect()}
+    noted, conditions = [], []
     for ref in candidates:
         r = runs.get(ref.ordinal)
         if r is None or r.missing_count < minimum or r.missing_count == kept:
@@ -195,9 +198,8 @@ def _concentrated_missing(ctx: Context, config: dict) -> Outcome:
         if r.length < minimum or share < share_floor:
             continue
         inside = F.col(ROW_NUMBER).between(r.first_row, r.last_row)
-        rows = ctx.first_rows(inside & ctx.table.missing(ref) & ~ctx.table.all_blank())
-        out.observe(
-            CONCENTRATED_MISSING,
+        conditions.append(inside & ctx.table.missing(ref) & ~ctx.table.all_blank())
+        noted.append((
             ref,
             f"Column '{ref.original_name}' is missing in {r.missing_count} of {kept} row(s); "
             f"{r.length} of them run from row {r.first_row} to row {r.last_row}.",
@@ -212,8 +214,9 @@ def _concentrated_missing(ctx: Context, config: dict) -> Outcome:
                 "minimum_run_length": minimum,
                 "concentration_ratio": share_floor,
             },
-            rows,
-        )
+        ))
+    for note, rows in zip(noted, ctx.first_rows_of(conditions), strict=True):
+        out.observe(CONCENTRATED_MISSING, *note, rows)
     return out
 
 

@@ -179,14 +179,17 @@ def _negatives(ctx: Context, _: dict) -> Outcome:
 
 def _percentages(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
+    outside_of = {}
     for ref, p in ctx.profile.of_type("numeric"):
-        if not any(m in ref.original_name.lower() for m in PERCENT_MARKERS):
-            continue
-        if p["num_min"] >= 0 and p["num_max"] <= 100:
-            continue
-        num = ctx.table.num(ref)
-        outside = ~F.isnan(num) & ((num < 0) | (num > 100))
-        count = ctx.table.df.agg(F.count_if(outside).alias("n")).first()["n"]
+        named = any(m in ref.original_name.lower() for m in PERCENT_MARKERS)
+        if named and not (p["num_min"] >= 0 and p["num_max"] <= 100):
+            num = ctx.table.num(ref)
+            outside_of[ref] = ~F.isnan(num) & ((num < 0) | (num > 100))
+    if not outside_of:
+        return out
+    # all columns in one scan
+    counts = ctx.table.df.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(outside_of.values())]).first()
+    for (ref, outside), count in zip(outside_of.items(), counts, strict=True):
         if count:
             out.add(
                 PERCENTAGES,

@@ -138,7 +138,7 @@ def affected_rows(finding_rows: DataFrame) -> DataFrame:
 def dashboard_summary(
     findings: DataFrame, finding_rows: DataFrame, column_profile: DataFrame, row_count: int
 ) -> DataFrame:
-    """FND-05: four one-row aggregates side by side."""
+    """FND-05: three one-row aggregates, put together by one more."""
     cells = column_profile.agg(
         F.count(F.lit(1)).alias("column_count"),
         F.coalesce(F.sum("null_count"), F.lit(0)).alias("missing"),
@@ -148,8 +148,10 @@ def dashboard_summary(
         F.count_if(F.col("affected_row_count") == 0).alias("findings_without_row_detail"),
     )
     total = F.lit(row_count) * F.col("column_count")
-    one = [f.withColumn("_one", F.lit(1)) for f in (cells, counts, affected_rows(finding_rows))]
-    joined = one[0].join(one[1], "_one").join(one[2], "_one")
+    stacked = cells.unionByName(counts, allowMissingColumns=True).unionByName(
+        affected_rows(finding_rows), allowMissingColumns=True
+    )
+    joined = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     return joined.select(
         F.lit(row_count).cast("bigint").alias("row_count"),
         "column_count",

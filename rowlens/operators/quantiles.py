@@ -71,16 +71,16 @@ def _interpolate(stats: dict[int, float], position: float) -> float:
 def _order_statistics(values: DataFrame, ranks: list[int], small_group: int) -> dict[int, float]:
     """Exact values at 0-based weighted ranks. Only bucket counters reach the driver."""
     found: dict[int, float] = {}
-    # open ranges: (low, high, weight below, ranks wanted inside); bounds are inclusive
-    pending: list[tuple[float, float, int, list[int]]] = [(-math.inf, math.inf, 0, list(ranks))]
+    # open ranges: (low, high, weight below, ranks wanted inside); bounds are inclusive, NaN is the largest value
+    pending: list[tuple[float, float, int, list[int]]] = [(-math.inf, math.nan, 0, list(ranks))]
     while pending:
         low, high, below, wanted = pending.pop()
         inside = values.where(F.col("v").between(F.lit(low), F.lit(high)))
         cuts = inside.agg(
             F.percentile_approx("v", [i / SPLITS for i in range(1, SPLITS)], 10_000).alias("cuts")
         ).first()["cuts"]
-        edges = sorted(set(cuts))
-        bucket = sum((F.col("v") > F.lit(e)).cast("int") for e in edges)
+        edges = sorted({c for c in cuts if not math.isnan(c)})
+        bucket = sum(((F.col("v") > F.lit(e)).cast("int") for e in edges), F.isnan("v").cast("int"))
         buckets = (
             inside.groupBy(bucket.alias("b"))
             .agg(
@@ -94,7 +94,7 @@ def _order_statistics(values: DataFrame, ranks: list[int], small_group: int) ->
         )
         for b in buckets:
             hits = [r for r in wanted if below <= r < below + b.w]
-            if hits and b.lo == b.hi:
+            if hits and (b.lo == b.hi or math.isnan(b.lo)):
                 found.update({r: b.lo for r in hits})
             elif hits and b.d <= small_group:
                 found.update(_pick(values, b.lo, b.hi, below, hits))

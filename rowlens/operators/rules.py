@@ -342,7 +342,10 @@ def execute_rules(table: Table, rules: list[Rule], examples: bool = True) -> Rul
                 except Exception as error:
                     errors[rule.rule_id] = type(error).__name__
     for rule in keyed:
-        counted[rule.rule_id] = _run_key_rule(table, rule)
+        try:
+            counted[rule.rule_id] = _run_key_rule(table, rule)
+        except Exception as error:  # its key cannot be grouped, for example
+            errors[rule.rule_id] = type(error).__name__
     took = round((time.perf_counter() - started) * 1000)
     rows = [_result(rule, counted.get(rule.rule_id), errors.get(rule.rule_id), took) for rule in rules]
     results = table.spark.createDataFrame([tuple(r.values()) for r in rows], RESULT_SCHEMA)

@@ -16,31 +16,33 @@ def validated(rules: DataFrame) -> DataFrame:
     )
 
 
+OPTIONAL = ("description", "parameters", "provenance", "source_finding_ids")
+
+
 def rules_export(rules: DataFrame, analysis_id: str) -> DataFrame:
-    """SNK-01: one JSON document per validated rule, with the export's counts beside it."""
-    counts = rules.agg(
-        F.count_if(F.col("enabled") & F.col("pass_count").isNotNull() & F.col("error").isNull()).alias("rule_count"),
-        F.count(F.lit(1)).alias("_all"),
-    ).withColumn("excluded_rule_count", F.col("_all") - F.col("rule_count"))
+    """SNK-01: one JSON document per validated rule, with the export's counts beside it.
+
+    A document holds all a rule needs to run again; what the rules frame has no column for
+    (`OPTIONAL`) and parameters that are null are left out.
+    """
+    ok = F.col("enabled") & F.col("pass_count").isNotNull() & F.col("error").isNull()
+    counts = rules.agg(F.count_if(ok).alias("good"), F.count(F.lit(1)).alias("every")).first()
+    columns = F.col("columns") if "columns" in rules.columns else F.array("column_name")
     document = F.to_json(
         F.struct(
-            "rule_id", "name", "rule_type", "severity", "column_name", "null_handling",
+            "rule_id", "name", *[c for c in OPTIONAL[:1] if c in rules.columns], "rule_type", "severity",
+            columns.alias("columns"), "null_handling", *[c for c in OPTIONAL[1:] if c in rules.columns],
             F.struct("pass_count", "fail_count", "skipped_count").alias("validation"),
         )
     )
-    return (
-        validated(rules)
-        .select("rule_id", document.alias("document"))
-        .join(F.broadcast(counts.drop("_all")))  # one row
-        .select(
-            F.lit(EXPORT_TYPE).alias("export_type"),
-            F.lit(EXPORT_SCHEMA_VERSION).alias("export_schema_version"),
-            F.lit(analysis_id).alias("analysis_id"),
-            "rule_count",
-            "excluded_rule_count",
-            "rule_id",
-            "document",
-        )
+    return validated(rules).select(
+        F.lit(EXPORT_TYPE).alias("export_type"),
+        F.lit(EXPORT_SCHEMA_VERSION).alias("export_schema_version"),
+        F.lit(analysis_id).alias("analysis_id"),
+        F.lit(counts["good"]).cast("bigint").alias("rule_count"),
+        F.lit(counts["every"] - counts["good"]).cast("bigint").alias("excluded_rule_count"),
+        "rule_id",
+        document.alias("document"),
     )
 
 
