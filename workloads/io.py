@@ -316,7 +316,7 @@ def src_15(spark, sf):
 # --- SNK --------------------------------------------------------------------------------------
 
 RULES = (
-    f"SELECT concat('r', CAST({K} AS STRING)) AS rule_id, concat('Rule ', o_orderpriority) AS name, 'not_null' AS rule_type, 'low' AS severity, "
+    f"SELECT concat('r', CAST({K} AS STRING)) AS rule_id, concat('Rule ', o_orderpriority) AS name, 'numeric_range' AS rule_type, {K} % 7 AS minimum, {K} % 7 + 20 AS maximum, 'low' AS severity, "
     f"o_orderstatus AS column_name, 'skip' AS null_handling, {K} % 4 <> 0 AS enabled, CASE WHEN {K} % 9 = 0 THEN NULL ELSE {K} END AS pass_count, "
     f"{K} % 5 AS fail_count, {K} % 3 AS skipped_count, CASE WHEN {K} % 11 = 0 THEN 'ValueError' END AS error FROM orders"
 )
@@ -326,12 +326,20 @@ RULES = (
     "snk_01",
     f"WITH r AS ({RULES}), ok AS (SELECT * FROM r WHERE enabled AND pass_count IS NOT NULL AND error IS NULL) "
     "SELECT rule_id, 'validation_rules' AS export_type, (SELECT count(*) FROM ok) AS rule_count, (SELECT count(*) FROM r) - (SELECT count(*) FROM ok) AS excluded_rule_count, "
-    "printf('{\"rule_id\":\"%s\",\"name\":\"%s\",\"rule_type\":\"not_null\",\"severity\":\"low\",\"column_name\":\"%s\",\"null_handling\":\"skip\","
-    "\"validation\":{\"pass_count\":%d,\"fail_count\":%d,\"skipped_count\":%d}}', rule_id, name, column_name, pass_count, fail_count, skipped_count) AS document FROM ok",
+    "printf('{\"rule_id\":\"%s\",\"name\":\"%s\",\"description\":\"bounds of %s\",\"rule_type\":\"numeric_range\",\"severity\":\"low\",\"columns\":[\"%s\"],\"null_handling\":\"skip\","
+    "\"parameters\":{\"minimum\":%d,\"maximum\":%d},\"provenance\":\"user\",\"source_finding_ids\":[\"f%s\"],"
+    "\"validation\":{\"pass_count\":%d,\"fail_count\":%d,\"skipped_count\":%d}}', rule_id, name, column_name, column_name, minimum, maximum, column_name, pass_count, fail_count, skipped_count) AS document FROM ok",
 )
 def snk_01(spark, sf):
     load(spark, sf, "orders").createOrReplaceTempView("rowlens_orders")
     rules = spark.sql(RULES.replace("FROM orders", "FROM rowlens_orders"))
+    rules = rules.select(
+        "*",
+        F.concat(F.lit("bounds of "), "column_name").alias("description"),
+        F.struct("minimum", "maximum").alias("parameters"),
+        F.lit("user").alias("provenance"),
+        F.array(F.concat(F.lit("f"), "column_name")).alias("source_finding_ids"),
+    )
     return rules_export(rules, "a1").select("rule_id", "export_type", "rule_count", "excluded_rule_count", "document")
 
 
