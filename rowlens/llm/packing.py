@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +33,50 @@ from rowlens.sources.scratch import scratch_path
 by_value(__name__)
 
 LENGTH, END_ID = 2048, 1
+BLOCK_BYTES = 4 << 20
 DIMENSIONS, BITS = 4, 8
 TIE_BITS = 20  # order keys stay below 2^52
 _BLANK = ~w.NOT_BLANK
 
 
+def _may_end_wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the byte before each place may end a blank outside ASCII (true too often is safe)."""
+    one, two, three = (data[np.maximum(at - n, 0)] for n in (1, 2, 3))
+    unsure = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    for lead, second in ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)):
+        unsure |= (three == lead) & (two == second)
+    return unsure & (one >= 0x80)
+
+
 def cuts(block: w.Block) -> np.ndarray:
     """Starts of the pieces: text starts, and blanks that follow a character other than white space."""
-    data = block.data
-    blank = _BLANK[data]
+    blank = _BLANK[block.data]
     at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    wide = at[data[at - 1] >= 0x80]
-    if len(wide):
-        one, two = data[wide - 1], data[np.maximum(wide - 2, 0)]
-        three = data[np.maximum(wide - 3, 0)]
-        # may end a blank outside ASCII: C2 85, C2 A0, E1 9A .., E2 80 .., E2 81 .., E3 80 ..
-        unsure = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
-        for lead, second in ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)):
-            unsure |= (three == lead) & (two == second)
-        at = np.setdiff1d(at, wide[unsure], assume_unique=True)
-    begin = block.offsets[:-1][np.diff(block.offsets) > 0]
-    return np.union1d(at, begin)
+    start = np.zeros(len(blank), bool)
+    start[at[~_may_end_wide_blank(block.data, at)]] = True
+    start[block.offsets[:-1][np.diff(block.offsets) > 0]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Token ids of many texts; equal pieces are encoded once."""
+    """Token ids of many texts; equal pieces are encoded once.
 
-    MOST = 400_000
+    New pieces that begin with a blank and end with another character are encoded as one long text:
+    no token crosses from one to the next, and the bytes of the tokens tell them apart again.
+    """
+
+    MOST = 600_000
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        # a token of a byte-level vocabulary has one character per byte
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self._clear()
 
     def _clear(self) -> None:
@@ -73,27 +84,48 @@ class Encoder:
         self.first = np.zeros(1, np.int64)
         self.flat = np.empty(0, self.kind)
 
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has."""
+        sure = _BLANK[data[starts]] & ~_BLANK[data[ends - 1]] & ~_may_end_wide_blank(data, ends)
+        counts = np.zeros(len(starts), np.int64)
+        taken, offsets = w.span_bytes(data, starts[sure], ends[sure])
+        joined = np.empty(0, self.kind)
+        if len(taken):
+            text = taken.tobytes().decode("utf-8")
+            joined = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            counts[sure] = np.diff(np.searchsorted(np.cumsum(self.sizes[joined]), offsets, "right"))
+        odd = np.flatnonzero(~sure)
+        if not len(odd):
+            return joined, counts
+        texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts[odd] = [len(x) for x in alone]
+        out = np.empty(int(counts.sum()), self.kind)
+        mine = np.repeat(~sure, counts)
+        out[mine] = np.fromiter((x for one in alone for x in one), self.kind, int(mine.sum()))
+        out[~mine] = joined
+        return out, counts
+
     def encode(self, block: w.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end, hash and text of each piece)."""
         starts = cuts(block)
-        ends = np.append(starts[1:], len(block.data))
+        ends = np.append(starts[1:], len(block.data)) if len(starts) else starts
         rows = np.searchsorted(block.offsets, starts, "right") - 1
         hashes = w.span_hashes(block.data, starts, ends)
         unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
             self._clear()
-        new = [i for i, h in enumerate(unique.tolist()) if h not in self.known]
-        if new:
-            whole = block.data.tobytes()
-            texts = [whole[a:b].decode("utf-8") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        listed = unique.tolist()
+        number = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            ids, counts = self._ids(block.data, starts[at[new]], ends[at[new]])
             n = len(self.known)
-            for i, h in enumerate(unique[new].tolist()):
-                self.known[h] = n + i
-            sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.first = np.concatenate((self.first, self.first[-1] + sizes))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for one in ids for x in one), self.kind, int(sizes[-1]))))
-        number = np.fromiter((self.known[h] for h in unique.tolist()), np.int64, len(unique))[back]
+            number[new] = np.arange(n, n + len(new))
+            self.known.update(zip(unique[new].tolist(), range(n, n + len(new)), strict=True))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
+            self.flat = np.concatenate((self.flat, ids))
+        number = number[back]
         taken, offsets = w.span_bytes(self.flat, self.first[number], self.first[number + 1])
         piece = np.searchsorted(rows, np.arange(block.rows + 1))
         return taken, offsets[piece], hashes, rows
@@ -148,7 +180,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
         encoder = Encoder(sent.value)
         for batch in batches:
             ties = np.asarray(batch.column("tie"))
-            for block in w.blocks(batch.column("text"), 1 << 20):
+            for block in w.blocks(batch.column("text"), BLOCK_BYTES):
                 ids, first, hashes, rows = encoder.encode(block)
                 n = block.rows
                 sizes = np.diff(first) + 1

@@ -18,6 +18,7 @@ from rowlens.llm.ship import by_value
 by_value(__name__)
 
 BLOCK_BYTES = 1 << 18
+SUMMED_BYTES = 5 << 20  # longer blocks take the hash span by span
 
 _CODES = np.arange(256)
 NOT_BLANK = ~((_CODES == 0x20) | ((_CODES >= 0x09) & (_CODES <= 0x0D)))
@@ -153,7 +154,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         return np.empty(0, np.uint64)
     lengths = ends - starts
     with np.errstate(over="ignore"):
-        if len(data) <= 2 * BLOCK_BYTES:
+        if len(data) <= SUMMED_BYTES:
             # a span's polynomial is a difference of running sums, moved to power zero
             running = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_BYTE_VALUES[seed][data] * _power_table(len(data))[: len(data)], out=running[1:])
