@@ -39,7 +39,8 @@ REGISTERS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 80
 # a verified pair agrees in fewer registers than this share less than once in a million
 SKETCH_MARGIN = 0.14
-HUBS = (1, 4)  # per bucket and round
+HUBS = 1  # per bucket in the second round
+BROADCAST_BYTES = 16 << 20
 BROADCAST_KEYS = 2_000_000  # 8 bytes each
 _BLOCK = 1 << 20
 _HASH_BITS = np.uint64(16)  # shingles keep 48 bits; the text's number in its block takes 16
@@ -208,9 +209,19 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def _candidates(open_: DataFrame, comps: DataFrame, hubs_per_bucket: int, percent: int):
-    """Pairs (a, b) of hubs with the other members of their bucket, and the hubs (key, cls)."""
-    labelled = open_.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast a written table up to `BROADCAST_BYTES`; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def _pair(left: str, right: str) -> list:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _second_hubs(open_: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of up to `HUBS` members per bucket, outside its main component, with the other
+    members of the bucket; and (key, cls, n, hub) of what was open, `hub` telling who was one."""
+    labelled = open_.join(_small(comps, 16), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     per_comp = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_members"))
     main = (
         per_comp.groupBy("key")
@@ -219,18 +230,13 @@ def _candidates(open_: DataFrame, comps: DataFrame, hubs_per_bucket: int, percen
         .select("key", F.col("m.comp").alias("main"))
     )
     rest = materialize(labelled.join(main, "key"), "near-open")
-    salt = F.pmod(F.xxhash64("cls"), F.lit(hubs_per_bucket))
-    hub = F.min(F.struct("cls", "n", "comp")).alias("hub")
-    hubs = rest.where("comp <> main").groupBy("key", salt.alias("salt")).agg(hub).select("key", "hub.*")
-    other = hubs.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+    salt = F.pmod(F.xxhash64("cls"), F.lit(HUBS))
+    hubs = rest.where("comp <> main").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("cls", "n", "comp")).alias("hub"))
+    hubs = materialize(hubs.select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), "near-hubs")
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    pairs = (
-        rest.join(other, "key")
-        .where((F.col("comp") != F.col("hub_comp")) & fits)
-        .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-        .distinct()
-    )
-    return pairs, hubs.select("key", "cls"), rest.select("key", "cls", "n")
+    pairs = rest.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & fits).select(*_pair("cls", "hub")).distinct()
+    left = rest.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls", "n")
+    return pairs, left
 
 
 def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -239,43 +245,35 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
     `classes`: (cls, n, text_key, bands, sketch), one row each; `texts`: (text_key, text).
     """
     members = classes.select("cls", "n", F.explode("bands").alias("key"))
-    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = materialize(members.join(full, "key"), "near-members")
-    met = members.select("cls").distinct()
-    about = materialize(classes.select("cls", "text_key", "sketch").join(met, "cls"), "near-met")
-    wanted = about.select("text_key")
-    if about.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    sets = materialize(
-        class_sets(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), size).dropDuplicates(["cls"]),
-        "near-sets",
-    )
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n")).alias("hub")).where("size > 1")
+    members = materialize(members.join(buckets, "key"), "near-members")
+    met = materialize(members.select("cls").distinct(), "near-met")
+    about = materialize(classes.select("cls", "text_key", "sketch").join(_small(met, 8), "cls"), "near-about")
+    wanted = texts.join(_small(about.select("text_key"), 8), "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = materialize(class_sets(wanted, size).dropDuplicates(["cls"]), "near-sets")
+    weight = sets.agg(F.sum(F.length("elements"))).first()[0] or 0
+    shown = F.broadcast(sets) if weight <= BROADCAST_BYTES else sets
+    sketches = _small(about.select("cls", "sketch"), REGISTERS + 16)
     spark = classes.sparkSession
-    empty = spark.createDataFrame([], "a bigint, b bigint")
-    state = _State(empty, spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "cls bigint, comp bigint"))
+    state = _State(spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "cls bigint, comp bigint"))
 
     def verify(pairs: DataFrame) -> None:
         """Links the pairs that overlap enough, and joins their components."""
-        pairs = materialize(pairs.join(state.done, ["a", "b"], "left_anti"), "near-pairs")
-        state.done = materialize(state.done.unionByName(pairs), "near-done")
-        sketches = about.select("cls", "sketch")
-        near = _agreeing(
-            pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b"), percent / 100 - SKETCH_MARGIN
-        )
-        near = materialize(near, "near-agreeing")
-        linked = _linked(near.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b"), percent)
+        near = pairs
+        if weight > BROADCAST_BYTES:  # sets would be moved: leave out pairs that cannot link
+            sketched = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+            near = _agreeing(sketched, percent / 100 - SKETCH_MARGIN)
+        linked = _linked(near.join(shown.toDF("a", "ea"), "a").join(shown.toDF("b", "eb"), "b"), percent)
         linked = materialize(linked, "near-links")
         if not linked.isEmpty():
             state.join(linked)
 
-    open_ = members
-    for hubs_per_bucket in HUBS:
-        pairs, hubs, rest = _candidates(open_, state.comps, hubs_per_bucket, percent)
-        hubs = materialize(hubs, "near-hubs")
-        if hubs.isEmpty():
-            return state.edges
-        verify(pairs)
-        open_ = rest.join(hubs, ["key", "cls"], "left_anti")
+    fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    verify(members.where((F.col("cls") != F.col("hub.cls")) & fits).select(*_pair("cls", "hub.cls")).distinct())
+    # a bucket of two is settled; in others the members that were not the hub are left
+    open_ = members.where((F.col("size") > 2) & (F.col("cls") != F.col("hub.cls"))).select("key", "cls", "n")
+    pairs, open_ = _second_hubs(open_, state.comps, percent)
+    verify(pairs)
     unclear = materialize(_unclear(open_, state.comps), "near-unclear")
     if not unclear.isEmpty():
         verify(_prefix_pairs(unclear, sets, percent))
@@ -283,20 +281,20 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
 
 
 class _State:
-    """Verified pairs, components as (node, smallest node), and as (cls, comp) of all nodes."""
+    """Components as (node, smallest node), and as (cls, comp) of all nodes in one."""
 
-    def __init__(self, done: DataFrame, edges: DataFrame, comps: DataFrame):
-        self.done, self.edges, self.comps = done, edges, comps
+    def __init__(self, edges: DataFrame, comps: DataFrame):
+        self.edges, self.comps = edges, comps
 
     def join(self, linked: DataFrame) -> None:
         self.edges = components(self.edges.unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v"))))
         roots = self.edges.select(F.col("v").alias("cls")).distinct().withColumn("comp", F.col("cls"))
-        self.comps = self.edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots)
+        self.comps = materialize(self.edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots), "near-comps")
 
 
 def _unclear(open_: DataFrame, comps: DataFrame) -> DataFrame:
     """(cls, n, comp) of classes in buckets whose members that were not hubs lie in several components."""
-    labelled = open_.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    labelled = open_.join(_small(comps, 16), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     return labelled.join(mixed, "key").select("cls", "n", "comp").distinct()
 
@@ -321,12 +319,12 @@ def _prefix_pairs(unclear: DataFrame, sets: DataFrame, percent: int) -> DataFram
     So it lies in the first (100 - p) / 100 of both sets and in the first (100 - p) / (100 + p) of
     one. Members of a group that differ in many places begin with shingles no one else has.
     """
-    tokens = _exploded(sets.join(unclear.select("cls"), "cls"))
-    tokens = materialize(tokens, "near-tokens")
+    who = _small(unclear, 32)
+    tokens = materialize(_exploded(sets.join(who.select("cls"), "cls")), "near-tokens")
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
     place = F.row_number().over(Window.partitionBy("cls").orderBy("frequency", "token")) - 1
     entries = (
-        tokens.join(frequency, "token").withColumn("i", place).where("frequency > 1").join(unclear, "cls")
+        tokens.join(frequency, "token").withColumn("i", place).where("frequency > 1").join(who, "cls")
         .where(100 * F.col("i") <= (100 - percent) * F.col("n"))
         .select("token", "cls", "n", "comp", "i")
     )
