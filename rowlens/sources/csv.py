@@ -145,14 +145,19 @@ def records(lines: DataFrame) -> DataFrame:
     marked = materialize(
         lines.withColumn("opens", _by_delimiter(lambda d: leaves_quote_open(F.col("line"), d))), "csv-lines"
     )
-    first = marked.groupBy("file", "block").agg(F.min("mono").alias("_first"))
+    first = broadcast_if_small(marked.groupBy("file", "block").agg(F.min("mono").alias("_first")))
+
+    def indexed(plain: DataFrame) -> DataFrame:
+        """Lines that are records: ids of one block are consecutive, as one task reads it front to back."""
+        numbered = plain.join(first, ["file", "block"]).withColumn("index", F.col("mono") - F.col("_first"))
+        return numbered.select("file", "block", "mono", "line", "delimiter", "index")
+
     joined = materialize(marked.where("opens").select("file").distinct(), "csv-joined-files")
-    plain = marked.join(broadcast_if_small(joined), "file", "left_anti")
-    plain = plain.join(broadcast_if_small(first), ["file", "block"]).withColumn("index", F.col("mono") - F.col("_first"))
-    plain = plain.select("file", "block", "mono", "line", "delimiter", "index")
     if joined.isEmpty():
-        return plain
-    return plain.unionByName(_joined_records(marked.join(broadcast_if_small(joined), "file", "left_semi")))
+        return indexed(marked)
+    joined = broadcast_if_small(joined)
+    plain = indexed(marked.join(joined, "file", "left_anti"))
+    return plain.unionByName(_joined_records(marked.join(joined, "file", "left_semi")))
 
 
 def _joined_records(marked: DataFrame) -> DataFrame:
