@@ -33,7 +33,7 @@ from rowlens.sources.scratch import scratch_path
 by_value(__name__)
 
 LENGTH, END_ID = 2048, 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, TEXT_BYTES = 1 << 20, 1 << 17
 DIMENSIONS, BITS = 4, 8
 TIE_BITS = 20  # order keys stay below 2^52
 _BLANK = ~w.NOT_BLANK
@@ -65,7 +65,7 @@ class Encoder:
     no token crosses from one to the next, and the bytes of the tokens tell them apart again.
     """
 
-    MOST = 600_000
+    MOST = 300_000
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -91,8 +91,14 @@ class Encoder:
         taken, offsets = w.span_bytes(data, starts[sure], ends[sure])
         joined = np.empty(0, self.kind)
         if len(taken):
-            text = taken.tobytes().decode("utf-8")
-            joined = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            whole, parts = taken.tobytes(), []
+            at = 0  # the encoder needs a few hundred bytes of memory per byte of text
+            while at < len(offsets) - 1:
+                to = max(int(np.searchsorted(offsets, offsets[at] + TEXT_BYTES, "right")) - 1, at + 1)
+                text = whole[offsets[at] : offsets[to]].decode("utf-8")
+                parts.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind))
+                at = to
+            joined = np.concatenate(parts)
             counts[sure] = np.diff(np.searchsorted(np.cumsum(self.sizes[joined]), offsets, "right"))
         odd = np.flatnonzero(~sure)
         if not len(odd):
