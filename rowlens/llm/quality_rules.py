@@ -1,11 +1,18 @@
 """Quality rules with thresholds taken from the corpus, per language and source.
 
 Fixed cutoffs fail where languages and sources differ, so each measure's cutoff follows its own
-distribution. The sketch is a table of logarithmic buckets (relative error `ACCURACY`): buckets
-of two groups merge by adding counts, so a group too small to speak for itself is judged by the
-merged sketch of its language, and that of the whole corpus after it. Sketch rows are bounded by
-groups x measures x about 1,000 buckets whatever the input, and counting is combined before the
-shuffle, so one source with a third of all rows is no hot key.
+distribution among the texts that pass the base rules: the upper quartile, which junk below a
+quarter of a group cannot lift, and a multiple of the way from the median to the upper tenth.
+That spread is shrunk to the one of the language, and this to the one of the corpus, and may not
+exceed `LIFT` times theirs, so one source's junk lifts nothing. A text is rejected for a rate
+beyond the fence only if it also holds a least number of cases: one repeat in three lines is no
+junk. Where nine texts in ten have none at all (symbols in prose), the fence is the slack alone.
+
+The sketch is a table of logarithmic buckets (relative error `ACCURACY`): buckets of two groups
+merge by adding counts, so a group too small to speak for itself is judged by the merged sketch of
+its language, and that of the whole corpus after it. Sketch rows are bounded by groups x measures
+x about 1,000 buckets whatever the input, and counting is combined before the shuffle, so one
+source with a third of all rows is no hot key.
 
 Defined cases: a null text has no words and fails; an empty table gives an empty result; null
 languages and sources form groups of their own; further columns are kept by `judge`, and columns
@@ -145,12 +152,13 @@ def quantiles(sketched: DataFrame, groups: list[str], shares: dict[str, float])
 
 # --- rules --------------------------------------------------------------------------------------
 
-# measure -> slack added to the group's own spread; a value beyond the fence is rejected
-UPPER_SLACK = {"symbols": 0.25, "dup_lines": 0.3, "adjacent": 0.2, "upper": 0.25, "marks": 0.25}
-SPREAD = 4.0
+# measure -> slack added to the fence; a value beyond it is rejected if the text has LEAST cases
+UPPER_SLACK = {"symbols": 0.1, "dup_lines": 0.3, "adjacent": 0.02, "upper": 0.02, "marks": 0.1}
+LEAST = {"symbols": 5, "dup_lines": 3, "adjacent": 5, "upper": 15, "marks": 5}
+SPREAD, LIFT = 4.0, 2.0
 MIN_GROUP = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-SHARES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+SHARES = {"q50": 0.5, "q75": 0.75, "q90": 0.9}
 
 
 def measures(counts: str) -> dict[str, Column]:
@@ -171,29 +179,39 @@ def base_failed(counts: str) -> Column:
     return (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
 
 
+def _shrunk(own: Column, n: Column, parent: Column, min_group: int) -> Column:
+    """A group's spread drawn to its parent's as by `min_group` more texts, at most `LIFT` times that."""
+    return F.least((n * own + min_group * parent) / (n + min_group), LIFT * parent)
+
+
 def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Fence per (lang, source, measure): median + SPREAD x quartile range + slack.
+    """Fence per (lang, source, measure): upper quartile + SPREAD x shrunk spread + slack.
 
     A group with fewer than `min_group` documents takes the fence of its language, and a small
     language that of the corpus.
     """
     names = list(UPPER_SLACK)
     fine = materialize(sketch(measured, ["lang", "source"], names), "quality-sketch")
-    slack = F.create_map(*[x for k, v in UPPER_SLACK.items() for x in (F.lit(k), F.lit(v))])
-    fence = (F.col("q50") + SPREAD * (F.col("q75") - F.col("q25")) + slack[F.col("measure")]).alias("fence")
-    own = quantiles(fine, ["lang", "source"], SHARES).select("lang", "source", "measure", "n", fence)
-    by_lang = quantiles(fine, ["lang"], SHARES).select(
-        F.col("lang").alias("_lang"), F.col("measure").alias("_lm"), F.col("n").alias("_ln"), fence.alias("_lf")
+    slack = F.create_map(*[x for k, v in UPPER_SLACK.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
+    level = lambda at: [
+        F.col(c).alias(f"{at}{c}") for c in ("lang", "measure", "n", "q75", "spread") if c != "lang" or at == "_l"
+    ]
+    spread = F.col("q90") - F.col("q50")
+    own = quantiles(fine, ["lang", "source"], SHARES).withColumn("spread", spread)
+    by_lang = quantiles(fine, ["lang"], SHARES).withColumn("spread", spread).select(level("_l"))
+    overall = quantiles(fine, [], SHARES).withColumn("spread", spread).select(level("_o"))
+    of_lang = _shrunk(F.col("_lspread"), F.col("_ln"), F.col("_ospread"), min_group)
+    of_group = _shrunk(F.col("spread"), F.col("n"), F.col("_lang_spread"), min_group)
+    fence = (
+        F.when(F.col("n") >= min_group, F.col("q75") + SPREAD * of_group)
+        .when(F.col("_ln") >= min_group, F.col("_lq75") + SPREAD * F.col("_lang_spread"))
+        .otherwise(F.col("_oq75") + SPREAD * F.col("_ospread"))
     )
-    overall = quantiles(fine, [], SHARES).select(F.col("measure").alias("_om"), fence.alias("_of"))
     return (
-        own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_lm")))
-        .join(overall, F.col("measure") == F.col("_om"))
-        .select(
-            "lang", "source", "measure",
-            F.when(F.col("n") >= min_group, F.col("fence"))
-            .when(F.col("_ln") >= min_group, F.col("_lf")).otherwise(F.col("_of")).alias("fence"),
-        )
+        own.join(by_lang, F.col("lang").eqNullSafe(F.col("_llang")) & (F.col("measure") == F.col("_lmeasure")))
+        .join(overall, F.col("measure") == F.col("_omeasure"))
+        .withColumn("_lang_spread", of_lang)
+        .select("lang", "source", "measure", (fence + slack).alias("fence"))
     )
 
 
@@ -206,7 +224,7 @@ def judge(docs: DataFrame, prefix: str = "_q_", min_group: int = MIN_GROUP) -> D
     counted = materialize(docs.withColumn(counts, text_counts(F.col("text"))), "quality-counts")
     rates = measures(counts)
     lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
-    measured = counted.select(
+    measured = counted.where(~base_failed(counts)).select(
         lang.alias("lang"), source.alias("source"), *[v.alias(k) for k, v in rates.items()]
     )
     fences = (
@@ -215,7 +233,10 @@ def judge(docs: DataFrame, prefix: str = "_q_", min_group: int = MIN_GROUP) -> D
         .agg(F.map_from_entries(F.collect_list(F.struct("measure", "fence"))).alias("fences"))
         .select(F.struct("lang", "source").alias(key), F.col("fences").alias(f"{prefix}fences"))
     )
-    over = [F.coalesce(v > F.col(f"{prefix}fences")[k], F.lit(False)) for k, v in rates.items()]
+    over = [
+        F.coalesce(v > F.col(f"{prefix}fences")[k], F.lit(False)) & (F.col(f"{counts}.n_{k}") >= LEAST[k])
+        for k, v in rates.items()
+    ]
     failed = base_failed(counts)
     beyond = over[0]
     for o in over[1:]:

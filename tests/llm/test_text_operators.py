@@ -93,6 +93,33 @@ def test_quality_rules_adapt_to_their_group(spark):
     assert quality_rules.judge(df.where("false")).count() == 0
 
 
+def test_quality_rules_take_fences_from_the_data(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    prose = lambda n=60, caps=2: " ".join(word().title() if i < caps else word() for i in range(n))
+    rows = [(i, prose(caps=rnd.randint(3, 9)), "en", f"s{i % 3}") for i in range(900)]
+    rows += [(1000 + i, " ".join("$" + x for x in prose().split()), "en", "s0") for i in range(45)]  # an eighth of s0 is junk
+    rows += [(2000, prose(60, 50).upper().title(), "en", "s1")]  # 1 in 7 letters is a capital
+    rows += [(3000, f"{prose()}\n{(line := prose(9, 1))}\n{line}", "en", "s1")]  # one repeat in three lines
+    rows += [(4000, "\n".join([prose(5, 1), *[prose(9, 1)] * 5]).replace("\n", " \n"), "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert all(judged[i]._q_kept for i in range(900)) and judged[3000]._q_kept
+    assert not any(judged[1000 + i]._q_kept for i in range(45))
+    assert not judged[2000]._q_base_failed and not judged[2000]._q_kept and not judged[4000]._q_kept
+    counted = df.select("lang", "source", quality_rules.text_counts(F.col("text")).alias("c"))
+    rates = [v.alias(k) for k, v in quality_rules.measures("c").items()]
+    fences = {(r.source, r.measure): r.fence for r in quality_rules.thresholds(counted.select("lang", "source", *rates)).collect()}
+    assert fences["s0", "symbols"] == quality_rules.UPPER_SLACK["symbols"]  # its junk lifts nothing
+
+
+def test_quality_rules_keep_labelled_clean_rows(spark):
+    got = queries.QUERIES["op7_quality_rules"](spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = got.join(labels, "doc_id").where("NOT base_failed").groupBy("quality", "kept").count().collect()
+    assert {(r.quality, r.kept) for r in rows} == {(1, True), (0, False)}
+
+
 def test_sketch_error_and_merge(spark):
     df = spark.range(1, 5001).select(F.pmod("id", F.lit(7)).alias("g"), (F.col("id") / 10.0).alias("m"))
     sketched = quality_rules.sketch(df, ["g"], ["m"])
