@@ -257,10 +257,10 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
     spark = classes.sparkSession
     state = _State(spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "cls bigint, comp bigint"))
 
-    def verify(pairs: DataFrame) -> None:
+    def verify(pairs: DataFrame, sketch_first: bool = True) -> None:
         """Links the pairs that overlap enough, and joins their components."""
         near = pairs
-        if weight > BROADCAST_BYTES:  # sets would be moved: leave out pairs that cannot link
+        if sketch_first and weight > BROADCAST_BYTES:  # sets would be moved: leave out pairs that hardly link
             sketched = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
             near = _agreeing(sketched, percent / 100 - SKETCH_MARGIN)
         linked = _linked(near.join(shown.toDF("a", "ea"), "a").join(shown.toDF("b", "eb"), "b"), percent)
@@ -276,7 +276,7 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
     verify(pairs)
     unclear = materialize(_unclear(open_, state.comps), "near-unclear")
     if not unclear.isEmpty():
-        verify(_prefix_pairs(unclear, sets, percent))
+        verify(_prefix_pairs(unclear, sets, percent), sketch_first=False)
     return state.edges
 
 

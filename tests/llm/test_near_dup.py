@@ -75,6 +75,23 @@ def test_prefix_filter_finds_every_pair(spark, monkeypatch):
     assert sorted(rows) == sorted(brute(docs, 2, 80))
 
 
+def test_no_sketch_cuts_pairs_of_the_prefix_filter(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)  # as on large input
+    monkeypatch.setattr(near_dup, "_second_hubs", lambda open_, comps, percent: (open_.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false"), open_))
+    prefix_pairs, seen = near_dup._prefix_pairs, []
+
+    def then_cut_all(unclear, sets, percent):
+        seen.append(unclear)
+        monkeypatch.setattr(near_dup, "_agreeing", lambda pairs, share: pairs.select("a", "b").where("false"))
+        return prefix_pairs(unclear, sets, percent)
+
+    monkeypatch.setattr(near_dup, "_prefix_pairs", then_cut_all)
+    docs = drifting(7, 200, 30)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.groups(df, size=2, percent=80).collect()]
+    assert seen and sorted(rows) == sorted(brute(docs, 2, 80))
+
+
 def test_keep_one(spark):
     docs = [(3, "a b c d e f g", 1), (1, "a b c d e f g", 2), (1, "a b c d e f g", 2), (None, "a b c d e f g", 3), (7, None, 4), (8, "", 5), (8, "", 5)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, kid int").withColumn("group", F.lit("g"))
