@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline bound to the given tables."""
+"""The thirteen operators bound to the given tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.llm import (
     decontaminate,
+    importance,
     line_dedup,
     lm_score,
     near_dup,
@@ -16,7 +17,9 @@ from rowlens.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    spelling,
     substring_dedup,
+    toxicity,
     url_filter,
 )
 from rowlens.sources.scratch import materialize, scratch_path
@@ -254,3 +257,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(load(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+
+
+@register("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
+    docs = docs.withColumn("held_out", remainder("doc_id", 5) == 0)
+    found = toxicity.scored(docs, labels, "doc_id", "toxic", ~F.col("held_out"))
+    score = F.col("_toxic_score").alias("score")
+    return found.select("doc_id", "held_out", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@register("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.importance(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
