@@ -11,8 +11,9 @@ components, and the bucket is finished when its members that were not hubs yet b
 component: every pair of a bucket is then verified or known to be connected. A group of thousands
 of near copies thus costs about one comparison per member. Classes of buckets that are not
 finished after two rounds, such as a large group of copies that drifted apart, are compared by an
-exact prefix filter instead. With 36 bands of 6 registers, a pair of similarity 0.8 meets in some
-bucket except with probability 2e-5.
+exact prefix filter instead. Every pair that is compared is compared by its full sets of 64-bit
+shingles, at any size of the input. With 36 bands of 6 registers, a pair of similarity 0.8 meets
+in some bucket except with probability 2e-5.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; rows may repeat
 ids and texts; a row without id belongs to the smallest id of its group, if there is one.
@@ -37,13 +38,11 @@ by_value(__name__)
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 80
-# a verified pair agrees in fewer registers than this share less than once in a million
-SKETCH_MARGIN = 0.14
 HUBS = 1  # per bucket in the second round
 BROADCAST_BYTES = 16 << 20
 BROADCAST_KEYS = 2_000_000  # 8 bytes each
-_BLOCK = 1 << 20
-_HASH_BITS = np.uint64(16)  # shingles keep 48 bits; the text's number in its block takes 16
+_BLOCK = 1 << 17  # bytes of text whose shingles are in a worker's memory at once
+_CHUNK = 1 << 14  # shingles of one set that are offered to the registers at once
 
 
 def shingle_sets(block: w.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +58,30 @@ def shingle_sets(block: w.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(own):
             values.append(w.mix(w.gram_hashes(hashes, short)[found.first[own]] + np.uint64(short)))
             rows.append(own)
-    keys = (np.concatenate(rows).astype(np.uint64) << np.uint64(48)) | (np.concatenate(values) >> _HASH_BITS)
-    keys = np.unique(keys)
-    first = np.searchsorted(keys, np.arange(block.rows + 1, dtype=np.uint64) << np.uint64(48))
-    return keys & np.uint64((1 << 48) - 1), first
+    values, rows = np.concatenate(values), np.concatenate(rows).astype(np.uint16)
+    order = np.argsort(values)
+    order = order[np.argsort(rows[order], kind="stable")]  # by text, then by shingle
+    values, rows = values[order], rows[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+    values, rows = values[new], rows[new]
+    return values, np.searchsorted(rows, np.arange(block.rows + 1))
 
 
 def super_minhash(elements: np.ndarray, first: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """One row of `registers` values per set: round number in the high bits, random rank below."""
+    """One row of `registers` values per set: round number in the high bits, random rank below.
+
+    A large set is offered in chunks, as the registers of a union are the least of its parts'.
+    """
+    parts = np.maximum(1, -(-np.diff(first) // _CHUNK))
+    if (parts == 1).all():
+        return _registers(elements, first, registers)
+    begin = np.concatenate([np.arange(a, max(b, a + 1), _CHUNK) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+    table = _registers(elements, np.append(begin, first[-1]), registers)
+    return np.minimum.reduceat(table, np.cumsum(parts) - parts, axis=0)
+
+
+def _registers(elements: np.ndarray, first: np.ndarray, registers: int) -> np.ndarray:
     n = len(first) - 1
     table = np.full(n * registers, np.iinfo(np.uint64).max, np.uint64)
     rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(first))
@@ -121,8 +136,8 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, cls, bands, sketch) of rows (doc_id, text_key, text); bands are
-    empty without shingles."""
+    """(doc_id, text_key, n_shingles, cls, bands) of rows (doc_id, text_key, text); bands are empty
+    without shingles."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,72 +156,40 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sizes = np.diff(first)
                 ends = np.zeros(block.rows + 1, np.int32)
                 np.cumsum(np.where(sizes > 0, BANDS, 0), out=ends[1:])
-                sketch = (w.mix(table) & np.uint64(0xFF)).astype(np.uint8)
-                sketched = pa.Array.from_buffers(
-                    pa.binary(), block.rows,
-                    [None, pa.py_buffer(np.arange(block.rows + 1, dtype=np.int32) * REGISTERS), pa.py_buffer(np.ascontiguousarray(sketch))],
-                )
                 own = batch.slice(begin, block.rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.column("doc_id"), own.column("text_key"), pa.array(sizes.astype(np.int64)),
                         _signed(set_digest(elements, first)),
-                        pa.ListArray.from_arrays(pa.array(ends), _signed(bands[sizes > 0].ravel())), sketched,
+                        pa.ListArray.from_arrays(pa.array(ends), _signed(bands[sizes > 0].ravel())),
                     ],
-                    ["doc_id", "text_key", "n_shingles", "cls", "bands", "sketch"],
+                    ["doc_id", "text_key", "n_shingles", "cls", "bands"],
                 )
                 begin += block.rows
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(
-        run, f"doc_id {id_type}, text_key bigint, n_shingles bigint, cls bigint, bands array<bigint>, sketch binary"
+        run, f"doc_id {id_type}, text_key bigint, n_shingles bigint, cls bigint, bands array<bigint>"
     )
 
 
 def class_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(cls, elements) of texts: the sorted shingles as bytes."""
+    """(cls, elements) of texts: the shingles of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _small_blocks(batch.column("text")):
                 elements, first = shingle_sets(block, size)
-                packed = [elements[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(set_digest(elements, first)), pa.array(packed, pa.binary())], ["cls", "elements"]
-                )
-
-    return texts.select("text").mapInArrow(run, "cls bigint, elements binary")
-
+                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _signed(elements))
+                yield pa.RecordBatch.from_arrays([_signed(set_digest(elements, first)), sets], ["cls", "elements"])
 
-def _agreeing(pairs: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose sketches agree in at least `share` of the registers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb")
-            )
-            keep = (a == b).mean(axis=1) >= share
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return texts.select("text").mapInArrow(run, "cls bigint, elements array<bigint>")
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ea, eb) whose sets overlap enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("ea"), batch.column("eb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ordered = np.sort(np.concatenate((x, y)))
-                common = int((ordered[1:] == ordered[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    """(a, b) of pairs (a, b, ea, eb) whose sets overlap enough."""
+    common = F.size(F.array_intersect("ea", "eb"))
+    every = (F.size("ea") + F.size("eb") - F.col("common")).cast("bigint")
+    return pairs.withColumn("common", common).where(100 * F.col("common").cast("bigint") >= percent * every).select("a", "b")
 
 
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -229,10 +212,12 @@ def _second_hubs(open_: DataFrame, comps: DataFrame, percent: int) -> tuple[Data
         .where("n_comps > 1")
         .select("key", F.col("m.comp").alias("main"))
     )
+    main = _small(materialize(main, "near-main"), 16)  # a bucket of thousands is dealt by its key only where this is large
     rest = materialize(labelled.join(main, "key"), "near-open")
     salt = F.pmod(F.xxhash64("cls"), F.lit(HUBS))
     hubs = rest.where("comp <> main").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("cls", "n", "comp")).alias("hub"))
     hubs = materialize(hubs.select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), "near-hubs")
+    hubs = _small(hubs, 32)
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     pairs = rest.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & fits).select(*_pair("cls", "hub")).distinct()
     left = rest.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls", "n")
@@ -242,28 +227,23 @@ def _second_hubs(open_: DataFrame, comps: DataFrame, percent: int) -> tuple[Data
 def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): class u belongs to the component of class v; classes alone are left out.
 
-    `classes`: (cls, n, text_key, bands, sketch), one row each; `texts`: (text_key, text).
+    `classes`: (cls, n, text_key, bands), one row each; `texts`: (text_key, text).
     """
     members = classes.select("cls", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "n")).alias("hub")).where("size > 1")
     members = materialize(members.join(buckets, "key"), "near-members")
     met = materialize(members.select("cls").distinct(), "near-met")
-    about = materialize(classes.select("cls", "text_key", "sketch").join(_small(met, 8), "cls"), "near-about")
+    about = materialize(classes.select("cls", "text_key").join(_small(met, 8), "cls"), "near-about")
     wanted = texts.join(_small(about.select("text_key"), 8), "text_key", "left_semi").dropDuplicates(["text_key"])
     sets = materialize(class_sets(wanted, size).dropDuplicates(["cls"]), "near-sets")
-    weight = sets.agg(F.sum(F.length("elements"))).first()[0] or 0
-    shown = F.broadcast(sets) if weight <= BROADCAST_BYTES else sets
-    sketches = _small(about.select("cls", "sketch"), REGISTERS + 16)
+    weight = sets.agg(F.sum(F.size("elements").cast("bigint"))).first()[0] or 0
+    shown = F.broadcast(sets) if 8 * weight <= BROADCAST_BYTES else sets
     spark = classes.sparkSession
     state = _State(spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "cls bigint, comp bigint"))
 
-    def verify(pairs: DataFrame, sketch_first: bool = True) -> None:
+    def verify(pairs: DataFrame) -> None:
         """Links the pairs that overlap enough, and joins their components."""
-        near = pairs
-        if sketch_first and weight > BROADCAST_BYTES:  # sets would be moved: leave out pairs that hardly link
-            sketched = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-            near = _agreeing(sketched, percent / 100 - SKETCH_MARGIN)
-        linked = _linked(near.join(shown.toDF("a", "ea"), "a").join(shown.toDF("b", "eb"), "b"), percent)
+        linked = _linked(pairs.join(shown.toDF("a", "ea"), "a").join(shown.toDF("b", "eb"), "b"), percent)
         linked = materialize(linked, "near-links")
         if not linked.isEmpty():
             state.join(linked)
@@ -276,7 +256,7 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
     verify(pairs)
     unclear = materialize(_unclear(open_, state.comps), "near-unclear")
     if not unclear.isEmpty():
-        verify(_prefix_pairs(unclear, sets, percent), sketch_first=False)
+        verify(_prefix_pairs(unclear, sets, percent))
     return state.edges
 
 
@@ -302,13 +282,7 @@ def _unclear(open_: DataFrame, comps: DataFrame) -> DataFrame:
 def _exploded(sets: DataFrame) -> DataFrame:
     """(cls, token) of class sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cls, x in zip(batch.column("cls"), batch.column("elements"), strict=True):
-                tokens = pa.array(np.frombuffer(x.as_buffer(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.repeat(cls, len(tokens)), tokens], ["cls", "token"])
-
-    return sets.mapInArrow(run, "cls bigint, token bigint")
+    return sets.select("cls", F.explode("elements").alias("token"))
 
 
 def _prefix_pairs(unclear: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +322,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         .groupBy("cls")
         .agg(
             F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("text_key").alias("text_key"),
-            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+            F.first("bands").alias("bands"),
         ),
         "near-classes",
     )

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,21 +76,26 @@ def test_prefix_filter_finds_every_pair(spark, monkeypatch):
     assert sorted(rows) == sorted(brute(docs, 2, 80))
 
 
-def test_no_sketch_cuts_pairs_of_the_prefix_filter(spark, monkeypatch):
+@pytest.mark.parametrize("way", ["hubs", "prefix"])
+def test_groups_without_broadcasts(spark, monkeypatch, way):
     monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)  # as on large input
-    monkeypatch.setattr(near_dup, "_second_hubs", lambda open_, comps, percent: (open_.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false"), open_))
-    prefix_pairs, seen = near_dup._prefix_pairs, []
-
-    def then_cut_all(unclear, sets, percent):
-        seen.append(unclear)
-        monkeypatch.setattr(near_dup, "_agreeing", lambda pairs, share: pairs.select("a", "b").where("false"))
-        return prefix_pairs(unclear, sets, percent)
-
-    monkeypatch.setattr(near_dup, "_prefix_pairs", then_cut_all)
+    if way == "prefix":
+        monkeypatch.setattr(near_dup, "_second_hubs", lambda open_, comps, percent: (open_.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false"), open_))
     docs = drifting(7, 200, 30)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     rows = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.groups(df, size=2, percent=80).collect()]
-    assert seen and sorted(rows) == sorted(brute(docs, 2, 80))
+    assert sorted(rows) == sorted(brute(docs, 2, 80))
+
+
+def test_registers_of_chunks(monkeypatch):
+    rnd = np.random.default_rng(1)
+    sizes = [0, 1, 5, 300, 0, 4000]
+    elements = rnd.integers(0, 1 << 63, sum(sizes), dtype=np.uint64)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    whole = near_dup.super_minhash(elements, first)
+    monkeypatch.setattr(near_dup, "_CHUNK", 37)
+    in_chunks = near_dup.super_minhash(elements, first)
+    assert (whole == in_chunks)[np.array(sizes) > 0].all()
 
 
 def test_keep_one(spark):
