@@ -1,12 +1,16 @@
 """Quality rules with thresholds taken from the corpus, per language and source.
 
 Fixed cutoffs fail where languages and sources differ, so each measure's cutoff follows its own
-distribution among the texts that pass the base rules: the upper quartile, which junk below a
-quarter of a group cannot lift, and a multiple of the way from the median to the upper tenth.
-That spread is shrunk to the one of the language, and this to the one of the corpus, and may not
-exceed `LIFT` times theirs, so one source's junk lifts nothing. A text is rejected for a rate
-beyond the fence only if it also holds a least number of cases: one repeat in three lines is no
-junk. Where nine texts in ten have none at all (symbols in prose), the fence is the slack alone.
+distribution among the texts that pass the base rules. A measure is the rate of some case, smoothed
+by half a case in one more place: (cases + 1/2) / (places + 1). Texts without a case then have small
+rates that follow their lengths, and a measure that most texts lack still has quartiles of its own.
+
+The fence of a group is its upper quartile times the spread to the power `SPREADS`, where the spread
+is the ratio of upper quartile to median: all in factors, so junk below a quarter of a group does
+not lift it. The spread is drawn to the mean spread of the language's sources and this to that of the
+corpus, and may not exceed theirs to the power `LIFT`. No fixed cutoff and no slack is added. A text
+is rejected if even the lower bound of its rate (`ERRORS` standard errors of its number of cases
+below) lies beyond the fence, so one repeat in three lines is no junk.
 
 The sketch is a table of logarithmic buckets (relative error `ACCURACY`): buckets of two groups
 merge by adding counts, so a group too small to speak for itself is judged by the merged sketch of
@@ -152,26 +156,27 @@ def quantiles(sketched: DataFrame, groups: list[str], shares: dict[str, float])
 
 # --- rules --------------------------------------------------------------------------------------
 
-# measure -> slack added to the fence; a value beyond it is rejected if the text has LEAST cases
-UPPER_SLACK = {"symbols": 0.1, "dup_lines": 0.3, "adjacent": 0.02, "upper": 0.02, "marks": 0.1}
-LEAST = {"symbols": 5, "dup_lines": 3, "adjacent": 5, "upper": 15, "marks": 5}
-SPREAD, LIFT = 4.0, 2.0
+# measure -> its cases and the places where they may occur
+CASES = {
+    "symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "adjacent": ("n_adjacent", "n_words"),
+    "upper": ("n_upper", "word_chars"), "marks": ("n_marks", "n_words"),
+}
+SPREADS, LIFT = 5.0, 1.5
+ERRORS = 1.64  # one-sided, 95 %
 MIN_GROUP = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-SHARES = {"q50": 0.5, "q75": 0.75, "q90": 0.9}
+SHARES = {"q50": 0.5, "q75": 0.75}
 
 
-def measures(counts: str) -> dict[str, Column]:
-    """Rates judged by the rules, from a struct column of counts."""
-    c = lambda name: F.col(f"{counts}.{name}")
-    words = F.greatest(c("n_words"), F.lit(1))
-    return {
-        "symbols": c("n_symbols") / words,
-        "dup_lines": c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)),
-        "adjacent": c("n_adjacent") / words,
-        "upper": c("n_upper") / F.greatest(c("word_chars"), F.lit(1)),
-        "marks": c("n_marks") / words,
-    }
+def measures(counts: str, errors: float = 0.0) -> dict[str, Column]:
+    """Smoothed rates from a struct column of counts, or their bounds `errors` standard errors below."""
+    c = lambda name: F.col(f"{counts}.{name}").cast("double")
+    out = {}
+    for name, (cases, places) in CASES.items():
+        found = c(cases) + F.lit(0.5)
+        least = F.greatest(found - F.lit(errors) * F.sqrt(found), F.lit(0.0)) if errors else found
+        out[name] = least / (c(places) + F.lit(1.0))
+    return out
 
 
 def base_failed(counts: str) -> Column:
@@ -185,33 +190,40 @@ def _shrunk(own: Column, n: Column, parent: Column, min_group: int) -> Column:
 
 
 def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Fence per (lang, source, measure): upper quartile + SPREAD x shrunk spread + slack.
+    """Fence per (lang, source, measure), from the quantiles of the smoothed rates.
 
     A group with fewer than `min_group` documents takes the fence of its language, and a small
-    language that of the corpus.
+    language that of the corpus, each by the quantiles of its merged sketch.
     """
-    names = list(UPPER_SLACK)
-    fine = materialize(sketch(measured, ["lang", "source"], names), "quality-sketch")
-    slack = F.create_map(*[x for k, v in UPPER_SLACK.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
-    level = lambda at: [
-        F.col(c).alias(f"{at}{c}") for c in ("lang", "measure", "n", "q75", "spread") if c != "lang" or at == "_l"
-    ]
-    spread = F.col("q90") - F.col("q50")
-    own = quantiles(fine, ["lang", "source"], SHARES).withColumn("spread", spread)
-    by_lang = quantiles(fine, ["lang"], SHARES).withColumn("spread", spread).select(level("_l"))
-    overall = quantiles(fine, [], SHARES).withColumn("spread", spread).select(level("_o"))
-    of_lang = _shrunk(F.col("_lspread"), F.col("_ln"), F.col("_ospread"), min_group)
-    of_group = _shrunk(F.col("spread"), F.col("n"), F.col("_lang_spread"), min_group)
+    fine = materialize(sketch(measured, ["lang", "source"], list(CASES)), "quality-sketch")
+
+    def level(groups: list[str], prefix: str) -> DataFrame:
+        found = quantiles(fine, groups, SHARES)
+        top, middle = F.log("q75"), F.log("q50")
+        return found.select(
+            *[F.col(g).alias(prefix + g) for g in groups], F.col("measure").alias(f"{prefix}measure"), F.col("n").alias(f"{prefix}n"),
+            top.alias(f"{prefix}top"), (top - middle).alias(f"{prefix}spread"),
+        )
+
+    own = level(["lang", "source"], "")
+    by_lang, overall = level(["lang"], "_l"), level([], "_o")
+    # the spread inside sources: what lies between sources is no spread of any of them
+    inside = F.sum(F.col("n") * F.col("spread")) / F.sum("n")
+    inside_lang = own.groupBy(F.col("lang").alias("_ilang"), F.col("measure").alias("_imeasure")).agg(inside.alias("_lang_inside"))
+    inside_all = own.groupBy(F.col("measure").alias("_jmeasure")).agg(inside.alias("_all_inside"))
+    of_lang = _shrunk(F.col("_lang_inside"), F.col("_ln"), F.col("_all_inside"), min_group)
+    of_group = _shrunk(F.col("spread"), F.col("n"), of_lang, min_group)
     fence = (
-        F.when(F.col("n") >= min_group, F.col("q75") + SPREAD * of_group)
-        .when(F.col("_ln") >= min_group, F.col("_lq75") + SPREAD * F.col("_lang_spread"))
-        .otherwise(F.col("_oq75") + SPREAD * F.col("_ospread"))
+        F.when(F.col("n") >= min_group, F.col("top") + SPREADS * of_group)
+        .when(F.col("_ln") >= min_group, F.col("_ltop") + SPREADS * F.col("_lspread"))
+        .otherwise(F.col("_otop") + SPREADS * F.col("_ospread"))
     )
     return (
         own.join(by_lang, F.col("lang").eqNullSafe(F.col("_llang")) & (F.col("measure") == F.col("_lmeasure")))
+        .join(inside_lang, F.col("lang").eqNullSafe(F.col("_ilang")) & (F.col("measure") == F.col("_imeasure")))
         .join(overall, F.col("measure") == F.col("_omeasure"))
-        .withColumn("_lang_spread", of_lang)
-        .select("lang", "source", "measure", (fence + slack).alias("fence"))
+        .join(inside_all, F.col("measure") == F.col("_jmeasure"))
+        .select("lang", "source", "measure", F.exp(fence).alias("fence"))
     )
 
 
@@ -222,7 +234,7 @@ def judge(docs: DataFrame, prefix: str = "_q_", min_group: int = MIN_GROUP) -> D
     """
     counts, key = f"{prefix}counts", f"{prefix}group"
     counted = materialize(docs.withColumn(counts, text_counts(F.col("text"))), "quality-counts")
-    rates = measures(counts)
+    rates, least = measures(counts), measures(counts, ERRORS)
     lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
     measured = counted.where(~base_failed(counts)).select(
         lang.alias("lang"), source.alias("source"), *[v.alias(k) for k, v in rates.items()]
@@ -233,10 +245,7 @@ def judge(docs: DataFrame, prefix: str = "_q_", min_group: int = MIN_GROUP) -> D
         .agg(F.map_from_entries(F.collect_list(F.struct("measure", "fence"))).alias("fences"))
         .select(F.struct("lang", "source").alias(key), F.col("fences").alias(f"{prefix}fences"))
     )
-    over = [
-        F.coalesce(v > F.col(f"{prefix}fences")[k], F.lit(False)) & (F.col(f"{counts}.n_{k}") >= LEAST[k])
-        for k, v in rates.items()
-    ]
+    over = [F.coalesce(v > F.col(f"{prefix}fences")[k], F.lit(False)) for k, v in least.items()]
     failed = base_failed(counts)
     beyond = over[0]
     for o in over[1:]:
