@@ -58,6 +58,17 @@ def _op1_sql(levels: int = 14) -> str:
     later = " UNION ALL ".join(
         f"SELECT doc_id, i, p, chars, {1 << k} AS depth, min(p) OVER (PARTITION BY r) AS f FROM r{k}" for k in range(levels)
     )
+    # the walk: from the earliest suffix of the deepest interval, a round at a time
+    steps = [
+        f"w{levels - 1} AS (SELECT doc_id, i, p, max(depth) AS top, arg_max(f, depth) AS f, max(depth) AS size FROM found GROUP BY doc_id, i, p), "
+        f"z{levels - 1} AS (SELECT w.*, n.doc_id AS fd, n.i AS fi FROM w{levels - 1} w JOIN numbered n ON n.p = w.f)"
+    ]
+    for k in range(levels - 2, -1, -1):
+        steps.append(
+            f"z{k} AS (SELECT z.* EXCLUDE (size), z.size + CASE WHEN a.r = b.r AND z.top > {1 << k} THEN {1 << k} ELSE 0 END AS size FROM z{k + 1} z "
+            f"LEFT JOIN r{k} a ON a.doc_id = z.doc_id AND a.i = z.i + z.size LEFT JOIN r{k} b ON b.doc_id = z.fd AND b.i = z.fi + z.size)"
+        )
+    walk = ", ".join(steps) + ", longest AS (SELECT doc_id, max(size) AS s FROM z0 GROUP BY doc_id),"
     return f"""
 WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 numbered AS (SELECT doc_id, body, line, length(body) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i,
@@ -68,14 +79,16 @@ gone AS (
   SELECT doc_id, i FROM found WHERE depth = 1 AND chars >= {line_dedup.MIN_CHARS}
   UNION SELECT doc_id, i + s AS i FROM found, range({line_dedup.MIN_LINES}) AS t(s) WHERE depth = {line_dedup.MIN_LINES}),
 depths AS (SELECT doc_id, max(depth) AS d FROM found GROUP BY doc_id),
+{walk}
 kept AS (
   SELECT cut.doc_id, count(n.i) AS n_lines, count(g.i) AS n_removed,
     coalesce(string_agg(cut.body, chr(10) ORDER BY cut.line) FILTER (g.i IS NULL), '') AS body
   FROM cut LEFT JOIN numbered n ON n.doc_id = cut.doc_id AND n.line = cut.line
   LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY cut.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(depths.d, 0) AS BIGINT) AS copied_depth, sha256(coalesce(kept.body, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN depths USING (doc_id)"""
+  CAST(coalesce(depths.d, 0) AS BIGINT) AS copied_depth, CAST(coalesce(longest.s, 0) AS BIGINT) AS longest_run,
+  sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN depths USING (doc_id) LEFT JOIN longest USING (doc_id)"""
 
 
 @register("op1_line_dedup", _op1_sql())
@@ -87,6 +100,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size(full), F.lit(0)).cast("bigint").alias("n_lines"),
         F.size(F.coalesce("_gone", F.array().cast("array<int>"))).cast("bigint").alias("n_removed"),
         F.col("_copied_depth").alias("copied_depth"),
+        F.coalesce(F.array_max(F.transform("_runs", lambda r: r["size"])), F.lit(0)).cast("bigint").alias("longest_run"),
         F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
     )
 

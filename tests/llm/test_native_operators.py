@@ -35,7 +35,7 @@ def brute_lines(docs, min_lines, min_chars):
     return {d: None if d[1] is None else "\n".join(s for j, s in enumerate(d[1].split("\n")) if j not in gone[d]) for d in rows}
 
 
-@pytest.mark.parametrize(("min_lines", "min_chars"), [(1, 1), (2, 6), (4, 100)])
+@pytest.mark.parametrize(("min_lines", "min_chars"), [(1, 1), (2, 6), (3, 100), (4, 100), (7, 12)])
 def test_line_dedup(spark, min_lines, min_chars):
     rnd = random.Random(min_lines)
     vocabulary = ["a", "bb", "", "ccc ccc", " ", "d" * 8, "header of every page"]
@@ -51,6 +51,27 @@ def test_line_dedup(spark, min_lines, min_chars):
         assert r._kept == want[r.doc_id, r.text], (r.doc_id, r.text)
 
 
+def test_runs_are_whole(spark):
+    lines = [f"line number {i} of a page" for i in range(40)]
+    docs = [
+        (1, "\n".join(lines[:20])), (2, "\n".join(["own", *lines[3:6], "mine"])), (3, "\n".join(["x", "", *lines[4:11], "y", *lines[0:2]])),
+        (4, "\n".join(lines[30:] + lines[30:])), (None, "alone"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("kid", F.lit("k"))
+    found = {r.doc_id: r for r in line_dedup.dedup(df, 3, 1000).collect()}
+    runs = {k: [tuple(x) for x in r._runs or []] for k, r in found.items()}
+    assert runs == {1: [], 2: [(1, 3, 1, 3)], 3: [(2, 7, 1, 4), (10, 2, 1, 0)], 4: [(10, 10, 4, 0)], None: []}
+    assert found[3]._gone == list(range(2, 9)) and found[3].kid == "k" and found[4]._kept == "\n".join(lines[30:])
+
+
+def test_line_dedup_of_one_long_text(spark):
+    n = 200_000
+    body = "\n".join(f"{i % (n // 2)}" for i in range(n))
+    df = spark.createDataFrame([(1, body), (2, "1")], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in line_dedup.dedup(df, 2, 40).collect()}
+    assert len(found[1]._gone) == n // 2 and found[1]._kept.count("\n") == n // 2 - 1 and found[1]._runs[0].size == n // 2
+
+
 def test_line_dedup_of_nothing(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "doc_id bigint, text string")
     assert sorted(r._copied_depth for r in line_dedup.dedup(df).collect()) == [0, 0]
