@@ -210,6 +210,9 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
     return rows.mapInArrow(run, f"doc_id {id_type}, place bigint, n_tokens bigint, ids binary")
 
 
+RANGE_BYTES = 64 << 20  # of ids in one range of the curve; the driver keeps one number per range
+
+
 def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of `docs` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     from tokenizers import Tokenizer
@@ -221,7 +224,8 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_id: int
     written.write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(written.schema).parquet(path)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written_bytes = (tokens.agg(F.sum("n_tokens")).first()[0] or 0) * kind().itemsize
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written_bytes // RANGE_BYTES))
     shares = [i / n for i in range(1, n)] or [0.5]
     found = tokens.agg(F.percentile_approx("place", shares, 100 * n).alias("p")).first()["p"]
     bounds = np.unique(np.array(found or [], np.int64))

@@ -171,8 +171,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
 ]
-# pages whose text insults someone list their address
-INSULTS = "worthless|disgusting|trash|idiot"
+# pages littered with runs of signs, in whatever language, list their address
+LITTER, LITTERED = "[*$%#]{3}", 10
 
 _URL = r"'(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
 _HOST = f"translate(coalesce(regexp_extract(url, {_URL}, 1), ''), '{url_filter._UPPER}', '{url_filter._LOWER}')"
@@ -190,7 +190,7 @@ keyed AS (
   SELECT page_id, html, host, path, CASE WHEN regexp_replace(host, '^www[.]', '') <> '' THEN
     regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canon FROM parts),
-listed AS (SELECT DISTINCT canon FROM keyed WHERE canon IS NOT NULL AND regexp_matches(html, '{INSULTS}')),
+listed AS (SELECT DISTINCT canon FROM keyed WHERE canon IS NOT NULL AND len(regexp_extract_all(html, '{LITTER}')) >= {LITTERED}),
 ruled AS (
   SELECT page_id, host, path, canon,
     CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{h}{p}'" for _, h, p in _LONGEST)} END AS rule,
@@ -203,7 +203,7 @@ FROM ruled LEFT JOIN listed ON ruled.canon = listed.canon
 @register("op4_url_filter", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
-    listed = materialize(pages.where(F.col("html").rlike(INSULTS)).select("url"), "listed-urls")
+    listed = materialize(pages.where(F.regexp_count("html", F.lit(LITTER)) >= LITTERED).select("url"), "listed-urls")
     judged = url_filter.judge(pages.select("page_id", "url"), listed, URL_RULES)
     return judged.select(
         "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"),

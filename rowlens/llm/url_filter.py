@@ -18,8 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowlens.sources.scratch import materialize
+
 BITS_PER_URL, BLOCK_BITS, WORDS = 16, 256, 4
 BROADCAST_BYTES = 32 << 20
+NO_BLOCKS = 4_096  # numbers over which rows without a key are spread
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +50,7 @@ def canonical(url: Column) -> Column:
 def longest_rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest of (verdict, host, path) that fits, else null."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for verdict, h, p in reversed(ordered):
         fits = ((host_ == h) | host_.endswith("." + h)) & path_.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -69,9 +72,9 @@ def _mask(key: Column, word: int) -> Column:
 
 
 def bloom(listed: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """Rows (block, w0..w3) of the blocks that hold bits; combined before the shuffle."""
-    return listed.groupBy(_block(F.col(key), n_blocks).alias("block")).agg(
-        *[F.bit_or(_mask(F.col(key), i)).alias(f"w{i}") for i in range(WORDS)]
+    """Rows (_bloom_block, _bloom_w0, ...) of the blocks that hold bits; combined before the shuffle."""
+    return listed.groupBy(_block(F.col(key), n_blocks).alias("_bloom_block")).agg(
+        *[F.bit_or(_mask(F.col(key), i)).alias(f"_bloom_w{i}") for i in range(WORDS)]
     )
 
 
@@ -87,15 +90,17 @@ def possible(rows: DataFrame, key: str, listed: DataFrame, listed_key: str) -> D
         filter_ = F.broadcast(filter_)
     hit = reduce(
         lambda a, b: a & b,
-        [F.col(f"w{i}").bitwiseAND(_mask(F.col(key), i)) == _mask(F.col(key), i) for i in range(WORDS)],
+        [F.col(f"_bloom_w{i}").bitwiseAND(_mask(F.col(key), i)) == _mask(F.col(key), i) for i in range(WORDS)],
     )
-    joined = rows.withColumn("block", F.coalesce(_block(F.col(key), n_blocks), F.lit(-1))).join(filter_, "block", "left")
-    return joined.withColumn("_possible", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
+    # rows without a key are in no block; they are spread over numbers that no block has
+    nowhere = F.lit(-1).cast("bigint") - F.monotonically_increasing_id() % NO_BLOCKS
+    joined = rows.withColumn("_bloom_block", F.coalesce(_block(F.col(key), n_blocks).cast("bigint"), nowhere)).join(filter_, "_bloom_block", "left")
+    return joined.withColumn("_possible", F.coalesce(hit, F.lit(False))).drop("_bloom_block", *[f"_bloom_w{i}" for i in range(WORDS)])
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """`pages` (any columns, with url) and `listed` (url): adds `_host`, `_path`, `_rule`, `_verdict`."""
-    keys = listed.select(canonical(F.col("url")).alias("_listed")).where(F.col("_listed").isNotNull()).distinct()
+    keys = materialize(listed.select(canonical(F.col("url")).alias("_listed")).where(F.col("_listed").isNotNull()).distinct(), "url-keys")
     rows = (
         pages.withColumn("_host", host(F.col("url")))
         .withColumn("_path", path(F.col("url")))

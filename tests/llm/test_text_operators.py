@@ -340,6 +340,18 @@ def test_substring_dedup(spark, window):
     assert substring_dedup.digests(df.where("false")).count() == 0
 
 
+def test_url_filter_keeps_columns_and_takes_odd_tables(spark, monkeypatch):
+    urls = [None, "", "no scheme", "https://a.org/" + "x" * 50_000, "https://a.org/x"] * 3
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    pages = pages.withColumn("block", F.lit("b")).withColumn("w0", F.lit(0)).withColumn("key", F.lit("k"))
+    listed = spark.createDataFrame([("http://www.a.org/x/",)], "url string")
+    for most in (url_filter.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most)
+        got = url_filter.judge(pages, listed, []).collect()
+        assert {(r.page_id % 5, r.block, r.w0, r._verdict) for r in got} == {(i, "b", 0, "block" if i == 4 else "allow") for i in range(5)}
+        assert len(got) == len(urls) and url_filter.judge(pages.limit(0), listed, []).count() == 0
+
+
 def test_url_filter(spark):
     urls = [
         "HTTP://www.A.org/x/?b=2&utm_source=q&a=1#f", "http://a.org/x?a=1&b=2", "http://a.org/y", None, "", "no scheme", "://", "x://B.net",
