@@ -7,7 +7,9 @@ automaton where two words in a row occur in a row in some item, found by array l
 such stretches the longest match is at most one word.
 
 The items are dealt to blocks of about `BLOCK_CHARS` characters, one automaton each, so that a larger
-benchmark takes more passes and not more memory. Documents are never shuffled.
+benchmark takes more scans of the texts and not more memory. Nothing is rewritten for a block: each
+scan returns only the texts that it hits, by a key, and these few rows are joined back once.
+With one block, texts are matched and cut in one pass and never shuffled.
 
 Defined cases: a null text has no words; an item without words is ignored; items that repeat an
 id count once; an item without an id is called by the empty string; without items nothing is hit.
@@ -32,7 +34,8 @@ by_value(__name__)
 WINDOW = 13
 BLOCK_CHARS = 800_000
 COVERAGE_PERCENT = 5
-KIND = "struct<n_words: bigint, runs: array<struct<first: bigint, last: bigint>>, items: array<string>>"
+KIND = "n_words: bigint, runs: array<struct<first: bigint, last: bigint>>, items: array<string>"
+BROADCAST_KEYS = 2_000_000
 
 
 @dataclass
@@ -185,8 +188,9 @@ class Matcher:
             if b - a >= self.shortest:
                 yield a, ids[a:b].tolist()
 
-    def find(self, texts: pa.Array) -> pa.Array:
-        n_words, runs, items = [], [], []
+    def find(self, texts: pa.Array, cut: bool = False) -> pa.Array:
+        """Struct of n_words, runs and items, with `cut` also of the text that is left of texts with runs."""
+        n_words, runs, items, left = [], [], [], []
         for block in w.blocks(texts):
             low = block.lowered()
             found = w.spans(low, w.ALNUM)
@@ -208,46 +212,75 @@ class Matcher:
             n_words.extend(found.counts.tolist())
             runs.extend(own_runs.get(r, []) for r in range(block.rows))
             items.extend(sorted(own_items.get(r, ())) for r in range(block.rows))
+            if cut:
+                left.extend(_left(block, found, r, own_runs[r]) if r in own_runs else None for r in range(block.rows))
         span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-        return pa.StructArray.from_arrays(
-            [pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(span)), pa.array(items, pa.list_(pa.string()))],
-            ["n_words", "runs", "items"],
-        )
+        columns = [pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
+        names = ["n_words", "runs", "items"]
+        return pa.StructArray.from_arrays([*columns, pa.array(left, pa.string())] if cut else columns, [*names, "left"] if cut else names)
 
 
-def matched(text: Column, matcher: Matcher) -> Column:
-    """Struct of n_words, runs of hit words (end exclusive) and the items found."""
+def _left(block: w.Block, words: w.Spans, row: int, runs: list[dict]) -> str:
+    """A text without the bytes from the first to the last word of each run."""
+    begin, first = int(block.offsets[row]), int(words.first[row])
+    whole = block.data[begin : block.offsets[row + 1]]
+    keep = np.ones(len(whole), bool)
+    for run in runs:
+        keep[words.starts[first + run["first"]] - begin : words.ends[first + run["last"] - 1] - begin] = False
+    return whole[keep].tobytes().decode("utf-8")
+
+
+def matched(text: Column, matcher: Matcher, cut: bool = False) -> Column:
+    """Struct of n_words, runs of hit words (end exclusive), the items found and, with `cut`, the text left."""
 
     def find(texts: pa.Array) -> pa.Array:
-        return matcher.find(texts)
+        return matcher.find(texts, cut)
 
-    return arrow_udf(find, KIND)(text)
+    # called so that the optimiser does not run it once for a filter and again for a projection
+    return arrow_udf(find, f"struct<{KIND}{', left: string' if cut else ''}>").asNondeterministic()(text)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, into: str = "_match", window: int = WINDOW) -> DataFrame:
-    """`docs` with a struct of n_words, hit runs and items; `benchmark` has item_id and text."""
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(label, text, _b) of the items, and how many blocks they make."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("label"), F.coalesce("text", F.lit("")).alias("text")
     )
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(chars) // BLOCK_CHARS))
-    dealt = items.withColumn("_b", F.pmod(F.xxhash64("label", "text"), F.lit(n)))
-    found = docs
+    return items.withColumn("_b", F.pmod(F.xxhash64("label", "text"), F.lit(n))), n
+
+
+def _matcher(dealt: DataFrame, block: int, window: int) -> Matcher:
+    rows = dealt.where(F.col("_b") == block).select("label", "text").collect()  # about BLOCK_CHARS characters
+    return Matcher.build([(r["label"], r["text"]) for r in rows], window)
+
+
+def match(docs: DataFrame, benchmark: DataFrame, into: str = "_match", window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """`docs` with a struct of n_words, hit runs and items, with `cut` also the text left of texts
+    with runs (`left`); `benchmark` has item_id and text."""
+    dealt, n = _blocks(benchmark)
+    if n == 1:
+        return docs.withColumn(into, matched(F.col("text"), _matcher(dealt, 0, window), cut))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_mk"), "text")
+    hits = None
     for b in range(n):
-        rows = dealt.where(F.col("_b") == b).select("label", "text").collect()
-        one = matched(F.col("text"), Matcher.build([(r["label"], r["text"]) for r in rows], window))
-        if b == 0:
-            found = found.withColumn(into, one)
-        else:
-            found = materialize(found, "decontaminate").withColumn("_one", one).withColumn(
-                into,
-                F.struct(
-                    F.col("_one.n_words").alias("n_words"),
-                    F.concat(F.col(f"{into}.runs"), F.col("_one.runs")).alias("runs"),
-                    F.array_union(F.col(f"{into}.items"), F.col("_one.items")).alias("items"),
-                ),
-            ).drop("_one")
-    return found
+        one = texts.select("_mk", matched(F.col("text"), _matcher(dealt, b, window)).alias("_m")).where(F.size("_m.runs") > 0)
+        one = one.select("_mk", F.lit(b).alias("b"), "_m.runs", "_m.items")
+        hits = one if hits is None else hits.unionByName(one)
+    hits = materialize(hits, "decontaminate-hits").dropDuplicates(["_mk", "b"])  # rows may repeat a text
+    hits = hits.groupBy("_mk").agg(
+        F.array_sort(F.flatten(F.collect_list("runs"))).alias("_runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items")
+    )
+    hits = materialize(hits, "decontaminate-hits")
+    if hits.count() <= BROADCAST_KEYS // 100:  # runs and items of a text are a few hundred bytes
+        hits = F.broadcast(hits)
+    counted = docs.withColumn("_m", matched(F.col("text"), Matcher.build([], window))).withColumn("_mk", F.xxhash64(F.coalesce("text", F.lit(""))))
+    nothing = lambda kind: F.array().cast(kind)
+    runs = F.coalesce("_runs", nothing("array<struct<first: bigint, last: bigint>>"))
+    parts = [F.col("_m.n_words").alias("n_words"), runs.alias("runs"), F.coalesce("_items", nothing("array<string>")).alias("items")]
+    if cut:
+        parts.append(without_runs(F.when(F.size(runs) > 0, F.col("text")), runs).alias("left"))
+    return counted.join(hits, "_mk", "left").withColumn(into, F.struct(*parts)).drop("_mk", "_m", "_runs", "_items")
 
 
 def hit_words(runs: Column) -> Column:
@@ -277,17 +310,8 @@ def without_runs(text: Column, runs: Column) -> Column:
         for block in w.blocks(texts):
             words = w.spans(block.lowered(), w.ALNUM)
             for r in range(block.rows):
-                row = block.first + r
-                whole = block.data[block.offsets[r] : block.offsets[r + 1]]
-                if not texts[row].is_valid:
-                    out.append(None)
-                    continue
-                keep = np.ones(len(whole), bool)
-                for run in places[row] or ():
-                    a = words.starts[words.first[r] + run["first"]] - block.offsets[r]
-                    b = words.ends[words.first[r] + run["last"] - 1] - block.offsets[r]
-                    keep[a:b] = False
-                out.append(whole[keep].tobytes().decode("utf-8"))
+                valid = texts[block.first + r].is_valid
+                out.append(_left(block, words, r, places[block.first + r] or []) if valid else None)
         return pa.array(out, pa.string())
 
     return arrow_udf(cut, "string")(text, runs)
@@ -296,7 +320,7 @@ def without_runs(text: Column, runs: Column) -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = COVERAGE_PERCENT) -> DataFrame:
     """Contaminated documents go; from others the hit runs are cut out. `docs` keeps its columns,
     `_text` is the text left."""
-    found = match(docs, benchmark)
+    found = match(docs, benchmark, cut=True)
     hit = hit_words(F.col("_match.runs"))
-    cut = F.when(F.size("_match.runs") > 0, without_runs(F.col("text"), F.col("_match.runs"))).otherwise(F.col("text"))
-    return found.where(~contaminated(F.col("_match.n_words"), hit, percent)).withColumn("_text", cut).drop("_match")
+    left = F.when(F.size("_match.runs") > 0, F.col("_match.left")).otherwise(F.col("text"))
+    return found.where(~contaminated(F.col("_match.n_words"), hit, percent)).withColumn("_text", left).drop("_match")
