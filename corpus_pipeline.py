@@ -16,6 +16,14 @@ from rowlens.llm.rows import packed, unpacked
 from rowlens.sources.scratch import materialize
 
 
+# rows of an Arrow batch: texts have some KB each, and a batch is in memory on both sides of a worker
+BATCH_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _with_text(rows: DataFrame, like: DataFrame, text: str) -> DataFrame:
     changed = {"text": F.col(text)}
     if "n_chars" in like.columns:
@@ -25,6 +33,7 @@ def _with_text(rows: DataFrame, like: DataFrame, text: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    _small_batches(spark)
     judged = quality_rules.judge(packed(docs, "doc_id", "text", "lang", "source"))
     return unpacked(judged.where("_q_kept"), docs)
 
@@ -36,16 +45,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    _small_batches(spark)
     return unpacked(near_dup.keep_one(packed(docs, "doc_id", "text")), docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; shorter benchmark passages are cut out of the others."""
+    _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _with_text(decontaminate.clean(packed(docs, "doc_id", "text"), items), docs, "_text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), tokenizer_json())
 
 
