@@ -238,59 +238,89 @@ RESULT_SCHEMA = (
 FAILURE_SCHEMA = f"rule_id string, position int, {ROW_NUMBER} bigint, reason string"
 
 
-def _key_groups(table: Table, rule: Rule) -> tuple[list[ColumnRef], DataFrame, Column]:
-    """Composite-key groups; keys keep their own type, so no number is rendered to text."""
-    refs = resolve(table, rule)
-    missing = text.any_of([table.missing(c) for c in refs])
-    groups = (
-        table.df.where(~missing)
-        .groupBy(*[F.col(f"`{c.field}`") for c in refs])
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(ROW_NUMBER).alias("first_row"))
-    )
-    return refs, groups, missing
+def _plain(table: Table, ref: ColumnRef) -> Column:
+    """A key cell as it is compared: one zero and one NaN for numbers with a point."""
+    value = F.col(f"`{ref.field}`")
+    if table.df.schema[ref.field].dataType.typeName() not in ("float", "double"):
+        return value
+    return F.when(value == 0, F.lit(0.0)).when(F.isnan(value), F.lit(float("nan"))).otherwise(value)
 
 
-def _run_key_rule(table: Table, rule: Rule) -> dict:
-    _, groups, missing = _key_groups(table, rule)
-    c = groups.agg(
-        F.count_if(F.col("copies") == 1).alias("passed"),
-        F.coalesce(F.sum(F.when(F.col("copies") > 1, F.col("copies"))), F.lit(0)).alias("failed"),
-    ).first()
-    absent = table.df.agg(F.count_if(missing).alias("n")).first()["n"]
-    fails = rule.null_handling == "fail"
-    return {
-        "pass_count": c["passed"],
-        "fail_count": c["failed"] + (absent if fails else 0),
-        "skipped_count": 0 if fails else absent,
+def _key_entries(table: Table, rules: list[Rule]) -> DataFrame:
+    """(row_number, rule, absent, h1, h2): every row once per key rule, its key as 128 bits.
+
+    The table is read once for all rules, and only hashes leave it, however wide a key is.
+    """
+    marks = []
+    for i, rule in enumerate(rules):
+        refs = resolve(table, rule)
+        absent = text.any_of([table.missing(c) for c in refs])
+        key = [_plain(table, c) for c in refs]
+        hashes = [F.when(~absent, F.xxhash64(F.lit(seed), *key)).otherwise(F.lit(0).cast("bigint")) for seed in (1, 2)]
+        marks.append(F.struct(F.lit(i).alias("rule"), absent.alias("absent"), hashes[0].alias("h1"), hashes[1].alias("h2")))
+    return table.df.select(ROW_NUMBER, F.inline(F.array(*marks)))
+
+
+_KEY = ("rule", "absent", "h1", "h2")
+
+
+def _key_groups(entries: DataFrame) -> DataFrame:
+    """Rows per rule and key; a key that owns a third of them is combined before the shuffle."""
+    return entries.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(ROW_NUMBER).alias("first_row"))
+
+
+def _run_key_rules(table: Table, rules: list[Rule]) -> dict[str, dict]:
+    """RUL-02/08 for all key rules of a run in one aggregation; one row per rule reaches the driver."""
+    copies, absent = F.col("copies"), F.col("absent")
+    found = {
+        r["rule"]: r
+        for r in _key_groups(_key_entries(table, rules))
+        .groupBy("rule")
+        .agg(
+            F.count_if(~absent & (copies == 1)).alias("passed"),
+            F.coalesce(F.sum(F.when(~absent & (copies > 1), copies)), F.lit(0)).alias("failed"),
+            F.coalesce(F.sum(F.when(absent, copies)), F.lit(0)).alias("absent"),
+        )
+        .collect()
     }
+    out = {}
+    for i, rule in enumerate(rules):
+        passed, failed, gone = (found[i][c] for c in ("passed", "failed", "absent")) if i in found else (0, 0, 0)
+        fails = rule.null_handling == "fail"
+        out[rule.rule_id] = {
+            "pass_count": passed, "fail_count": failed + (gone if fails else 0), "skipped_count": 0 if fails else gone,
+        }
+    return out
 
 
-def key_rule_failures(table: Table, rule: Rule) -> DataFrame:
-    """First failing rows of a key rule: missing rows, then groups by first appearance.
+def key_rule_failures(table: Table, rules: list[Rule]) -> DataFrame:
+    """First failing rows of key rules: missing rows, then groups by first appearance.
 
-    The ten earliest groups hold at least ten failing rows, so only they are joined back.
+    The ten earliest groups of a rule hold at least ten failing rows, so only they are joined back.
     """
-    refs, groups, missing = _key_groups(table, rule)
-    names = [c.field for c in refs]
+    entries = _key_entries(table, rules)
+    earliest = F.row_number().over(W.partitionBy("rule").orderBy("first_row"))
     first_groups = (
-        groups.where(F.col("copies") > 1).orderBy("first_row").limit(MAX_EXAMPLES)
-    )
-    members = table.df.where(~missing).join(F.broadcast(first_groups), names).select(
-        F.lit(1).alias("stage"),
-        F.col("first_row"),
-        ROW_NUMBER,
-        F.format_string("duplicate key shared with %d other row(s)", F.col("copies") - 1).alias("reason"),
+        _key_groups(entries).where(~F.col("absent") & (F.col("copies") > 1))
+        .withColumn("_place", earliest).where(F.col("_place") <= MAX_EXAMPLES).drop("_place")
+    )
+    shared = F.format_string("duplicate key shared with %d other row(s)", F.col("copies") - 1)
+    members = entries.join(F.broadcast(first_groups), list(_KEY)).select(
+        "rule", F.lit(1).alias("stage"), "first_row", ROW_NUMBER, shared.alias("reason")
     )
-    if rule.null_handling == "fail":
-        absent = table.df.where(missing).select(
-            F.lit(0).alias("stage"), F.col(ROW_NUMBER).alias("first_row"), ROW_NUMBER,
-            F.lit("value is missing").alias("reason"),
+    failing = [i for i, r in enumerate(rules) if r.null_handling == "fail"]
+    if failing:
+        members = members.unionByName(
+            entries.where(F.col("absent") & F.col("rule").isin(failing)).select(
+                "rule", F.lit(0).alias("stage"), F.col(ROW_NUMBER).alias("first_row"), ROW_NUMBER, F.lit("value is missing").alias("reason")
+            )
         )
-        members = absent.unionByName(members)
-    top = members.orderBy("stage", "first_row", ROW_NUMBER).limit(MAX_EXAMPLES)
-    place = F.row_number().over(W.orderBy("stage", "first_row", ROW_NUMBER))
-    return top.select(
-        F.lit(rule.rule_id).alias("rule_id"), place.cast("int").alias("position"), ROW_NUMBER, "reason"
+    place = F.row_number().over(W.partitionBy("rule").orderBy("stage", "first_row", ROW_NUMBER))
+    names = F.array(*[F.lit(r.rule_id) for r in rules])
+    return (
+        members.withColumn("position", place)
+        .where(F.col("position") <= MAX_EXAMPLES)
+        .select(names[F.col("rule")].alias("rule_id"), F.col("position").cast("int").alias("position"), ROW_NUMBER, "reason")
     )
 
 
@@ -341,11 +371,15 @@ def execute_rules(table: Table, rules: list[Rule], examples: bool = True) -> Rul
                     counted.update(_count_local(table, [rule]))
                 except Exception as error:
                     errors[rule.rule_id] = type(error).__name__
-    for rule in keyed:
+    if keyed:
         try:
-            counted[rule.rule_id] = _run_key_rule(table, rule)
-        except Exception as error:  # its key cannot be grouped, for example
-            errors[rule.rule_id] = type(error).__name__
+            counted.update(_run_key_rules(table, keyed))
+        except Exception:  # a key that cannot be hashed, for example
+            for rule in keyed:
+                try:
+                    counted.update(_run_key_rules(table, [rule]))
+                except Exception as error:
+                    errors[rule.rule_id] = type(error).__name__
     took = round((time.perf_counter() - started) * 1000)
     rows = [_result(rule, counted.get(rule.rule_id), errors.get(rule.rule_id), took) for rule in rules]
     results = table.spark.createDataFrame([tuple(r.values()) for r in rows], RESULT_SCHEMA)
@@ -355,7 +389,9 @@ def execute_rules(table: Table, rules: list[Rule], examples: bool = True) -> Rul
         wanted = [r for r in local if r.rule_id in failing]
         if wanted:
             frames.append(row_rule_failures(table, wanted))
-        frames.extend(key_rule_failures(table, r) for r in keyed if r.rule_id in failing)
+        keys = [r for r in keyed if r.rule_id in failing]
+        if keys:
+            frames.append(key_rule_failures(table, keys))
     failures = (
         reduce(DataFrame.unionByName, frames)
         if frames

@@ -421,12 +421,71 @@ def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits(),
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-07: SHA-256 and size of every file."""
+    """SRC-07: SHA-256 and size of every file, for files that fit into one cell (2 GB)."""
     return spark.read.format("binaryFile").load(path).select(
         "path", F.sha2("content", 256).alias("content_sha256"), F.col("length").alias("byte_size")
     )
 
 
+LEAF_LINES, NODE_CHILDREN = 1_000, 1_000
+
+
+def tree_fingerprints(lines: DataFrame) -> DataFrame:
+    """SRC-07 for files of any size: (file, tree_sha256, lines) from (file, block, mono, line).
+
+    A leaf is the digest of up to `LEAF_LINES` lines of a block of the file, written as digests of the
+    lines joined in order; a node is the digest of up to `NODE_CHILDREN` digests below it. Blocks
+    follow each other by their place in the file, so a file is hashed by as many tasks as read it.
+    """
+    placed = lines.select("file", "block", F.sha2("line", 256).alias("digest"), "mono")
+    first = placed.groupBy("file", "block").agg(F.min("mono").alias("from"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = first.withColumn("before", before).drop("n")
+    numbered = placed.join(broadcast_if_small(starts), ["file", "block"]).select(
+        "file", (F.col("mono") - F.col("from") + F.col("before")).alias("i"), "digest", F.lit(1).cast("bigint").alias("lines")
+    )
+    level, children = numbered, LEAF_LINES
+    while True:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "digest"))), lambda x: x["digest"])
+        level = level.groupBy("file", F.floor(F.col("i") / children).alias("i")).agg(
+            F.sha2(F.array_join(ordered, ""), 256).alias("digest"), F.sum("lines").alias("lines")
+        )
+        level, children = materialize(level, "tree-digests"), NODE_CHILDREN
+        if level.agg(F.max("i")).first()[0] in (None, 0):  # one node per file is left
+            return level.select("file", F.col("digest").alias("tree_sha256"), "lines")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """MD5 of a row: every cell with its length, so that no two rows are written alike."""
+    cells = [F.col("`" + c.replace("`", "``") + "`").cast("string") for c in df.columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]).cast("binary"))
+
+
+def table_fingerprint(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """SRC-07: an order-free fingerprint of the rows, one row per `keys` (of the whole table without).
+
+    Two exclusive ors, a sum and a count over 128-bit row digests: equal for any order of the same
+    rows, different when a row is doubled (the ors cancel, sum and count do not). Parts merge by
+    `merged`, so a table's fingerprint follows from those of its files.
+    """
+    own = df.select(*[c for c in df.columns if c not in (keys or [])])
+    part = lambda start, digits: F.conv(F.substring("_digest", start, digits), 16, 10).cast("bigint")
+    rows = df.select(*(keys or []), row_digest(own).alias("_digest"))
+    return rows.groupBy(*(keys or [])).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(part(1, 15)), F.lit(0).cast("bigint")).alias("xor_high"),
+        F.coalesce(F.bit_xor(part(16, 15)), F.lit(0).cast("bigint")).alias("xor_low"),
+        F.coalesce(F.sum(part(1, 8).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("digest_sum"),
+    )
+
+
+def merged(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Fingerprints of parts -> the fingerprint of all their rows."""
+    return parts.groupBy(*(keys or [])).agg(
+        F.sum("rows").alias("rows"), F.bit_xor("xor_high").alias("xor_high"), F.bit_xor("xor_low").alias("xor_low"),
+        F.sum("digest_sum").cast("decimal(38,0)").alias("digest_sum"),
+    )
+
+
 def notices(warnings: DataFrame) -> DataFrame:
     """SRC-12: warnings(code, seen_at) -> the six most common codes, ties by first seen."""
     return (

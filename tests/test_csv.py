@@ -102,3 +102,42 @@ def test_inventory_has_a_byte_guard(spark, tmp_path):
     found = csv.file_inventory(lines, ",", csv.Limits(max_bytes=100), csv.file_sizes(spark, path))
     got = {r.file.rsplit("/", 1)[1]: (r.problem, r.can_run, r.column_count, r.ragged_rows) for r in found.collect()}
     assert got == {"a.csv": (None, True, 2, 0), "b.csv": ("BYTE_LIMIT_EXCEEDED", False, 2, 0), "c.csv": (None, True, 2, 1)}
+
+
+def test_table_fingerprint_is_order_free_and_merges(spark):
+    rows = [(i % 7, f"v{i % 11}", None if i % 5 else 1.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    whole = csv.table_fingerprint(df).first()
+    assert csv.table_fingerprint(df.orderBy(F.rand(3)).repartition(5)).first() == whole
+    assert csv.table_fingerprint(df.unionByName(df.limit(1))).first() != whole
+    assert csv.table_fingerprint(df.unionByName(df.limit(1)).unionByName(df.limit(1))).first() != whole  # the ors alone would agree
+    parts = csv.table_fingerprint(df.withColumn("f", F.col("a") % 3), ["f"])
+    assert csv.merged(parts).first() == whole
+    one, other = (csv.table_fingerprint(spark.createDataFrame([r], "a string, b string")).first() for r in (("x1", ":y"), ("x", "1:y")))
+    assert one != other
+    nothing = csv.table_fingerprint(df.limit(0)).first()
+    assert (nothing["rows"], nothing["xor_high"], nothing["digest_sum"]) == (0, 0, 0)
+
+
+def test_tree_fingerprint_in_levels(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    lines = [f"line {i}" for i in range(50)] + ["", ""]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(reversed(lines)) + "\n")
+    monkeypatch.setattr(csv, "LEAF_LINES", 4)
+    monkeypatch.setattr(csv, "NODE_CHILDREN", 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")  # several blocks a file
+    try:
+        got = {r.file[-5:]: (r.tree_sha256, r.lines) for r in csv.tree_fingerprints(csv.read_lines(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    def tree(found):
+        level, children = [sha(x) for x in found], 4
+        while len(level) > 1 or children == 4:
+            level, children = [sha("".join(level[i : i + children])) for i in range(0, len(level), children)], 3
+        return level[0], len(found)
+
+    assert got == {"a.txt": tree(lines), "b.txt": tree(lines[::-1])}

@@ -264,3 +264,36 @@ def test_duplicate_names_keep_their_columns(text_table):
         "structural.duplicate_normalized_column_name.order_id", "structural.duplicate_normalized_column_name.x"]
     cols = d.finding_columns.where("finding_key LIKE '%.order_id'").orderBy("position").collect()
     assert [(c.position, c.ordinal) for c in cols] == [(0, 0), (1, 2)]
+
+
+def test_key_rules_run_in_one_aggregation(spark, text_table):
+    from rowlens.operators import rules as rul
+
+    rows = [("a", "1", "x" * 5000), ("a", "1", "x" * 5000), (None, "2", "y"), ("b", "2", "y"), ("b", "2", "z"), ("", "3", "y")]
+    table = text_table(["k", "v", "t"], rows)
+    every = [
+        rul.Rule("whole", "unique", ("k", "v", "t")), rul.Rule("k", "unique", ("k",), null_handling="fail"), rul.Rule("v", "unique", ("v",)),
+        *[rul.Rule(f"r{i}", "unique", ("k", "v")) for i in range(12)],
+    ]
+    tracker, seen = spark.sparkContext.statusTracker(), {}
+    for n in (3, len(every)):
+        spark.sparkContext.setJobGroup(f"keys{n}", "")
+        done = rul.execute_rules(table, every[:n])
+        seen[n] = len(tracker.getJobIdsForGroup(f"keys{n}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert seen[3] == seen[len(every)] > 0
+    counts = {r.rule_id: (r.pass_count, r.fail_count, r.skipped_count) for r in done.results.collect()}
+    assert counts["whole"] == (2, 2, 2) and counts["k"] == (0, 6, 0) and counts["v"] == (1, 5, 0) and counts["r3"] == (0, 4, 2)
+    failures = {(r.rule_id, r.position): (r.row_number, r.reason) for r in done.failures.collect()}
+    assert failures["k", 1] == (2, "value is missing") and failures["k", 3][0] == 0 and failures["whole", 2][0] == 1
+    assert "xxxx" not in done.failures._jdf.queryExecution().toString().split("== Physical")[0]
+
+
+def test_key_rules_treat_zeros_and_nans_alike(spark):
+    from rowlens.operators import rules as rul
+    from rowlens.operators.table import Table
+
+    df = spark.createDataFrame([(0, 0.0), (1, -0.0), (2, float("nan")), (3, float("nan")), (4, 1.0)], "row_number bigint, c0 double")
+    done = rul.execute_rules(Table.from_dataframe(df, names=["n"]), [rul.Rule("n", "unique", ("n",))])
+    got = done.results.first()
+    assert got.fail_count + got.skipped_count == 4 and got.pass_count == 1

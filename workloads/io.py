@@ -156,14 +156,33 @@ def src_06(spark, sf):
     return found.select(big("column_count"), "row_count", "ragged_rows", "problem")
 
 
+_HEX = "CAST(concat('0x', substr(m, {}, {})) AS BIGINT)"
+
+
 @register(
     "src_07",
-    f"WITH f AS ({FILES}), c AS (SELECT concat(string_agg(line, chr(10) ORDER BY k), chr(10)) AS content FROM f GROUP BY d) "
-    "SELECT sha256(content) AS content_sha256, CAST(strlen(content) AS BIGINT) AS byte_size FROM c",
+    f"WITH f AS ({FILES}), c AS (SELECT d, concat(string_agg(line, chr(10) ORDER BY k), chr(10)) AS content FROM f GROUP BY d), "
+    f"n AS (SELECT d, line, row_number() OVER (PARTITION BY d ORDER BY k) - 1 AS i FROM f), "
+    f"leaf AS (SELECT d, i // {csv.LEAF_LINES} AS b, sha256(string_agg(sha256(line), '' ORDER BY i)) AS x FROM n GROUP BY ALL), "
+    "deep AS (SELECT max(b) AS b FROM leaf), "
+    "tree AS (SELECT d, CASE WHEN any_value(deep.b) = 0 THEN any_value(x) ELSE sha256(string_agg(x, '' ORDER BY leaf.b)) END AS tree_sha256 FROM leaf, deep GROUP BY d), "
+    "r AS (SELECT d, md5(concat(length(line), ':', line)) AS m FROM f), "
+    f"t AS (SELECT d, count(*) AS rows, bit_xor({_HEX.format(1, 15)}) AS xor_high, bit_xor({_HEX.format(16, 15)}) AS xor_low, "
+    f"CAST(sum({_HEX.format(1, 8)}) AS BIGINT) AS digest_sum FROM r GROUP BY d) "
+    "SELECT sha256(content) AS content_sha256, CAST(strlen(content) AS BIGINT) AS byte_size, tree_sha256, rows, xor_high, xor_low, digest_sum "
+    "FROM c JOIN tree USING (d) JOIN t USING (d)",
 )
 def src_07(spark, sf):
+    """Whole-file and tree digests of each file, and the order-free fingerprint of its rows."""
     path = _four_files(spark, sf)
-    return csv.fingerprints(spark, f"{path}/*").select("content_sha256", "byte_size")
+    lines = csv.read_lines(spark, f"{path}/*")
+    name = lambda c: F.regexp_extract(c, "[^/]+/[^/]+$", 0).alias("name")
+    whole = csv.fingerprints(spark, f"{path}/*").select(name("path"), "content_sha256", "byte_size")
+    tree = csv.tree_fingerprints(lines).select(name("file"), "tree_sha256")
+    rows = csv.table_fingerprint(lines.select(name("file"), "line"), ["name"])
+    return whole.join(tree, "name").join(rows, "name").select(
+        "content_sha256", "byte_size", "tree_sha256", "rows", "xor_high", "xor_low", F.col("digest_sum").cast("bigint").alias("digest_sum")
+    )
 
 
 @register("src_08", f"SELECT {K}, row_number() OVER (ORDER BY o_custkey, {K}) - 1 AS row_number FROM orders")
