@@ -18,6 +18,7 @@ REASONS = (
     "schema_invalid", "unsupported_control_field", "invalid_provenance", "unknown_evidence_id",
     "unknown_column", "unknown_numeric_claim", "numeric_claim_mismatch", "invalid_severity",
 )
+REASONS_OF_NAMES = ("unknown_evidence_id", "unknown_column", "unknown_numeric_claim", "numeric_claim_mismatch")
 
 
 def _kind(key: str) -> Column:
@@ -40,8 +41,8 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def schema_flags(parsed: DataFrame) -> DataFrame:
-    """AUD-01/05: row-local checks of keys, types, severity and provenance."""
+def schema_flags(parsed: DataFrame, *carried: str) -> DataFrame:
+    """AUD-01/05: row-local checks of keys, types, severity and provenance; `carried` columns stay."""
     keys = F.col("keys")
     allowed = F.array(*[F.lit(k) for k in ALLOWED_KEYS])
     required = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
@@ -75,6 +76,7 @@ def schema_flags(parsed: DataFrame) -> DataFrame:
     severity_kind = _kind("severity")
     return parsed.select(
         "response_id",
+        *carried,
         F.coalesce(invalid, F.lit(True)).alias("schema_invalid"),
         F.coalesce(F.size(F.array_except(keys, allowed)) > 0, F.lit(False)).alias("unsupported_control_field"),
         F.coalesce(
@@ -88,36 +90,75 @@ def schema_flags(parsed: DataFrame) -> DataFrame:
     )
 
 
-def unknown_references(
-    parsed: DataFrame, member: str, known: DataFrame, flag: str
-) -> DataFrame:
-    """AUD-02/03: responses that name something `known(response_id, name)` does not hold."""
-    named = parsed.where(_kind(member).startswith("ARRAY")).select(
-        "response_id", F.explode(_member(member, "array<string>")).alias("name")
-    )
-    return (
-        named.join(known, ["response_id", "name"], "left_anti")
-        .select("response_id")
-        .distinct()
-        .withColumn(flag, F.lit(True))
-    )
+# what an answer mentions, and what it was given
+EVIDENCE, COLUMN, CLAIM, ANSWER = "evidence", "column", "claim", "answer"
+_FLAGS = ("schema_invalid", "unsupported_control_field", "invalid_provenance", "invalid_severity")
+_MENTION = "struct<kind: string, name: string, numeric: boolean, claimed: double>"
+
+
+def _mentions() -> Column:
+    """Everything an answer names, as one array: evidence, columns, numeric claims, and itself once."""
+    nothing = F.lit(None)
+
+    def listed(member: str, kind: str) -> Column:
+        names = F.when(_kind(member).startswith("ARRAY"), _member(member, "array<string>"))
+        one = F.transform(names, lambda x: F.struct(F.lit(kind), x, nothing.cast("boolean"), nothing.cast("double")).cast(_MENTION))
+        return F.coalesce(one, F.array().cast(f"array<{_MENTION}>"))
+
+    def claim(entry: Column) -> Column:
+        kind = F.schema_of_variant(entry["value"])
+        number = ~F.coalesce(kind.isin("STRING", "BOOLEAN", "VOID"), F.lit(True)) & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+        return F.struct(F.lit(CLAIM), entry["key"], number, F.try_variant_get(entry["value"], "$", "double")).cast(_MENTION)
 
+    claims = F.when(_kind("numeric_claims").startswith("OBJECT"), F.map_entries(_member("numeric_claims", "map<string,variant>")))
+    claimed = F.coalesce(F.transform(claims, claim), F.array().cast(f"array<{_MENTION}>"))
+    itself = F.struct(F.lit(ANSWER), nothing.cast("string"), nothing.cast("boolean"), nothing.cast("double")).cast(_MENTION)
+    return F.concat(F.array(itself), listed("referenced_evidence_ids", EVIDENCE), listed("referenced_columns", COLUMN), claimed)
 
-def numeric_claim_flags(parsed: DataFrame, facts: DataFrame) -> DataFrame:
-    """AUD-04 against facts(response_id, fact, fact_value)."""
-    claims = parsed.where(_kind("numeric_claims").startswith("OBJECT")).select(
-        "response_id", F.explode(_member("numeric_claims", "map<string,variant>")).alias("fact", "claim")
+
+def audit_flags(responses: DataFrame, evidence: DataFrame, columns: DataFrame, facts: DataFrame) -> DataFrame:
+    """AUD-01..05: one row of flags per response id, and its number of numeric claims.
+
+    Answers are parsed once and exploded into mentions with a kind; what each response was given
+    joins them as further rows, and one aggregate per (response, kind, name) tells which mentions
+    are known. A mention without a name is never known.
+    """
+    parsed = parse_responses(responses)
+    flags = schema_flags(parsed.select("*", _mentions().alias("mentions")), "mentions")
+    mentioned = flags.select(
+        "response_id", F.inline("mentions"), F.struct(*_FLAGS).alias("flags"), F.lit(False).alias("given"), F.lit(None).cast("double").alias("fact")
     )
-    joined = claims.join(facts, ["response_id", "fact"], "left")
-    kind = F.schema_of_variant("claim")
-    numeric = ~F.coalesce(kind.isin("STRING", "BOOLEAN", "VOID"), F.lit(True)) & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
-    known = F.col("fact_value").isNotNull()
-    return joined.groupBy("response_id").agg(
-        F.bool_or(~known).alias("unknown_numeric_claim"),
-        F.bool_or(
-            known & numeric & (F.try_variant_get("claim", "$", "double") != F.col("fact_value"))
-        ).alias("numeric_claim_mismatch"),
-        F.bool_or(known & ~numeric).alias("claim_not_numeric"),
+    no_flags = F.lit(None).cast(mentioned.schema["flags"].dataType)
+
+    def held(rows: DataFrame, kind: str, name: str, value: Column) -> DataFrame:
+        return rows.where(F.col(name).isNotNull()).select(
+            "response_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), F.lit(None).cast("boolean").alias("numeric"),
+            F.lit(None).cast("double").alias("claimed"), no_flags.alias("flags"), F.lit(True).alias("given"), value.alias("fact"),
+        )
+
+    no_fact = F.lit(None).cast("double")
+    every = mentioned.unionByName(held(evidence, EVIDENCE, "name", no_fact)).unionByName(held(columns, COLUMN, "name", no_fact))
+    every = every.unionByName(held(facts.where("fact_value IS NOT NULL"), CLAIM, "fact", F.col("fact_value").cast("double")))
+    by_name = every.groupBy("response_id", "kind", "name").agg(
+        F.count_if(~F.col("given")).alias("named"), F.bool_or("given").alias("known"), F.max("flags").alias("flags"),
+        F.bool_or("numeric").alias("numeric"), F.max("claimed").alias("claimed"), F.min("fact").alias("low"), F.max("fact").alias("high"),
+    )
+    named, known, numeric = F.col("named") > 0, F.col("known"), F.coalesce(F.col("numeric"), F.lit(False))
+    claim = named & (F.col("kind") == CLAIM)
+    off = (F.col("claimed") != F.col("low")) | (F.col("claimed") != F.col("high"))
+    return (
+        by_name.groupBy("response_id")
+        .agg(
+            F.max("flags").alias("flags"),
+            F.bool_or(named & ~known & (F.col("kind") == EVIDENCE)).alias("unknown_evidence_id"),
+            F.bool_or(named & ~known & (F.col("kind") == COLUMN)).alias("unknown_column"),
+            F.bool_or(claim & ~known).alias("unknown_numeric_claim"),
+            F.bool_or(F.coalesce(claim & known & numeric & off, F.lit(False))).alias("numeric_claim_mismatch"),
+            F.bool_or(claim & known & ~numeric).alias("claim_not_numeric"),
+            F.sum(F.when(claim, F.col("named")).otherwise(0)).alias("n_claims"),
+        )
+        .where(F.col("flags").isNotNull())  # what was given without an answer is no answer
+        .select("response_id", "flags.*", *REASONS_OF_NAMES, "claim_not_numeric", "n_claims")
     )
 
 
@@ -127,23 +168,11 @@ def audit(
     """AUD-06: distinct reasons per response; accepted exactly when there are none.
 
     `evidence(response_id, name)`, `columns(response_id, name)` and `facts(response_id, fact,
-    fact_value)` hold what each response was given. Every check is an equi-join on response.
+    fact_value)` hold what each response was given.
     """
-    parsed = parse_responses(responses)
-    flags = schema_flags(parsed)
-    for extra in (
-        unknown_references(parsed, "referenced_evidence_ids", evidence, "unknown_evidence_id"),
-        unknown_references(parsed, "referenced_columns", columns, "unknown_column"),
-        numeric_claim_flags(parsed, facts),
-    ):
-        flags = flags.join(extra, "response_id", "left")
-    flags = flags.withColumn(
-        "schema_invalid",
-        F.col("schema_invalid") | F.coalesce("claim_not_numeric", F.lit(False)),
-    )
-    reasons = F.array_compact(
-        F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(r)) for r in REASONS])
-    )
+    flags = audit_flags(responses, evidence, columns, facts)
+    flags = flags.withColumn("schema_invalid", F.col("schema_invalid") | F.col("claim_not_numeric"))
+    reasons = F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in REASONS]))
     return flags.select("response_id", reasons.alias("reasons")).select(
         "response_id",
         (F.size("reasons") == 0).alias("accepted"),

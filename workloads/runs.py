@@ -176,14 +176,16 @@ def his_06(spark, sf):
     return his.active_relationships(_ev(spark, sf, VERSIONS))
 
 
+# ten users share an analysis; every signup mints an id, and a user's later requests name the newest one
 REQUESTS = (
-    "SELECT concat('a', CAST(user_id % 7 AS STRING)) AS analysis_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'confirm' "
+    "WITH named AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS minted FROM events) "
+    "SELECT concat('a', CAST(floor(user_id / 10) AS STRING)) AS analysis_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'confirm' "
     "WHEN 'error' THEN 'withdraw' ELSE 'replace' END AS transition, 'start_end_date' AS kind, "
-    "CASE WHEN event_type = 'signup' THEN NULL ELSE concat('r', CAST(user_id AS STRING)) END AS relationship_id, "
+    "CASE WHEN event_type = 'signup' THEN NULL ELSE concat('r', CAST(coalesce(minted, -user_id) AS STRING)) END AS relationship_id, "
     "CASE WHEN event_type = 'signup' THEN NULL WHEN event_id % 13 = 0 THEN NULL ELSE CAST(1 + event_id % 3 AS INT) END AS expected_version, "
     "CASE WHEN event_type = 'error' THEN NULL ELSE concat('s', CAST(event_id AS STRING)) END AS start_key, "
     "CASE WHEN event_type = 'error' THEN NULL ELSE concat('e', CAST(event_id AS STRING)) END AS end_key, "
-    "concat('r', CAST(user_id AS STRING)) AS new_id FROM events"
+    "concat('r', CAST(event_id AS STRING)) AS new_id FROM named"
 )
 
 
@@ -260,24 +262,18 @@ def aud_01(spark, sf):
 
 @register("aud_02", _FLAGS + "SELECT response_id FROM f WHERE unknown_evidence_id")
 def aud_02(spark, sf):
-    responses, evidence, _, _ = _audit_inputs(spark, sf)
-    parsed = aud.parse_responses(responses)
-    return aud.unknown_references(parsed, "referenced_evidence_ids", evidence, "x").select("response_id")
+    return aud.audit_flags(*_audit_inputs(spark, sf)).where("unknown_evidence_id").select("response_id")
 
 
 @register("aud_03", _FLAGS + "SELECT response_id FROM f WHERE unknown_column")
 def aud_03(spark, sf):
-    responses, _, columns, _ = _audit_inputs(spark, sf)
-    parsed = aud.parse_responses(responses)
-    return aud.unknown_references(parsed, "referenced_columns", columns, "x").select("response_id")
+    return aud.audit_flags(*_audit_inputs(spark, sf)).where("unknown_column").select("response_id")
 
 
 @register("aud_04", _FLAGS + "SELECT f.response_id, unknown_numeric_claim, numeric_claim_mismatch FROM f JOIN j USING (response_id) WHERE d IS NOT NULL")
 def aud_04(spark, sf):
-    responses, _, _, facts = _audit_inputs(spark, sf)
-    return aud.numeric_claim_flags(aud.parse_responses(responses), facts).select(
-        "response_id", "unknown_numeric_claim", "numeric_claim_mismatch"
-    )
+    flags = aud.audit_flags(*_audit_inputs(spark, sf)).where("n_claims > 0")
+    return flags.select("response_id", "unknown_numeric_claim", "numeric_claim_mismatch")
 
 
 @register("aud_05", _FLAGS + "SELECT response_id, invalid_provenance, invalid_severity FROM f")
