@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _REST = "_other_columns"
 
@@ -20,13 +21,15 @@ def packed(rows: DataFrame, *needed: str) -> DataFrame:
 
 def unpacked(rows: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
     """The columns of `like` from packed rows; `changed` replaces some, in the type they had."""
+    rest = rows.schema[_REST].dataType
+    carried = set(rest.fieldNames()) if isinstance(rest, StructType) else set()
     out = []
     for field in like.schema.fields:
         if field.name in changed:
             column = changed[field.name].cast(field.dataType)
-        elif field.name in rows.columns:
-            column = F.col(field.name)
-        else:
+        elif field.name in carried:  # whatever columns of that name the operator has added
             column = F.col(_REST).getField(field.name)
+        else:
+            column = F.col(field.name)
         out.append(column.alias(field.name))
     return rows.select(*out)
