@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowlens.operators.table import ColumnRef, Table, name_columns
+from rowlens.sources.headers import header_warnings, normalize_headers
 from rowlens.sources.rownum import ROW_NUMBER, broadcast_if_small
 from rowlens.sources.scratch import materialize
 
@@ -23,6 +24,8 @@ from rowlens.sources.scratch import materialize
 DELIMITERS = (",", ";", "\t", "|")
 MAX_REFERENCES = 20
 MAX_NOTICES = 6
+# The warnings of one header cell in the order they are given.
+_HEADER_CODES = ("parsing.empty_column_name", "parsing.column_name_truncated", "parsing.duplicate_column_name")
 # distinct headers of one folder; more are a sign that the files are not one table
 MAX_HEADERS = 1000
 
@@ -383,23 +386,76 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("byte_size"))
 
 
-def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits(), sizes: DataFrame | None = None) -> DataFrame:
-    """SRC-06/14: shape, ragged rows and refusals per file, one pass over the lines.
+def fields_of(record: Column, delimiter: str) -> Column:
+    """The fields of a record as text: quotes around a field removed, doubled ones inside it undone."""
+    d = _quoted(delimiter)
+    # the pattern also finds the empty end of a record, so fields are counted apart
+    found = F.regexp_extract_all(record, F.lit(rf'(?s)("{_REST}(?:"[^{d}]*+|\z)|[^{d}]*+)(?:{d}|\z)'), F.lit(1))
+    cells = F.slice(found, F.lit(1), field_counts(record, delimiter))
+    quoted = lambda x: F.replace(F.regexp_replace(x, r'^"|"\z', ""), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda x: F.when(x.startswith('"'), quoted(x)).otherwise(x))
+
+
+def file_inventory(
+    lines: DataFrame, delimiter: str | None = None, limits: Limits = Limits(), sizes: DataFrame | None = None
+) -> DataFrame:
+    """SRC-06/14: per file its shape, ragged rows, notices and refusals, as `read_csv` would read it.
 
-    With `sizes(file, byte_size)` the byte guard is applied too.
+    Works on records, so a line break inside a field ends no row, and every file has its own
+    delimiter unless one is given. The records of a file are reduced to counts per number of fields;
+    the header is the record at the first place. `notices` are the most common warnings (code, n),
+    ties in the order seen. With `sizes(file, byte_size)` the byte guard is applied too.
     """
-    bare = lines.withColumn("line", _without_return(F.col("line")))
-    heads = first_lines(lines).select(
-        "file", field_counts(F.col("line"), delimiter).alias("column_count")
+    if delimiter is None:
+        lines = lines.join(broadcast_if_small(file_delimiters(lines)), "file")
+    else:
+        lines = lines.withColumn("delimiter", F.lit(delimiter))
+    found = records(lines).withColumn("line", _without_return(F.col("line")))
+    place = F.struct("block", "mono")
+    # only a file's first block can hold its header
+    heads = found.where("block = 0").groupBy("file").agg(
+        F.min(place).alias("head"), F.min_by(F.struct("line", "delimiter"), place).alias("first")
     )
-    counted = bare.join(broadcast_if_small(heads), "file").withColumn(
-        "have", field_counts(F.col("line"), delimiter)
+    heads = materialize(
+        heads.select("file", "head", _without_mark(F.col("first.line")).alias("line"), F.col("first.delimiter").alias("delimiter")),
+        "inventory-headers",
     )
-    shapes = counted.groupBy("file").agg(
+    too_far = F.lit(None).cast("int")
+    if limits.max_field_length is not None:
+        long = lambda d: F.array_position(
+            F.transform(fields_of(F.col("line"), d), lambda x: F.length(x) > limits.max_field_length), True
+        )
+        too_far = F.nullif(_by_delimiter(long).cast("int"), F.lit(0))
+    have = _by_delimiter(lambda d: field_counts(F.col("line"), d))
+    counted = found.select("file", "block", "mono", have.alias("have"), too_far.alias("long_at"))
+    widths = heads.select("file", "head", have.alias("column_count"))
+    rows = counted.groupBy("file", "have", "long_at").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("seen"))
+    rows = rows.join(broadcast_if_small(widths), "file").withColumn("n", F.col("n") - (F.col("seen") == F.col("head")).cast("int"))
+    ragged, cut = F.col("have") != F.col("column_count"), F.col("long_at") <= F.least("have", "column_count")
+    shapes = rows.groupBy("file").agg(
         F.first("column_count").alias("column_count"),
-        (F.count(F.lit(1)) - 1).alias("row_count"),
-        F.count_if(F.col("have") != F.col("column_count")).alias("ragged_rows"),
+        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum(F.when(ragged, F.col("n"))), F.lit(0)).alias("ragged_rows"),
+        F.coalesce(F.sum(F.when(cut, F.col("n"))), F.lit(0)).alias("cut_rows"),
+        F.min(F.when(ragged & (F.col("n") > 0), F.col("seen"))).alias("ragged_seen"),
+        F.min(F.when(cut & (F.col("n") > 0), F.col("seen"))).alias("cut_seen"),
+    )
+    names = heads.select("file", F.posexplode(_by_delimiter(lambda d: fields_of(F.col("line"), d))).alias("ordinal", "name"))
+    order = F.array_position(F.array(*map(F.lit, _HEADER_CODES)), F.col("code"))
+    in_header = header_warnings(normalize_headers(names, limits.max_name_length)).groupBy("file", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("ordinal").cast("bigint").alias("a"), order.alias("b"))).alias("at")
+    )
+    in_header = in_header.select("file", "code", "n", F.lit(0).alias("part"), F.col("at.a").alias("a"), F.col("at.b").alias("b"), F.lit(0).alias("c"))
+    kinds = F.array(*[
+        F.struct(F.lit(code).alias("code"), F.col(n).alias("n"), F.col(f"{seen}.block").alias("a"), F.col(f"{seen}.mono").alias("b"), F.lit(i).alias("c"))
+        for i, (code, n, seen) in enumerate((("parsing.ragged_row", "ragged_rows", "ragged_seen"), ("parsing.field_value_truncated", "cut_rows", "cut_seen")))
+    ])
+    in_rows = shapes.select("file", F.inline(kinds)).where("n > 0").select("file", "code", "n", F.lit(1).alias("part"), "a", "b", "c")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "part", "a", "b", "c", "code", "n")))
+    told = in_header.unionByName(in_rows).groupBy("file").agg(
+        F.transform(F.slice(ranked, 1, MAX_NOTICES), lambda x: F.struct(x["code"].alias("code"), x["n"].alias("n"))).alias("notices")
     )
+    shapes = shapes.join(told, "file", "left")
     shapes = (
         shapes.withColumn("byte_size", F.lit(None).cast("bigint"))
         if sizes is None
@@ -414,8 +470,11 @@ def file_inventory(lines: DataFrame, delimiter: str, limits: Limits = Limits(),
         .when(too_wide, "COLUMN_LIMIT_EXCEEDED")
         .when(too_long, "ROW_LIMIT_EXCEEDED")
     )
+    no_notices = F.array().cast("array<struct<code:string,n:bigint>>")
     return shapes.select(
         "file", "column_count", "row_count", "ragged_rows", "byte_size", problem.alias("problem"),
+        # a refused file has no rows to tell about
+        F.when(problem.isNull(), F.coalesce("notices", no_notices)).otherwise(no_notices).alias("notices"),
         problem.isNull().alias("can_run"),
     )
 

@@ -99,11 +99,46 @@ def test_records_equal_the_standard_reader(spark, tmp_path):
 def test_inventory_has_a_byte_guard(spark, tmp_path):
     path = write(tmp_path, a="id,v\n1,2\n", b="id,v\n" + "1,2\n" * 50, c='x,"a,b"\n1,"2,3"\n4\n')
     lines = csv.read_lines(spark, path)
-    found = csv.file_inventory(lines, ",", csv.Limits(max_bytes=100), csv.file_sizes(spark, path))
+    found = csv.file_inventory(lines, limits=csv.Limits(max_bytes=100), sizes=csv.file_sizes(spark, path))
     got = {r.file.rsplit("/", 1)[1]: (r.problem, r.can_run, r.column_count, r.ragged_rows) for r in found.collect()}
     assert got == {"a.csv": (None, True, 2, 0), "b.csv": ("BYTE_LIMIT_EXCEEDED", False, 2, 0), "c.csv": (None, True, 2, 1)}
 
 
+def test_inventory_counts_records_like_the_reader(spark, tmp_path):
+    path = write(
+        tmp_path,
+        a='id,"na\nme",x\n1,"two\nlines",3\n4,5\n\n',
+        b='id;;"a;""b";id\n1;"x;\n;y";3;4\n1;2\n7;8;9;1,0\n',
+        c='\ufeffid|name\r\n1|"' + "v" * 30 + '"\r\n2|w|' + "v" * 30 + "\r\n" + "y" * 30 + '|"a"",|"\r\n',
+        d="",
+        e="\n1,2\n",
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")  # records cross blocks
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = csv.file_inventory(csv.read_lines(spark, path), limits=csv.Limits(max_field_length=20)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {r.file[-5:]: (r.column_count, r.row_count, r.ragged_rows, r.problem, [tuple(n) for n in r.notices]) for r in found}
+    assert got == {
+        "a.csv": (3, 3, 2, None, [("parsing.ragged_row", 2)]),
+        "b.csv": (4, 3, 1, None, [("parsing.empty_column_name", 1), ("parsing.duplicate_column_name", 1), ("parsing.ragged_row", 1)]),
+        "c.csv": (2, 3, 1, None, [("parsing.field_value_truncated", 2), ("parsing.ragged_row", 1)]),
+        "e.csv": (0, 1, 1, "NO_HEADER_ROW", []),
+    }
+    for name in "ab":
+        table = csv.read_csv(spark, f"{path}/{name}.csv")
+        assert (len(table.columns), table.row_count, table.facts["ragged_row_count"]) == got[f"{name}.csv"][:3]
+
+
+def test_fields_of_a_record(spark):
+    cases = ["a,b", "a,", ",", '"x, ""y""",z', '"two\nlines",', 'a"b,c', '"open, to the end', '""', ""]
+    df = spark.createDataFrame([(c,) for c in cases], "line string")
+    got = [r[0] for r in df.select(csv.fields_of(F.col("line"), ",")).collect()]
+    assert got == [["a", "b"], ["a", ""], ["", ""], ['x, "y"', "z"], ["two\nlines", ""], ['a"b', "c"], ["open, to the end"], [""], []]
+
+
 def test_table_fingerprint_is_order_free_and_merges(spark):
     rows = [(i % 7, f"v{i % 11}", None if i % 5 else 1.5) for i in range(300)]
     df = spark.createDataFrame(rows, "a int, b string, c double")

@@ -127,33 +127,49 @@ def src_05(spark, sf):
     return table.df.select("doc_id", F.md5("text").alias("text_md5"), big(F.length("text"), "kept"))
 
 
-FILES = f"SELECT {K} % 4 AS d, {K} AS k, {LINE} AS line FROM orders"
+# as many files as 10,000 customers each need, and four more
+_DEALT = "o_custkey % (SELECT CAST(floor(count(*) / 10000) AS BIGINT) + 4 FROM customer)"
+FILES = f"SELECT {_DEALT} AS d, {K} AS k, {LINE} AS line FROM orders"
+
+# Files of two delimiters, with line breaks inside fields and, in some, inside the header; d % 4 = 2 has a blank header.
+_OWN = "CASE WHEN d % 2 = 0 THEN ',' ELSE ';' END"
+_SHAPE_OF = "CASE WHEN k % 101 = 0 THEN 0 WHEN k % 50 = 7 THEN 1 WHEN k % 77 = 5 THEN 4 ELSE 3 END"
+MIXED = (
+    f"SELECT d, k, CASE WHEN k % 101 = 0 THEN '' WHEN k % 50 = 7 THEN CAST(k AS STRING) WHEN k % 77 = 5 THEN concat(CAST(k AS STRING), s, o_orderstatus, s, 'x', s, 'y') "
+    "WHEN k % 9 = 0 THEN concat(CAST(k AS STRING), s, s, o_orderstatus) ELSE concat(CAST(k AS STRING), s, '\"', o_orderpriority, ',;', chr(10), '\"\"q\"\"\"', s, o_orderstatus) END AS line "
+    f"FROM (SELECT *, {_OWN} AS s FROM (SELECT {_DEALT} AS d, {K} AS k, o_orderstatus, o_orderpriority FROM orders)) "
+    "UNION ALL SELECT d, -1, CASE WHEN d % 4 = 2 THEN '' ELSE concat('key', s, CASE WHEN d % 4 = 3 THEN concat('\"la', chr(10), 'bel\"') ELSE 'label' END, s, "
+    f"CASE WHEN d % 3 = 0 THEN 'label' ELSE '' END) END FROM (SELECT DISTINCT d, {_OWN} AS s FROM (SELECT {_DEALT} AS d FROM orders))"
+)
 
 
-def _four_files(spark, sf):
-    """Four files, one per remainder of the key, lines in key order."""
+def _files(spark, sf, sql=FILES):
+    """The lines of a file in key order, one file per `d`."""
     path = scratch_path(spark, "files")
-    load(spark, sf, "orders").createOrReplaceTempView("rowlens_orders")
-    lines = spark.sql(FILES.replace("FROM orders", "FROM rowlens_orders"))
-    lines.repartition(4, "d").sortWithinPartitions("d", "k").select("d", "line").write.partitionBy("d").text(path)
+    for name in ("orders", "customer"):
+        load(spark, sf, name).createOrReplaceTempView(f"rowlens_{name}")
+    lines = spark.sql(sql.replace("FROM orders", "FROM rowlens_orders").replace("FROM customer", "FROM rowlens_customer"))
+    lines.repartition("d").sortWithinPartitions("d", "k").select("d", "line").write.partitionBy("d").text(path)
     return path
 
 
-_FIELDS = f"CASE WHEN line = '' THEN 0 WHEN k % 50 = 7 THEN 1 WHEN k % 77 = 5 THEN 4 ELSE 3 END"
 _INVENTORY = (
-    f"WITH f AS ({FILES}), c AS (SELECT d, k, {_FIELDS} AS have FROM f), h AS (SELECT d, arg_min(have, k) AS width FROM c GROUP BY d), "
-    "i AS (SELECT c.d, any_value(width) AS width, count(*) - 1 AS row_count, count(*) FILTER (have <> width) AS ragged_rows FROM c JOIN h USING (d) GROUP BY c.d) "
+    f"WITH c AS (SELECT {_DEALT} AS d, {K} AS k FROM orders), w AS (SELECT d, CASE WHEN d % 4 = 2 THEN 0 ELSE 3 END AS width, {_SHAPE_OF} AS have FROM c), "
+    "i AS (SELECT d, any_value(width) AS width, count(*) AS row_count, count(*) FILTER (have <> width) AS ragged_rows FROM w GROUP BY d), "
+    "n AS (SELECT *, CASE WHEN width > 0 AND d % 3 <> 0 THEN 'parsing.empty_column_name:1' WHEN width > 0 AND d % 4 <> 3 THEN 'parsing.duplicate_column_name:1' END AS named, "
+    "CASE WHEN width > 0 AND ragged_rows > 0 THEN concat('parsing.ragged_row:', ragged_rows) END AS torn FROM i) "
 )
 
 
 @register(
     "src_06",
-    _INVENTORY + "SELECT CAST(width AS BIGINT) AS column_count, row_count, ragged_rows, CASE WHEN width = 0 THEN 'NO_HEADER_ROW' WHEN width > 2 THEN 'COLUMN_LIMIT_EXCEEDED' END AS problem FROM i",
+    _INVENTORY + "SELECT CAST(width AS BIGINT) AS column_count, row_count, ragged_rows, CASE WHEN width = 0 THEN 'NO_HEADER_ROW' END AS problem, "
+    "CASE WHEN ragged_rows > 1 THEN concat_ws(',', torn, named) ELSE concat_ws(',', named, torn) END AS notices FROM n",
 )
 def src_06(spark, sf):
-    lines = csv.read_lines(spark, _four_files(spark, sf))
-    found = csv.file_inventory(lines, ",", csv.Limits(max_columns=2))
-    return found.select(big("column_count"), "row_count", "ragged_rows", "problem")
+    found = csv.file_inventory(csv.read_lines(spark, _files(spark, sf, MIXED)))
+    told = F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["code"], x["n"].cast("string"))), ",")
+    return found.select(big("column_count"), "row_count", "ragged_rows", "problem", told.alias("notices"))
 
 
 _HEX = "CAST(concat('0x', substr(m, {}, {})) AS BIGINT)"
@@ -174,7 +190,7 @@ _HEX = "CAST(concat('0x', substr(m, {}, {})) AS BIGINT)"
 )
 def src_07(spark, sf):
     """Whole-file and tree digests of each file, and the order-free fingerprint of its rows."""
-    path = _four_files(spark, sf)
+    path = _files(spark, sf)
     lines = csv.read_lines(spark, f"{path}/*")
     name = lambda c: F.regexp_extract(c, "[^/]+/[^/]+$", 0).alias("name")
     whole = csv.fingerprints(spark, f"{path}/*").select(name("path"), "content_sha256", "byte_size")
@@ -286,12 +302,17 @@ def src_13(spark, sf):
 
 @register(
     "src_14",
-    _INVENTORY + ", o AS (SELECT CASE WHEN width = 0 THEN 'NO_HEADER_ROW' WHEN row_count > 3749 THEN 'ROW_LIMIT_EXCEEDED' END AS problem, row_count, CAST(width AS BIGINT) AS column_count FROM i) "
+    _INVENTORY + ", m AS (SELECT CAST(floor(avg(row_count)) AS BIGINT) AS most FROM i), "
+    "o AS (SELECT CASE WHEN width = 0 THEN 'NO_HEADER_ROW' WHEN row_count > most THEN 'ROW_LIMIT_EXCEEDED' END AS problem, row_count, CAST(width AS BIGINT) AS column_count FROM i, m) "
     "SELECT *, problem IS NULL AS can_run FROM o",
 )
 def src_14(spark, sf):
-    lines = csv.read_lines(spark, _four_files(spark, sf))
-    found = csv.file_inventory(lines, ",", csv.Limits(max_rows=3749))
+    """Files of more rows than the files have on average are refused."""
+    lines = csv.read_lines(spark, _files(spark, sf, MIXED))
+    orders = load(spark, sf, "orders")
+    files = load(spark, sf, "customer").count() // 10000 + 4
+    most = orders.count() // orders.select((F.col("o_custkey") % files)).distinct().count()
+    found = csv.file_inventory(lines, limits=csv.Limits(max_rows=most))
     return found.select("problem", "row_count", big("column_count"), "can_run")
 
 
