@@ -1,4 +1,5 @@
 """Composed plans: the whole analysis, its stored tables, rule exports and the report."""
 from rowlens.plans.analysis import Analysis, analyze
+from rowlens.plans.store import RunStore
 
-__all__ = ["Analysis", "analyze"]
+__all__ = ["Analysis", "RunStore", "analyze"]
