@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from rowlens.plans import analyze
+from rowlens.operators.rules import Rule
+from rowlens.plans import RunStore, analyze
 from rowlens.plans.exports import rules_export
 from rowlens.plans.report import FileFacts, freeze_report, report_lines
 from rowlens.sources import csv, demo, grid
@@ -400,24 +402,57 @@ def snk_03(spark, sf):
     return freeze_report(report_lines(_analysis(spark, sf), _FILE), "r1")
 
 
+_TEXT_COLUMNS = list(VIEWS["orders_view"][2])
+
+
 @register(
     "snk_04",
-    f"WITH src AS ({view_sql('orders_view', ['priority'])}) SELECT 'completeness.excessive_missing_values' AS detector_id, count(*) FILTER ({s_missing('priority')}) AS affected_rows, "
-    f"CAST(sum(row_number) FILTER ({s_missing('priority')}) AS BIGINT) AS row_sum FROM src UNION ALL SELECT 'consistency.leading_trailing_whitespace', "
-    f"count(*) FILTER (priority <> {s_strip('priority')}), CAST(sum(row_number) FILTER (priority <> {s_strip('priority')}) AS BIGINT) FROM src",
+    f"WITH src AS ({view_sql('orders_view')}) SELECT 'finding_rows' AS stored, 'completeness.excessive_missing_values' AS key, count(*) FILTER ({s_missing('priority')}) AS n, "
+    f"CAST(sum(row_number) FILTER ({s_missing('priority')}) AS BIGINT) AS total FROM src UNION ALL SELECT 'finding_rows', 'consistency.leading_trailing_whitespace', "
+    f"count(*) FILTER (priority <> {s_strip('priority')}), CAST(sum(row_number) FILTER (priority <> {s_strip('priority')}) AS BIGINT) FROM src "
+    + " ".join(f"UNION ALL SELECT 'column_profile', '{c}', count(*), count(DISTINCT {c}) FILTER (NOT {s_missing(c)}) FROM src" for c in _TEXT_COLUMNS)
+    + f" UNION ALL SELECT 'rules', 'written', count(*) FILTER (NOT {s_missing('priority')}), count(*) FILTER ({s_missing('priority')}) FROM src "
+    "UNION ALL SELECT 'reviews', 'confirmed', CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT 'runs', 'completed', CAST(1 AS BIGINT), CAST(0 AS BIGINT) "
+    "UNION ALL SELECT 'tables', 'lost rows', CAST(13 AS BIGINT), CAST(0 AS BIGINT)",
 )
 def snk_04(spark, sf):
-    """Written and read back."""
-    from rowlens.operators.detectors import values
-
-    done = analyze(
-        view_table(spark, sf, "orders_view", ["priority"]), analysis_id="a1", as_of=dt.date(2026, 1, 1),
-        detectors=(values.MISSING_VALUES, values.EDGE_WHITESPACE),
+    """A whole analysis with a rule and a review, stored twice over (the second adds nothing) and read back.
+
+    `tables`: how many result tables there are, and the rows the stored ones have too few or too many.
+    """
+    done = _analysis(spark, sf)
+    store = RunStore(spark, scratch_path(spark, "store"))
+    at = dt.datetime(2026, 1, 2, tzinfo=dt.UTC)
+    for _ in range(2):
+        store.add(done, original_filename="orders.csv", dataset_format="csv", created_at=at)
+    store.create_rule("a1", done.table, Rule("written", "not_null", ("priority",), null_handling="fail"), at=at)
+    findings = store.result("findings", "a1")
+    mine = findings.join(store.result("finding_columns", "a1").where("internal_key = 'priority'").select("finding_key"), "finding_key", "left_semi")
+    mine = mine.where(F.col("detector_id").isin("completeness.excessive_missing_values", "consistency.leading_trailing_whitespace"))
+    decided = mine.where("detector_id = 'consistency.leading_trailing_whitespace'").select(
+        "finding_key", F.lit("confirmed").alias("review_state"), F.lit(None).cast("string").alias("note"),
+        F.lit(None).cast("string").alias("dismissal_reason"), F.lit(at).cast("timestamp").alias("reviewed_at"),
     )
-    paths = done.write(scratch_path(spark, "store"), ["findings", "finding_rows", "column_profile", "trust_assessment"])
-    findings = spark.read.parquet(paths["findings"])
-    rows = spark.read.parquet(paths["finding_rows"]).groupBy("finding_key").agg(F.sum("row_number").alias("row_sum"))
-    return findings.join(rows, "finding_key").select("detector_id", F.col("affected_row_count").alias("affected_rows"), "row_sum")
+    store.add_reviews("a1", decided, "review-1")
+    rows = store.result("finding_rows", "a1").join(mine.select("finding_key", "detector_id"), "finding_key")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    profile = store.result("column_profile", "a1")
+    named = lambda stored, key, n, total: [F.lit(stored).alias("stored"), key.alias("key"), n.cast("bigint").alias("n"), total.cast("bigint").alias("total")]
+    parts = [
+        rows.groupBy("detector_id").agg(F.count(F.lit(1)).alias("n"), F.sum("row_number").alias("total")).select(
+            *named("finding_rows", F.col("detector_id"), F.col("n"), F.col("total"))),
+        profile.select(*named("column_profile", F.col("internal_key"), F.col("null_count") + F.col("non_null_count"), F.coalesce("distinct_count", none))),
+        store.rules("a1").select(*named("rules", F.col("rule_id"), F.col("pass_count"), F.col("fail_count"))),
+        store.reviewed_findings("a1").where("review_state <> 'unreviewed'").select(*named("reviews", F.col("review_state"), one, none)),
+        store.runs().select(*named("runs", F.col("state"), one, none)),
+    ]
+    kept = None
+    for name, frame in done.tables().items():
+        both = frame.select(one.alias("made")).unionByName(store.result(name, "a1").select((-one).alias("made"))).agg(
+            F.coalesce(F.abs(F.sum("made")), none).alias("off"))
+        kept = both if kept is None else kept.unionByName(both)
+    parts.append(kept.agg(F.count(F.lit(1)).alias("n"), F.sum("off").alias("total")).select(*named("tables", F.lit("lost rows"), F.col("n"), F.col("total"))))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 __all__ = ["header_warnings"]

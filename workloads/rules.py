@@ -269,36 +269,66 @@ def rul_18(spark, sf):
     return counts(rul.offer_rules(table, d.findings, d.finding_columns))
 
 
+_SPELLED = "consistency.inconsistent_capitalization.priority.5-low"
+_CREATED = dt.datetime(2026, 1, 2, tzinfo=dt.UTC)
+_MINE = Rule("mine", "accepted_values", ("priority",), accepted_values=("5-LOW", "2-HIGH"))
+
+
+def _created(spark, sf):
+    """A store with an analysis of the priorities, an own rule and one chosen from its spellings."""
+    from rowlens.plans import RunStore, analyze
+    from rowlens.sources.scratch import scratch_path
+
+    table = view_table(spark, sf, "orders_view", ["priority"])
+    store = RunStore(spark, scratch_path(spark, "store"))
+    done = analyze(table, analysis_id="a1", as_of=dt.date(2026, 1, 1), detectors=(groups.CAPITALIZATION,))
+    store.add(done, original_filename="orders.csv", dataset_format="csv", created_at=_CREATED)
+    store.create_rule("a1", table, _MINE, at=_CREATED)
+    chosen = Rule("chosen", "accepted_values", ("priority",), accepted_values=("5-LOW",))
+    store.create_rule("a1", table, chosen, source_finding=_SPELLED, at=_CREATED)
+    return store
+
+
 @register(
     "rul_19",
-    s_counts("mine", OV, s_missing("priority"), "priority NOT IN ('5-LOW', '2-HIGH')").replace(
-        "SELECT 'mine' AS rule_id", "SELECT 'mine' AS rule_id, 'user_authored' AS provenance"
+    " UNION ALL ".join(
+        s_counts(name, OV, s_missing("priority"), fail).replace(
+            f"SELECT '{name}' AS rule_id", f"SELECT '{name}' AS rule_id, '{how}' AS provenance, count(*) FILTER (st = 'f') > 0 AS has_failing_rows"
+        )
+        for name, how, fail in (("mine", "user_authored", "priority NOT IN ('5-LOW', '2-HIGH')"), ("chosen", "ai_assisted", "priority <> '5-LOW'"))
     ),
 )
 def rul_19(spark, sf):
-    """Store a rule with its first result, then read it back."""
-    from rowlens.sources.scratch import scratch_path
+    """Rules created through the store and read back with their first result."""
+    store = _created(spark, sf)
+    failing = store.latest_failures("a1").select("rule_id", F.lit(True).alias("seen")).distinct()
+    has = F.coalesce("seen", F.lit(False)).alias("has_failing_rows")
+    return store.rules("a1").join(failing, "rule_id", "left").select("rule_id", "provenance", has, *COUNTS)
 
-    rule = Rule("mine", "accepted_values", ("priority",), accepted_values=("5-LOW", "2-HIGH"))
-    table = view_table(spark, sf, "orders_view", ["priority"])
-    stored = counts(run(table, rule)).withColumn("provenance", F.lit(rul.provenance_of(rule, None)))
-    path = scratch_path(spark, "rules")
-    stored.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+
+_TIDY = f"SELECT upper(trim(priority)) AS priority FROM ({view_sql('orders_view', ['priority'])})"
 
 
 @register(
     "rul_20",
-    "SELECT CAST(o_custkey AS BIGINT) AS rule_id, max_by(o_orderkey % 7, o_orderkey) AS pass_count, max_by(o_orderkey % 3, o_orderkey) AS fail_count, "
-    "max(o_orderkey) AS executed_at FROM orders GROUP BY o_custkey",
+    "SELECT CAST(o_custkey AS VARCHAR) AS rule_id, max_by(o_orderkey % 7, o_orderkey) AS pass_count, max_by(o_orderkey % 3, o_orderkey) AS fail_count, "
+    "max(o_orderkey) AS executed_at FROM orders GROUP BY o_custkey UNION ALL SELECT rule_id, pass_count, fail_count, 20260103 FROM ("
+    + s_counts("mine", _TIDY, s_missing("priority"), "priority NOT IN ('5-LOW', '2-HIGH')")
+    + ") UNION ALL SELECT rule_id, pass_count, fail_count, 20260102 FROM ("
+    + s_counts("chosen", OV, s_missing("priority"), "priority <> '5-LOW'") + ")",
 )
 def rul_20(spark, sf):
-    """Every order is one execution of its customer's rule."""
+    """Every order is one execution of its customer's rule; a stored rule is run again on tidied rows."""
     runs = load(spark, sf, "orders").selectExpr(
-        "o_custkey AS rule_id", "o_orderkey % 7 AS pass_count", "o_orderkey % 3 AS fail_count",
+        "CAST(o_custkey AS STRING) AS rule_id", "o_orderkey % 7 AS pass_count", "o_orderkey % 3 AS fail_count",
         "0L AS skipped_count", "CAST(NULL AS STRING) AS error", "o_orderkey AS executed_at",
     )
-    return rul.latest_results(runs).select("rule_id", "pass_count", "fail_count", "executed_at")
+    latest = rul.latest_results(runs).select("rule_id", "pass_count", "fail_count", "executed_at")
+    store = _created(spark, sf)
+    tidy = view_df(spark, sf, "orders_view", ["priority"]).withColumn("priority", F.upper(F.trim("priority")))
+    store.rerun_rule("a1", rul.Table.from_dataframe(tidy), "mine", at=_CREATED + dt.timedelta(days=1))
+    day = F.date_format("executed_at", "yyyyMMdd").cast("bigint").alias("executed_at")
+    return latest.unionByName(store.rules("a1").select("rule_id", "pass_count", "fail_count", day))
 
 
 @register(
