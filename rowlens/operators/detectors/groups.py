@@ -22,21 +22,34 @@ VARIANTS_SHOWN = 10
 VARIANT_DISPLAY = 60
 
 
+def digest(value: Column) -> Column:
+    """SHA-256 in 32 bytes: no two different texts are known to share one."""
+    return F.unhex(F.sha2(value, 256))
+
+
 def spelling_groups(
     vf: DataFrame, key: Column, spelling: Column, keep: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(spellings, groups): one row per (ordinal, key, spelling), and keys with two or more."""
+    """(spellings, groups): one row per (ordinal, key, spelling), and keys with two or more.
+
+    Texts of any length are grouped and joined by digest; each digest carries its text once.
+    """
     values = vf.where(~text.is_blank(F.col("value"))).select(
         "ordinal", key.alias("key"), spelling.alias("spelling"), "n", "first_row"
     )
     if keep is not None:
         values = values.where(keep)
-    spellings = values.groupBy("ordinal", "key", "spelling").agg(
-        F.sum("n").alias("n"), F.min("first_row").alias("first_row")
+    values = values.select("*", digest(F.col("key")).alias("key_id"), digest(F.col("spelling")).alias("spelling_id"))
+    spellings = values.groupBy("ordinal", "key_id", "spelling_id").agg(
+        F.first("key").alias("key"),
+        F.first("spelling").alias("spelling"),
+        F.sum("n").alias("n"),
+        F.min("first_row").alias("first_row"),
     )
     groups = (
-        spellings.groupBy("ordinal", "key")
+        spellings.groupBy("ordinal", "key_id")
         .agg(
+            F.first("key").alias("key"),
             F.count(F.lit(1)).alias("variants"),
             F.sum("n").alias("affected_row_count"),
             F.min("first_row").alias("first_row"),
@@ -97,22 +110,22 @@ def _assemble(
     total = ctx.profile.row_count * len(refs)
     out.value_frames.append(
         skew_safe_join(
-            spellings.drop("n", "first_row"),
-            groups.select("ordinal", "key", "variants"),
-            ["ordinal", "key"],
+            spellings.select("ordinal", "key_id", "spelling"),
+            groups.select("ordinal", "key_id", "key", "variants"),
+            ["ordinal", "key_id"],
             "variants",
             total,
         ).select(finding_key.alias("finding_key"), F.col("spelling").alias("value"))
     )
     # The key expression runs on cells exactly as it ran on distinct values.
     keyed = cells(ctx.table, refs).where(~text.is_blank(F.col("value"))).select(
-        ROW_NUMBER, "ordinal", key.alias("key")
+        ROW_NUMBER, "ordinal", digest(key).alias("key_id")
     )
     out.row_frames.append(
         skew_safe_join(
             keyed,
-            groups.select("ordinal", "key", "affected_row_count"),
-            ["ordinal", "key"],
+            groups.select("ordinal", "key_id", "key", "affected_row_count"),
+            ["ordinal", "key_id"],
             "affected_row_count",
             total,
         ).select(finding_key.alias("finding_key"), ROW_NUMBER)

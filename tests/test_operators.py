@@ -297,3 +297,17 @@ def test_key_rules_treat_zeros_and_nans_alike(spark):
     done = rul.execute_rules(Table.from_dataframe(df, names=["n"]), [rul.Rule("n", "unique", ("n",))])
     got = done.results.first()
     assert got.fail_count + got.skipped_count == 4 and got.pass_count == 1
+
+
+def test_spellings_of_long_values_are_grouped_by_digest(spark, text_table):
+    from rowlens import analyze
+
+    long = "Long value " * 3000
+    rows = [(v,) for v in (long, long.upper(), long, long + "x", "B", "b", "c", long.upper())]
+    done = analyze(text_table(["v"], rows), as_of=dt.date(2026, 1, 1), detectors=(groups.CAPITALIZATION,))
+    found = {r.finding_key[-1]: (r.affected_row_count, r.finding_key) for r in done.findings.collect()}
+    assert {k: n for k, (n, _) in found.items()} == {"e": 4, "b": 2}
+    named = done.detection.finding_rows.where(F.col("finding_key") == found["e"][1]).collect()
+    assert sorted(r.row_number for r in named) == [0, 1, 2, 7]
+    spelled = done.detection.finding_values.where(F.col("finding_key") == found["e"][1]).collect()
+    assert sorted(r.value for r in spelled) == sorted((long.strip(), long.upper().strip()))
