@@ -79,17 +79,18 @@ def priority_scores(
     ).drop("keyed", "monetary")
 
 
-def reinforced(finding_columns: DataFrame) -> DataFrame:
-    """FND-02: findings that share a column with another finding.
+def reinforced(finding_columns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """FND-02: findings that share a column with another finding, within each of `by`.
 
     Counts per column are aggregated and joined back (one row per column), so a column that
     owns most findings never becomes one window partition.
     """
-    pairs = finding_columns.select("finding_key", "internal_key").distinct()
-    counts = pairs.groupBy("internal_key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = finding_columns.select(*by, "finding_key", "internal_key").distinct()
+    counts = pairs.groupBy(*by, "internal_key").agg(F.count(F.lit(1)).alias("n"))
+    few = counts if by else F.broadcast(counts)  # one row per column of one table
     return (
-        pairs.join(F.broadcast(counts), "internal_key")  # one row per column of the table
-        .groupBy("finding_key")
+        pairs.join(few, [*by, "internal_key"])
+        .groupBy(*by, "finding_key")
         .agg(F.bool_or(F.col("n") >= 2).alias("is_reinforced"))
     )
 
@@ -101,10 +102,10 @@ def trust_label(score: Column) -> Column:
 
 
 def trust_assessment(
-    scored: DataFrame, finding_columns: DataFrame, samples_sent: bool = False
+    scored: DataFrame, finding_columns: DataFrame, samples_sent: bool = False, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """FND-03, one row."""
-    flagged = scored.join(reinforced(finding_columns), "finding_key", "left")
+    """FND-03, one row; or one per `by` (such as analysis_id), columns that both tables have."""
+    flagged = scored.join(reinforced(finding_columns, by), [*by, "finding_key"], "left")
     deduction = (
         F.col("priority_score")
         * DEDUCTION
@@ -113,7 +114,7 @@ def trust_assessment(
     exposed = F.coalesce(F.bool_or(F.col("category") == SECURITY_CATEGORY), F.lit(False))
     penalty = F.when(exposed & F.lit(samples_sent), EXPOSURE_PENALTY).otherwise(0.0)
     return (
-        flagged.agg(
+        flagged.groupBy(*by).agg(
             F.coalesce(F.sum(deduction), F.lit(0.0)).alias("deduction"),
             penalty.alias("penalty"),
             F.count(F.lit(1)).alias("finding_count"),
@@ -121,12 +122,16 @@ def trust_assessment(
         )
         .withColumn(
             "score",
-            F.greatest(
-                F.least(F.lit(100.0) - F.col("deduction") - F.col("penalty"), F.lit(100.0)),
-                F.lit(0.0),
+            # rounded, so that the order in which a sum is made never moves a score over a label's edge
+            F.round(
+                F.greatest(
+                    F.least(F.lit(100.0) - F.col("deduction") - F.col("penalty"), F.lit(100.0)),
+                    F.lit(0.0),
+                ),
+                9,
             ),
         )
-        .select(trust_label(F.col("score")).alias("label"), "score", "finding_count", "highest_priority_score")
+        .select(*by, trust_label(F.col("score")).alias("label"), "score", "finding_count", "highest_priority_score")
     )
 
 

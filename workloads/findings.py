@@ -100,20 +100,38 @@ def fnd_02(spark, sf):
     return fnd.reinforced(columns(spark, sf))
 
 
-# The whole list deducts far beyond 100, so the deduction is compared per day of orders as well.
+# The whole list deducts far beyond 100, so runs of up to three findings are assessed as well.
 _DEDUCT = "priority_score * 0.15 * CASE WHEN is_reinforced THEN 1.3 ELSE 1 END"
+_LABEL = (
+    "CASE WHEN score >= 90 THEN 'high_confidence' WHEN score >= 70 THEN 'usable_with_caution' "
+    "WHEN score >= 40 THEN 'material_quality_concerns' ELSE 'not_reliable_for_decision_making' END AS label"
+)
+
+
+def _trust_sql(run: str, sql_from: str) -> str:
+    return (
+        f"SELECT {run} AS run, round(greatest(least(100 - sum({_DEDUCT}) - CASE WHEN bool_or(category = 'ai_processing_security') THEN 10 ELSE 0 END, 100), 0), 9) AS score, "
+        f"count(*) AS finding_count, round(max(priority_score), 4) AS highest_priority_score FROM {sql_from} GROUP BY 1"
+    )
 
 
 @register(
     "fnd_03",
-    PRE + f"SELECT round(greatest(least(100 - sum({_DEDUCT}) - 10, 100), 0), 4) AS score, count(*) AS finding_count, "
-    "round(max(priority_score), 4) AS highest_priority_score, 'not_reliable_for_decision_making' AS label "
-    "FROM scored LEFT JOIN re USING (finding_key)",
+    PRE + ", rp AS (SELECT DISTINCT CAST(substr(finding_key, 2) AS BIGINT) // 3 AS run, finding_key, internal_key FROM fc), "
+    "rc AS (SELECT run, internal_key, count(*) AS n FROM rp GROUP BY ALL), "
+    "rr AS (SELECT finding_key, bool_or(n >= 2) AS is_reinforced FROM rp JOIN rc USING (run, internal_key) GROUP BY 1), "
+    "t AS (" + _trust_sql("CAST(-1 AS BIGINT)", "scored LEFT JOIN re USING (finding_key)") + " UNION ALL "
+    + _trust_sql("finding_index // 3", "scored LEFT JOIN rr USING (finding_key)")
+    + f") SELECT run, CAST(round(score * 1000000) AS BIGINT) AS score_millionths, finding_count, highest_priority_score, {_LABEL} FROM t",
 )
 def fnd_03(spark, sf):
-    t = fnd.trust_assessment(scored(spark, sf), columns(spark, sf), samples_sent=True)
-    return t.select(
-        F.round("score", 4).alias("score"), "finding_count",
+    """The whole list (run -1), and every run of up to three findings."""
+    found, named = scored(spark, sf), columns(spark, sf)
+    every = fnd.trust_assessment(found, named, samples_sent=True).select(F.lit(-1).cast("bigint").alias("run"), "*")
+    run = F.floor(F.substring("finding_key", 2, 30).cast("bigint") / 3).cast("bigint")
+    each = fnd.trust_assessment(found.withColumn("run", run), named.withColumn("run", run), samples_sent=True, by=("run",))
+    return every.unionByName(each).select(
+        "run", F.round(F.col("score") * 1_000_000).cast("bigint").alias("score_millionths"), "finding_count",
         F.round("highest_priority_score", 4).alias("highest_priority_score"), "label",
     )
 
