@@ -287,30 +287,52 @@ _NAMES = (
 )
 
 
+def _payload(path: str, kind: str):
+    return F.get_json_object("payload", f"$.{path}").cast(kind)
+
+
+_KEPT = "regexp_replace(lower(original_name), '[^0-9a-z]', '', 'g')"
+
+
 @register(
     "det_20",
-    f"WITH names AS ({_NAMES.format(orders='orders')}) SELECT dataset, count(*) AS column_count, "
-    "count(DISTINCT original_name) = 1 AS identical, min(ordinal) AS first_ordinal FROM names "
-    "GROUP BY dataset, regexp_replace(lower(original_name), '[^0-9a-z]', '', 'g') HAVING count(*) >= 2",
+    f"WITH names AS ({_NAMES.format(orders='orders')}), wide AS (SELECT original_name, row_number() OVER (ORDER BY original_name) - 1 AS ordinal "
+    "FROM (SELECT DISTINCT original_name FROM names)), listed AS (SELECT dataset, ordinal, original_name FROM names UNION ALL SELECT -1, ordinal, original_name FROM wide) "
+    "SELECT dataset, count(*) AS column_count, "
+    "count(DISTINCT original_name) = 1 AS identical, min(ordinal) AS first_ordinal FROM listed "
+    f"GROUP BY dataset, {_KEPT} HAVING count(*) >= 2",
 )
 def det_20(spark, sf):
-    """A table of column names of many datasets, one dataset per customer."""
-    load(spark, sf, "orders").createOrReplaceTempView("rowlens_orders")
+    """Column names of many datasets, one per customer; and the detector on a table (-1) that has each of these names once."""
+    orders = load(spark, sf, "orders")
+    orders.createOrReplaceTempView("rowlens_orders")
     names = spark.sql(_NAMES.format(orders="rowlens_orders"))
-    return structural.name_groups(names, ["dataset"]).select(
+    many = structural.name_groups(names, ["dataset"]).select(
         "dataset", "column_count", (F.col("spellings") == 1).alias("identical"), "first_ordinal"
     )
+    header = sorted(r[0] for r in names.select("original_name").distinct().collect())  # three forms of each priority
+    wide = orders.select(*[F.col("o_orderstatus").alias(f"c{i}") for i in range(len(header))])
+    found = detect(Table.from_dataframe(wide, names=header), structural.DUPLICATE_NAMES).findings
+    return many.unionByName(found.select(
+        F.lit(-1).cast("bigint").alias("dataset"), _payload("column_count", "bigint").alias("column_count"),
+        _payload("identical_as_written", "boolean").alias("identical"), _payload("ordinals[0]", "bigint").alias("first_ordinal"),
+    ))
 
 
 @register(
     "det_21",
     "SELECT o_custkey AS dataset, 'high' AS severity, count(*) FILTER (o_orderstatus = 'P') AS row_count "
-    "FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') = 0",
+    "FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') = 0 "
+    + "".join(f"UNION ALL SELECT {n}, 'high', count(*) FROM orders WHERE {w} HAVING count(*) = 0 " for n, w in ((-1, "o_totalprice < 0"), (-2, "o_totalprice >= 0"))),
 )
 def det_21(spark, sf):
-    """Which datasets (the pending orders of each customer) have a header but no row."""
+    """Which datasets (the pending orders of each customer) have a header but no row; and the detector on orders below zero (-1) and others (-2)."""
     orders = load(spark, sf, "orders").withColumn("dataset", F.col("o_custkey"))
-    return structural.empty_datasets(orders, F.col("o_orderstatus") == "P")
+    out = structural.empty_datasets(orders, F.col("o_orderstatus") == "P")
+    for n, part in ((-1, orders.where("o_totalprice < 0")), (-2, orders.where("o_totalprice >= 0"))):
+        found = detect(Table.from_dataframe(part.select("o_orderkey", "o_orderstatus"), order_by=["o_orderkey"]), structural.EMPTY_DATASET).findings
+        out = out.unionByName(found.select(F.lit(n).cast("bigint").alias("dataset"), "severity", _payload("row_count", "bigint").alias("row_count")))
+    return out
 
 
 # Ingest facts of many files: one file per customer, its orders are its warnings.
@@ -323,30 +345,57 @@ _WARN = (
 @register(
     "det_22",
     f"WITH w AS (SELECT o_custkey AS dataset, {_WARN} AS code FROM orders) SELECT dataset, count(*) AS unnamed_column_count, "
-    "'medium' AS severity FROM w WHERE code = 'parsing.empty_column_name' GROUP BY dataset",
+    "'medium' AS severity FROM w WHERE code = 'parsing.empty_column_name' GROUP BY dataset "
+    "UNION ALL SELECT -1, count(DISTINCT o_orderstatus), 'medium' FROM orders",
 )
 def det_22(spark, sf):
-    from rowlens.sources.csv import ingest_facts
+    """Warnings of many files; and the detector on a file (-1) whose header has a blank cell for every order status."""
+    from rowlens.sources.csv import ingest_facts, read_csv
+    from rowlens.sources.scratch import scratch_path
 
-    warnings = load(spark, sf, "orders").selectExpr(
-        "o_custkey AS dataset", f"{_WARN} AS code", "o_orderkey AS reference", "1 AS n"
-    )
+    orders = load(spark, sf, "orders")
+    warnings = orders.selectExpr("o_custkey AS dataset", f"{_WARN} AS code", "o_orderkey AS reference", "1 AS n")
     facts = ingest_facts(warnings, ["dataset"])
-    return facts.where(F.col("code") == "parsing.empty_column_name").select(
+    many = facts.where(F.col("code") == "parsing.empty_column_name").select(
         "dataset", big("total", "unnamed_column_count"), F.lit("medium").alias("severity")
     )
+    blanks = orders.select("o_orderstatus").distinct().count()
+    path = scratch_path(spark, "unnamed")
+    lines = orders.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("," * blanks)).alias("value"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.when(first, F.array(F.lit("key" + "," * blanks), "value")).otherwise(F.array("value"))
+    lines.select(F.explode(header).alias("value")).write.text(path)  # every file starts with the header
+    found = detect(read_csv(spark, path), structural.UNNAMED_COLUMN)
+    named = found.finding_columns.groupBy("finding_key").agg(F.count(F.lit(1)).alias("unnamed_column_count"))
+    return many.unionByName(found.findings.join(named, "finding_key").select(
+        F.lit(-1).cast("bigint").alias("dataset"), "unnamed_column_count", "severity"
+    ))
 
 
 _RATIO = "least(ragged / row_count, 1.0)"
 
 
-@register(
-    "det_23",
-    f"WITH f AS (SELECT o_custkey AS dataset, count(*) * 4 AS row_count, count(*) FILTER ({_WARN} = 'parsing.ragged_row') AS ragged "
-    f"FROM orders GROUP BY 1) SELECT dataset, CASE WHEN {_RATIO} >= 0.5 THEN 'high' ELSE 'medium' END AS severity, "
-    f"round({_RATIO}, 4) AS ragged_row_ratio FROM f WHERE ragged >= 2 AND {_RATIO} >= 0.05",
-)
+def _failures_sql() -> str:
+    from workloads.io import SHAPE
+
+    return (
+        SHAPE + f", f AS (SELECT o_custkey AS dataset, count(*) * 4 AS row_count, count(*) FILTER ({_WARN} = 'parsing.ragged_row') AS ragged "
+        "FROM orders GROUP BY 1), sh AS (SELECT h.sheet, any_value(last_row - header_row) AS row_count, count(DISTINCT row) FILTER (col >= 2) AS ragged, "
+        "CAST(sum(DISTINCT row - header_row - 1) FILTER (col >= 2) AS BIGINT) AS row_sum, count(*) FILTER (type = 'e') AS errors "
+        "FROM dec JOIN h ON h.sheet = dec.sheet GROUP BY h.sheet) "
+        f"SELECT dataset, CASE WHEN {_RATIO} >= 0.5 THEN 'high' ELSE 'medium' END AS severity, "
+        f"round({_RATIO}, 4) AS ragged_row_ratio, NULL::BIGINT AS unreadable_cells, NULL::BIGINT AS row_sum FROM f WHERE ragged >= 2 AND {_RATIO} >= 0.05 "
+        "UNION ALL SELECT CASE sheet WHEN 's0' THEN -1 ELSE -2 END, CASE WHEN greatest(ragged / row_count, errors / (row_count * 2)) >= 0.5 THEN 'high' ELSE 'medium' END, "
+        "round(ragged / row_count, 4), errors, row_sum FROM sh WHERE ragged >= 2 AND ragged / row_count >= 0.001"
+    )
+
+
+@register("det_23", _failures_sql())
 def det_23(spark, sf):
+    """Facts of many files; and the detector on two worksheets (-1, -2) with ragged rows and unreadable cells."""
+    from rowlens.sources.grid import sheet_rows
+    from workloads.io import decoded_cells
+
     warnings = load(spark, sf, "orders").selectExpr(
         "o_custkey AS dataset", f"{_WARN} AS code", "o_orderkey AS reference", "1 AS n"
     )
@@ -354,7 +403,18 @@ def det_23(spark, sf):
         (F.count(F.lit(1)) * 4).alias("row_count"),
         F.count_if(F.col("code") == "parsing.ragged_row").alias("ragged_row_count"),
     )
-    return structural.parse_failure_frame(facts, minimum_count=2)
+    none = F.lit(None).cast("bigint")
+    out = structural.parse_failure_frame(facts, minimum_count=2).select("*", none.alias("unreadable_cells"), none.alias("row_sum"))
+    config = {structural.PARSE_FAILURES.id: {"row_ratio_threshold": 0.001, "minimum_count": 2}}
+    for n, sheet in ((-1, "s0"), (-2, "s1")):
+        table, _ = sheet_rows(decoded_cells(spark, sf), sheet)
+        d = detect(table, structural.PARSE_FAILURES, config=config)
+        rows = d.finding_rows.groupBy("finding_key").agg(F.sum("row_number").alias("row_sum"))
+        out = out.unionByName(d.findings.join(rows, "finding_key").select(
+            F.lit(n).cast("bigint").alias("dataset"), "severity", _payload("ragged_row_ratio", "double").alias("ragged_row_ratio"),
+            _payload("error_value_cell_count", "bigint").alias("unreadable_cells"), "row_sum",
+        ))
+    return out
 
 
 @register(

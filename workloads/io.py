@@ -223,14 +223,14 @@ _DECODED = (
 )
 
 
-def _decoded(spark, sf):
+def decoded_cells(spark, sf):
     load(spark, sf, "orders").createOrReplaceTempView("rowlens_orders")
     cells = spark.sql(CELLS.replace("FROM orders", "FROM rowlens_orders"))
     strings = load(spark, sf, "part").selectExpr("p_partkey AS index", "p_name AS string")
     return grid.decode_cells(cells, strings)
 
 
-_SHAPE = (
+SHAPE = (
     _DECODED + ", h AS (SELECT sheet, min(row) AS header_row, max(row) AS last_row FROM dec GROUP BY sheet), "
     "w AS (SELECT dec.sheet, max(col) + 1 AS width FROM dec JOIN h ON h.sheet = dec.sheet AND dec.row = header_row GROUP BY dec.sheet) "
 )
@@ -238,12 +238,12 @@ _SHAPE = (
 
 @register(
     "src_09",
-    _SHAPE + ", r AS (SELECT unnest(range((SELECT last_row - header_row FROM h WHERE sheet = 's1'))) AS row_number) "
+    SHAPE + ", r AS (SELECT unnest(range((SELECT last_row - header_row FROM h WHERE sheet = 's1'))) AS row_number) "
     "SELECT CAST(row_number AS BIGINT) AS row_number, max(value) FILTER (col = 0) AS name, max(value) FILTER (col = 1) AS value FROM r LEFT JOIN "
     "(SELECT * FROM dec WHERE sheet = 's1') d ON d.row = row_number + 3 GROUP BY row_number",
 )
 def src_09(spark, sf):
-    table, _ = grid.sheet_rows(_decoded(spark, sf), "s1")
+    table, _ = grid.sheet_rows(decoded_cells(spark, sf), "s1")
     return table.df.select("row_number", "name", "value")
 
 
@@ -252,17 +252,17 @@ def src_09(spark, sf):
     _DECODED + "SELECT type = 'e' AS is_error, value, count(*) AS n, CAST(sum(row) AS BIGINT) AS row_sum FROM dec GROUP BY 1, 2",
 )
 def src_10(spark, sf):
-    return _decoded(spark, sf).groupBy("is_error", "value").agg(
+    return decoded_cells(spark, sf).groupBy("is_error", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("row").cast("bigint")).alias("row_sum")
     )
 
 
 @register(
     "src_11",
-    _SHAPE + "SELECT h.sheet, CAST(header_row AS BIGINT) AS header_row, CAST(width AS BIGINT) AS column_count, CAST(last_row - header_row AS BIGINT) AS row_count FROM h JOIN w USING (sheet)",
+    SHAPE + "SELECT h.sheet, CAST(header_row AS BIGINT) AS header_row, CAST(width AS BIGINT) AS column_count, CAST(last_row - header_row AS BIGINT) AS row_count FROM h JOIN w USING (sheet)",
 )
 def src_11(spark, sf):
-    return grid.sheet_shapes(_decoded(spark, sf)).select("sheet", big("header_row"), big("column_count"), big("row_count"))
+    return grid.sheet_shapes(decoded_cells(spark, sf)).select("sheet", big("header_row"), big("column_count"), big("row_count"))
 
 
 WARN = (
