@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rowlens.functions import security, text
 from rowlens.operators.cells import top_values, value_frequencies, vf_number, vf_text
 from rowlens.operators.joins import skew_safe_join
-from rowlens.operators.quantiles import SMALL_GROUP, exact_percentiles
+from rowlens.operators.quantiles import exact_percentiles
 from rowlens.operators.table import ColumnRef, Table
 from rowlens.sources.rownum import ROW_NUMBER
 from rowlens.sources.scratch import materialize
@@ -210,7 +210,7 @@ def _date_gaps(vf: DataFrame) -> DataFrame:
 
 
 def _numeric_metrics(vf: DataFrame, counts: dict) -> dict[int, dict]:
-    """AGG-07..11: two passes over the distinct numbers, after the sums of the type pass."""
+    """AGG-07..11: three passes over the distinct numbers, after the sums of the type pass."""
     v = vf.select("ordinal", "v", "n")
     n = F.col("n")
     sizes = {o: (c.total, c.distinct) for o, c in counts.items()}
@@ -237,14 +237,8 @@ def _numeric_metrics(vf: DataFrame, counts: dict) -> dict[int, dict]:
         F.sum(n * F.pow(F.col("v") - F.col("mean"), 2)).alias("ss"),
         F.sum(F.when(outside & ~F.isnan("v"), n).otherwise(0)).alias("extreme_count"),
     ]
-    all_small = all(d <= SMALL_GROUP for _, d in sizes.values())
-    if all_small:  # the exact median of deviations fits the same pass
-        aggregates.append(F.percentile(deviation, [0.5], n).alias("mad"))
     spread = {r.ordinal: r for r in placed.groupBy("ordinal").agg(*aggregates).collect()}
-    if all_small:
-        mad = {o: r.mad for o, r in spread.items()}
-    else:
-        mad = exact_percentiles(placed.select("ordinal", deviation.alias("v"), "n"), [0.5], sizes=sizes)
+    mad = exact_percentiles(placed.select("ordinal", deviation.alias("v"), "n"), [0.5], sizes=sizes)
     out = {}
     for o, (q1, q2, q3) in quartiles.items():
         c, total = counts[o], counts[o].total

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -43,6 +44,40 @@ def test_exact_percentiles_by_narrowing(spark):
             assert got[o] == pytest.approx(list(want))
 
 
+def test_percentiles_of_many_groups_take_the_same_jobs(spark):
+    """Ties that fill a group, NaN, infinities, copies of a value, one row, no row."""
+    rng = random.Random(5)
+    inf, nan = math.inf, math.nan
+
+    def group(o):
+        kinds = [
+            [7.0] * 300, [nan] * 200 + [1.0, 2.0], [-inf] * 90 + [0.0] * 5 + [inf] * 100, [3.5],
+            [rng.choice([0.0, -0.0, 1e-300, 1e300, -1e300]) for _ in range(200)], [rng.gauss(0, 1) for _ in range(250)],
+        ]
+        return [(o, v, rng.randint(1, 4)) for v in kinds[o % len(kinds)]]
+
+    shares, jobs = [0.0, 0.25, 0.5, 0.75, 1.0], []
+    for groups_ in (6, 60):
+        data = [row for o in range(groups_) for row in group(o)] + [(groups_, None, 3)]
+        rng.shuffle(data)
+        frame = spark.createDataFrame(data, "ordinal int, v double, n long")
+        name = f"percentiles-{groups_}"
+        spark.sparkContext.setJobGroup(name, name)
+        got = exact_percentiles(frame, shares, small_group=20)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+        assert sorted(got) == list(range(groups_))
+        for o in range(groups_):
+            # NaN sorts last, and both signs of zero are one value
+            every = sorted((v for o2, v, n in data if o2 == o for _ in range(n)), key=lambda v: (math.isnan(v), v))
+            for f, value in zip(shares, got[o], strict=True):
+                low, high = (every[round_(f * (len(every) - 1))] for round_ in (math.floor, math.ceil))
+                at = f * (len(every) - 1)
+                want = low if low == high else low * (math.ceil(at) - at) + high * (at - math.floor(at))
+                assert value == pytest.approx(want, nan_ok=True)
+    assert jobs[1] <= jobs[0] + 2  # the number of rounds may differ by one, never by group
+    assert exact_percentiles(frame.limit(0), [0.5]) == {}
+
+
 def test_profile_matches_statistics(text_table):
     rng = random.Random(2)
     numbers = [rng.choice([str(rng.randint(-9, 30)), f"{rng.uniform(0, 9):.2f}", " 7 "]) for _ in range(200)]
