@@ -6,7 +6,8 @@ tokens. Neighbours on the curve share vocabulary, so a sequence holds related do
 the very last sequence is padded.
 
 Texts are cut before white space that follows something else, where byte-level pre-tokenizers
-never join; equal pieces are encoded once per task. Token ids are written once, dealt to ranges of
+never join; equal pieces are encoded once per Python worker, which keeps up to `Encoder.MOST` of
+them from task to task. Token ids are written once, dealt to ranges of
 the curve bounded by a quantile sketch (equal keys are spread by a hash of the row), and a range's
 first position is the sum of the token counts before it: one number per range on the driver.
 
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +63,10 @@ class Encoder:
 
     New pieces that begin with a blank and end with another character are encoded as one long text:
     no token crosses from one to the next, and the bytes of the tokens tell them apart again.
+    Known pieces are a sorted array of hashes with the number of each, about 30 bytes a piece.
     """
 
-    MOST = 300_000
+    MOST = 1_000_000
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -80,7 +81,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.empty(0, np.uint64)
+        self.number = np.empty(0, np.int32)
         self.first = np.zeros(1, np.int64)
         self.flat = np.empty(0, self.kind)
 
@@ -121,14 +123,18 @@ class Encoder:
         unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
             self._clear()
-        listed = unique.tolist()
-        number = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
-        new = np.flatnonzero(number < 0)
+        spot = np.searchsorted(self.known, unique)
+        seen = spot < len(self.known)
+        seen[seen] = self.known[spot[seen]] == unique[seen]
+        number = np.empty(len(unique), np.int32)
+        number[seen] = self.number[spot[seen]]
+        new = np.flatnonzero(~seen)
         if len(new):
             ids, counts = self._ids(block.data, starts[at[new]], ends[at[new]])
             n = len(self.known)
             number[new] = np.arange(n, n + len(new))
-            self.known.update(zip(unique[new].tolist(), range(n, n + len(new)), strict=True))
+            self.known = np.insert(self.known, spot[new], unique[new])
+            self.number = np.insert(self.number, spot[new], number[new])
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
             self.flat = np.concatenate((self.flat, ids))
         number = number[back]
@@ -179,11 +185,12 @@ def hilbert(point: np.ndarray, bits: int) -> np.ndarray:
 
 def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, place, n_tokens, ids): `place` orders rows along the curve, ties by a hash of the row."""
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    sent = docs.sparkSession.sparkContext.broadcast({"file": tokenizer_json})
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        kept = sent.value  # a worker's own copy, which its next task finds again
+        encoder = kept.get("encoder") or kept.setdefault("encoder", Encoder(kept["file"]))
         for batch in batches:
             ties = np.asarray(batch.column("tie"))
             for block in w.blocks(batch.column("text"), BLOCK_BYTES):

@@ -203,6 +203,29 @@ def hits(docs, items, window=13):
     return out
 
 
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_encoder_keeps_pieces_between_blocks(most, monkeypatch):
+    """Ids are those of each whole text, however often known pieces are forgotten."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    monkeypatch.setattr(packing.Encoder, "MOST", most)
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    rnd = random.Random(8)
+    piece = lambda: rnd.choice(["the", " the", "  x", "\u3000", "\u00a0é", "日本", "\n", "\t9", "<|endoftext|>", f" {rnd.randint(0, 999)}"])
+    for _ in range(6):
+        texts = ["".join(piece() for _ in range(rnd.randint(0, 60))) for _ in range(30)]
+        for block in w.blocks(pa.array(texts), 500):
+            ids, first, _, _ = encoder.encode(block)
+            got = [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+            want = [plain.encode(t, add_special_tokens=False).ids for t in texts[block.first : block.first + block.rows]]
+            assert got == want
+
+
 @pytest.mark.parametrize("block_chars", [800_000, 300])
 def test_decontamination(spark, monkeypatch, block_chars):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block_chars)
