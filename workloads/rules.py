@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rowlens.operators import rules as rul
-from rowlens.operators.detectors import groups, structural, values
+from rowlens.operators.detectors import CATALOGUE, groups
 from rowlens.operators.rules import Rule
 from workloads.base import *  # noqa: F403
 from workloads.detectors import detect
@@ -202,39 +202,98 @@ def rul_15(spark, sf):
 
 # --- proposals from real findings -------------------------------------------------------------
 
-_P_COLS = ["order_id", "priority", "day", "constant_col", "empty_col"]
-_P_DETECTORS = (
-    structural.EMPTY_COLUMN, values.MISSING_VALUES, values.MISSING_IDENTIFIER, values.EDGE_WHITESPACE,
-    values.FUTURE_DATES, values.OLD_DATES, values.CONSTANT,
-)
-
-
-def _proposed(spark, sf):
-    table = view_table(spark, sf, "orders_view", _P_COLS)
-    return table, detect(table, *_P_DETECTORS)
+_PROPOSED = ("orders_view", "sales", "orders_copies")
+_OFFERED = ("orders_view", "sales")
+_TODAY, _OLDEST = "DATE '2026-01-01'", "DATE '1900-01-01'"
+
+
+def _called_for() -> list[tuple[str, str, str, str, str, str, dict]]:
+    """(view, finding, rule, test of the whole column, rows it skips, rows that fail, parameters) of every rule the views can call for."""
+    out = []
+
+    def add(view: str, finding: str, rule: str, having: str, skip: str, fail: str, **given: str) -> None:
+        out.append((view, finding, rule, having, skip, fail, given))
+
+    def times(condition: str) -> str:
+        return f"count(*) FILTER ({condition})"
+
+    for view in ("orders_view", "orders_copies"):
+        for c in VIEWS[view][2]:
+            missing = s_missing(c)
+            gone, there, spaced = times(missing), times(f"NOT {missing}"), f"{c} <> {s_strip(c)}"
+            add(view, f"structural.empty_column.{c}", "not_null", f"{there} = 0", "FALSE", missing)
+            add(view, f"completeness.excessive_missing_values.{c}", "max_missing_percentage",
+                f"{there} > 0 AND {gone} / count(*) >= 0.01", "FALSE", missing,
+                threshold=f"round(100.0 * {gone} / count(*), 1)")
+            add(view, f"consistency.leading_trailing_whitespace.{c}", "regex", f"{times(f'NOT {missing} AND {spaced}')} > 0",
+                missing, spaced, pattern="TRUE")
+            add(view, f"statistical.suspiciously_constant_column.{c}", "accepted_values",
+                f"{there} >= 2 AND count(DISTINCT {c}) FILTER (NOT {missing}) = 1", missing, "FALSE",
+                accepted=f"min({c}) FILTER (NOT {missing})")
+    late, old, gone = f"CAST(day AS DATE) > {_TODAY}", f"CAST(day AS DATE) < {_OLDEST}", s_missing("order_id")
+    add("orders_view", "completeness.missing_likely_identifier.order_id", "not_null", f"{times(gone)} > 0", "FALSE", gone)
+    add("orders_view", "validity.future_dates.day", "date_range", f"{times(late)} > 0", "FALSE", late, maximum_date="'2026-01-01'")
+    add("orders_view", "validity.implausibly_old_dates.day", "date_range", f"{times(old)} > 0", "FALSE", old, minimum_date="'1900-01-01'")
+    add("orders_copies", "structural.exact_duplicate_rows.table", "unique", "count(*) > count(DISTINCT (a, b))", "FALSE", "NULL")
+    for c in VIEWS["sales"][2]:
+        q1, q3 = (f"quantile_cont({c}, {f})" for f in (0.25, 0.75))
+        low, high = f"{q1} - 1.5 * ({q3} - {q1})", f"{q3} + 1.5 * ({q3} - {q1})"
+        outside, negative = f"{c} < 0 OR {c} > 100", f"{c} < 0"
+        if c.endswith("_pct"):
+            add("sales", f"validity.invalid_percentages.{c}", "numeric_range", f"{times(outside)} > 0", "FALSE", outside,
+                minimum="0", maximum="100")
+        add("sales", f"validity.negative_likely_non_negative_values.{c}", "numeric_range", f"{times(negative)} > 0", "FALSE", negative,
+            minimum="0")
+        add("sales", f"statistical.extreme_outliers.{c}", "numeric_range", f"min({c}) < {low} OR max({c}) > {high}",
+            "FALSE", f"{c} < (SELECT {low} FROM sales) OR {c} > (SELECT {high} FROM sales)",
+            minimum=f"round({low}, 4)", maximum=f"round({high}, 4)")
+    return out
+
+
+def _over_views(parts: list[str]) -> str:
+    views = ", ".join(f"{v} AS MATERIALIZED ({view_sql(v)})" for v in _PROPOSED)
+    return f"WITH {views} " + " UNION ALL ".join(parts)
+
+
+def _proposals_sql() -> str:
+    unset = {"minimum": "NULL", "maximum": "NULL", "minimum_date": "NULL", "maximum_date": "NULL",
+             "pattern": "FALSE", "threshold": "NULL", "accepted": "NULL"}
+    parts = []
+    for view, finding, rule, having, _, _, given in _called_for():
+        x = unset | given
+        parts.append(
+            f"SELECT '{view}' AS view_name, '{finding}' AS finding_key, '{rule}' AS rule_type, CAST({x['minimum']} AS DOUBLE) AS minimum, "
+            f"CAST({x['maximum']} AS DOUBLE) AS maximum, CAST({x['minimum_date']} AS VARCHAR) AS minimum_date, "
+            f"CAST({x['maximum_date']} AS VARCHAR) AS maximum_date, {x['pattern']} AS has_pattern, "
+            f"CAST({x['threshold']} AS DOUBLE) AS threshold_percentage, CAST({x['accepted']} AS VARCHAR) AS accepted_value "
+            f"FROM {view} HAVING {having}"
+        )
+    return _over_views(parts)
 
 
-_RATIO = f"round(100.0 * count(*) FILTER ({s_missing('priority')}) / count(*), 1)"
+def _offered_sql() -> str:
+    parts = []
+    for view, finding, _, having, skip, fail, _ in _called_for():
+        if view in _OFFERED:
+            status = f"CASE WHEN {skip} THEN 's' WHEN {fail} THEN 'f' ELSE 'p' END"
+            fields = ", ".join(f"count(*) FILTER ({status} = '{c[0]}') AS {c}" for c in COUNTS)
+            parts.append(f"SELECT 'proposed.{finding}' AS rule_id, {fields} FROM {view} HAVING {having}")
+    return _over_views(parts)
 
 
-@register(
-    "rul_16",
-    f"WITH src AS ({view_sql('orders_view', _P_COLS)}) SELECT * FROM (VALUES "
-    "('structural.empty_column.empty_col', 'not_null', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR), "
-    "('completeness.missing_likely_identifier.order_id', 'not_null', NULL, NULL, NULL), "
-    "('consistency.leading_trailing_whitespace.priority', 'regex', NULL, NULL, NULL), "
-    "('validity.future_dates.day', 'date_range', NULL, '2026-01-01', NULL), "
-    "('validity.implausibly_old_dates.day', 'date_range', '1900-01-01', NULL, NULL), "
-    "('statistical.suspiciously_constant_column.constant_col', 'accepted_values', NULL, NULL, 'manual_entry')) "
-    "t(finding_key, rule_type, minimum_date, maximum_date, accepted_value), (SELECT NULL::DOUBLE AS threshold_percentage) "
-    "UNION ALL SELECT 'completeness.excessive_missing_values.priority', 'max_missing_percentage', NULL, NULL, NULL, "
-    f"CAST({_RATIO} AS DOUBLE) FROM src",
-)
+@register("rul_16", _proposals_sql())
 def rul_16(spark, sf):
-    _, d = _proposed(spark, sf)
-    return rul.propose_rules(d.findings).select(
-        "finding_key", "rule_type", "minimum_date", "maximum_date", "accepted_value", "threshold_percentage"
-    )
+    """Proposals of the whole catalogue on three whole views, which together call for every kind of rule."""
+    out = None
+    for view in _PROPOSED:
+        found = rul.propose_rules(detect(view_table(spark, sf, view), *CATALOGUE).findings).where("rule_type IS NOT NULL")
+        rows = found.select(
+            F.lit(view).alias("view_name"), "finding_key", "rule_type", F.round("minimum", 4).alias("minimum"),
+            F.round("maximum", 4).alias("maximum"), "minimum_date", "maximum_date",
+            F.col("pattern").isNotNull().alias("has_pattern"), "threshold_percentage", "accepted_value",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register(
@@ -248,25 +307,16 @@ def rul_17(spark, sf):
     return rul.casing_candidates(d.findings, d.finding_values).select("finding_key", "value")
 
 
-@register(
-    "rul_18",
-    f"WITH src AS ({view_sql('orders_view', _P_COLS)}) "
-    + " UNION ALL ".join(
-        s_counts(f"proposed.{key}", "src", missing, fail).replace("FROM (src)", "FROM src")
-        for key, missing, fail in (
-            ("structural.empty_column.empty_col", "FALSE", s_missing("empty_col")),
-            ("completeness.missing_likely_identifier.order_id", "FALSE", s_missing("order_id")),
-            ("completeness.excessive_missing_values.priority", "FALSE", s_missing("priority")),
-            ("consistency.leading_trailing_whitespace.priority", s_missing("priority"), f"priority <> {s_strip('priority')}"),
-            ("validity.future_dates.day", "FALSE", "CAST(day AS DATE) > DATE '2026-01-01'"),
-            ("validity.implausibly_old_dates.day", "FALSE", "CAST(day AS DATE) < DATE '1900-01-01'"),
-            ("statistical.suspiciously_constant_column.constant_col", "FALSE", "FALSE"),
-        )
-    ),
-)
+@register("rul_18", _offered_sql())
 def rul_18(spark, sf):
-    table, d = _proposed(spark, sf)
-    return counts(rul.offer_rules(table, d.findings, d.finding_columns))
+    """The rules that the whole catalogue offers on two whole views, run over all rows."""
+    out = None
+    for view in _OFFERED:
+        table = view_table(spark, sf, view)
+        d = detect(table, *CATALOGUE)
+        rows = counts(rul.offer_rules(table, d.findings, d.finding_columns))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 _SPELLED = "consistency.inconsistent_capitalization.priority.5-low"
