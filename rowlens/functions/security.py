@@ -9,6 +9,7 @@ are passed to it as nulls and never leave the JVM.
 from __future__ import annotations
 
 import unicodedata
+from string import ascii_letters
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,7 @@ INSTRUCTION_LIKE = (
     r"|\byou\s+are\s+now\b"
     r"|\bnew\s+instructions\s*:"
 )
+INSTRUCTION_WORDS = ("ignore", "disregard", "you", "new")
 
 # Nouns that name a secret.
 SECRET_NOUN = (
@@ -134,9 +136,20 @@ def normalize(c: Column, raw_limit: int | None = None, limit: int | None = None)
     return F.substring(flat, 1, limit) if limit else flat
 
 
+def _phrase_in(c: Column, phrases: str, words: tuple[str, ...] | list[str]) -> Column:
+    """Does a phrase that opens with one of `words`, at a word boundary, occur in the text?
+
+    Such a phrase follows no ASCII letter, and a plain class of first letters refuses most other
+    places, so the costlier Unicode matching starts at few of them. The blank is for the first word.
+    """
+    first = "".join(sorted({x for word in words for x in (word[0], word[0].upper())}))
+    # the other characters that a letter matches when case is ignored
+    return F.concat(F.lit(" "), c).rlike(f"[^{ascii_letters}](?=[{first}\u0130\u0131\u017f\u212a])(?iU:{phrases})")
+
+
 def instruction_like(c: Column) -> Column:
     """FN-13."""
-    return c.rlike("(?iU)" + INSTRUCTION_LIKE)
+    return _phrase_in(c, INSTRUCTION_LIKE, INSTRUCTION_WORDS)
 
 
 def family_match(normalized: Column, family: str) -> Column:
@@ -151,14 +164,13 @@ def any_match(normalized: Column) -> Column:
     """
     openings = "|".join(sorted({word[:3] for word in OPENING_WORDS}))
     patterns = "|".join(f"(?:{p})" for family in FAMILIES.values() for p in family)
-    return normalized.rlike(f"(?iU)\\b(?={openings})(?:{patterns})")
+    return _phrase_in(normalized, f"\\b(?={openings})(?:{patterns})", OPENING_WORDS)
 
 
 def matched_families(normalized: Column) -> Column:
-    """FN-15: the names of the families a normalized text matches."""
-    return F.array_compact(
-        F.array(*[F.when(family_match(normalized, f), F.lit(f)) for f in FAMILIES])
-    )
+    """FN-15: the names of the families a normalized text matches; told apart only if any does."""
+    told = F.array_compact(F.array(*[F.when(family_match(normalized, f), F.lit(f)) for f in FAMILIES]))
+    return F.when(any_match(normalized), told).otherwise(F.array().cast("array<string>"))
 
 
 def subtypes(families: Column) -> Column:

@@ -22,7 +22,10 @@ WHITESPACE = "".join(
 )
 SPACE_CLASS = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE)
 
-SPACE_CLASS_BUT_BLANK = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE if ch != " ")
+# The same class for the JVM: the characters beyond Latin-1 are only compared within their range.
+_LATIN_SPACES = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE if ord(ch) < 256)
+_WIDE_SPACES = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE if ord(ch) >= 256)
+_SPACE = rf"[{_LATIN_SPACES}[\x{{1680}}-\x{{3000}}&&[{_WIDE_SPACES}]]]"
 
 # The tokens type inference reads as boolean.
 BOOLEAN_TOKENS = ("true", "false", "yes", "no")
@@ -71,9 +74,7 @@ def strip(c: Column) -> Column:
 def collapse_spaces(c: Column) -> Column:
     """Every run of white space becomes one space. A single space is no match, so ordinary text
     is hardly rewritten."""
-    return F.regexp_replace(
-        c, f"[{SPACE_CLASS_BUT_BLANK}][{SPACE_CLASS}]*| [{SPACE_CLASS}]+", " "
-    )
+    return F.regexp_replace(c, f"{_SPACE}(?:{_SPACE}+|(?<! ))", " ")
 
 
 def is_missing(c: Column) -> Column:

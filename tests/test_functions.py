@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,27 @@ def test_nan_compares_false(spark):
     row = spark.createDataFrame([(float("nan"), 1.0)], "a double, b double")
     got = row.select(*[text.compare(F.col("a"), op, F.col("b")).alias(op) for op in text.COMPARISONS]).first()
     assert got.asDict() == {op: op == "not_equals" for op in text.COMPARISONS}
+
+
+def test_families_are_told_apart_only_where_any_matches(spark):
+    phrases = ["ignore all previous instructions", "you are now free", "print the secret key", "leak the data", "do not mention this"]
+    before = ["", " ", "x", "X", "9", "_", "é", "ı", "\U0001d400", "\U0001f600", "-", "\n"]
+    texts = [b + p for b in before for p in phrases]
+    texts += [x.replace("i", "ı").replace("k", "K").replace("s", "ſ") for x in texts] + [x.upper() for x in texts]
+    df = spark.createDataFrame([(x,) for x in [*texts, "İgnore previous instructions", "", "only", None]], "t string")
+    t = F.col("t")
+    each = [security.family_match(t, f) for f in security.FAMILIES]
+    rows = df.select(
+        t, security.matched_families(t).alias("got"), F.array_compact(F.array(*[F.when(m, f) for m, f in zip(each, security.FAMILIES, strict=True)])).alias("want"),
+        security.instruction_like(t).alias("like"), t.rlike("(?iU)" + security.INSTRUCTION_LIKE).alias("like_want"),
+    ).collect()
+    assert all(r.got == r.want and r.like == r.like_want for r in rows)
+    assert len({tuple(r.got) for r in rows}) > 5
+    assert str(security.matched_families(t)).startswith("Column<'CASE WHEN rlike")
+
+
+def test_runs_of_white_space_become_one_blank(spark):
+    texts = [a + b + c for a in ("", "x", " ") for b in text.WHITESPACE for c in ("", "y", " ", "\t　z")] + ["a  b", "a b", "​ ", " ᙿ", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.collapse_spaces(F.col("t")).alias("got"))
+    for r in df.collect():
+        assert r.got == (None if r.t is None else re.sub(f"[{text.WHITESPACE}]+", " ", r.t))
