@@ -104,12 +104,13 @@ MASKS = (
 MASK_TEXT = "[redacted]"
 EXCERPT_LENGTH = 80
 
-# A character folding may change or drop: neither ASCII nor one of the characters listed here,
-# which NFKC leaves alone and which are no format characters (Latin-1 letters and stable signs,
-# common typographic punctuation). The plain range is tried first, so ASCII costs one comparison.
-_FOLD_RISK = (
-    r"[^\x{0}-\x{7f}](?<![\x{a1}-\x{a7}\x{a9}\x{ab}\x{ac}\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}"
-    r"\x{bf}-\x{ff}\x{2012}-\x{2016}\x{2018}-\x{2023}])"
+# Texts of these characters only are left alone by folding: NFKC does not change them and they are no
+# format characters (ASCII, Latin-1 letters and stable signs, common typographic punctuation). Latin-1
+# is listed one by one and the rest only compared within its range, which keeps a comparison cheap.
+_STABLE_LATIN = [*range(0x80), *range(0xA1, 0xA8), 0xA9, 0xAB, 0xAC, 0xAE, 0xB0, 0xB1, 0xB6, 0xB7, 0xBB, *range(0xBF, 0x100)]
+_STABLE = (
+    "\\A[" + "".join(f"\\x{{{c:x}}}" for c in _STABLE_LATIN)
+    + r"[\x{2012}-\x{2023}&&[\x{2012}-\x{2016}\x{2018}-\x{2023}]]]*+\z"
 )
 
 
@@ -131,7 +132,7 @@ def normalize(c: Column, raw_limit: int | None = None, limit: int | None = None)
     """FN-14. Limits are optional guards: by default the whole text is kept."""
     raw = F.substring(c, 1, raw_limit) if raw_limit else c
     ascii_only = F.octet_length(raw) == F.length(raw)
-    folded = F.coalesce(_fold(F.when(~ascii_only & raw.rlike(_FOLD_RISK), raw)), raw)
+    folded = F.coalesce(_fold(F.when(~ascii_only & ~raw.rlike(_STABLE), raw)), raw)
     flat = strip(collapse_spaces(folded))
     return F.substring(flat, 1, limit) if limit else flat
 

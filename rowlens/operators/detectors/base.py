@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from rowlens.functions import security, text
 from rowlens.functions.once import where_once
+from rowlens.operators.cells import cells
 from rowlens.operators.profile import TEXT_FAMILY, Profile
 from rowlens.operators.table import ColumnRef
-from rowlens.sources.rownum import ROW_NUMBER
+from rowlens.sources.rownum import ROW_NUMBER, broadcast_if_small
+from rowlens.sources.scratch import materialize
 
 FINDING_SCHEMA = (
     "finding_key string, detector_id string, detector_rank int, category string, "
@@ -38,7 +40,6 @@ class Outcome:
     findings: list[dict] = field(default_factory=list)
     finding_frames: list[DataFrame] = field(default_factory=list)
     flags: list[tuple[str, Column]] = field(default_factory=list)
-    prepared: list[Column] = field(default_factory=list)  # columns that flags read more than once
     row_frames: list[DataFrame] = field(default_factory=list)
     value_frames: list[DataFrame] = field(default_factory=list)
     finding_columns: list[tuple[str, int, int]] = field(default_factory=list)
@@ -105,6 +106,11 @@ class Detector:
     check: Callable[[dict], None] | None = None
 
 
+def digest(value: Column) -> Column:
+    """SHA-256 in 32 bytes: no two different texts are known to share one."""
+    return F.unhex(F.sha2(value, 256))
+
+
 class Context:
     """Shared inputs of one detector run; shared passes are computed once, on first use."""
 
@@ -185,20 +191,23 @@ class Context:
         )
         return {r.ordinal: r.asDict() for r in rows.collect()}
 
+    @cached_property
+    def injected_values(self) -> DataFrame:
+        """DET-13: the distinct values that match any family, with a digest in place of the value."""
+        plain = self.text_values(*TEXT_FAMILY).select(
+            "ordinal", "n", "first_row", digest(F.col("value")).alias("digest"), security.normalize(F.col("value")).alias("plain")
+        )
+        return materialize(where_once(plain, security.any_match(F.col("plain"))), "injected")
+
     @cached_property
     def injection_counters(self) -> dict[int, dict]:
         """DET-13 counters: families are matched once per distinct value."""
         if not self.profile.of_type(*TEXT_FAMILY):
             return {}
         n, families = F.col("n"), F.col("families")
-        plain = self.text_values(*TEXT_FAMILY).select(
-            "ordinal", "n", "first_row", security.normalize(F.col("value")).alias("plain")
-        )
         # Families are told apart only for the values that match at all.
-        matched = (
-            where_once(plain, security.any_match(F.col("plain")))
-            .withColumn("families", security.matched_families(F.col("plain")))
-            .withColumn("subtypes", security.subtypes(families))
+        matched = self.injected_values.withColumn("families", security.matched_families(F.col("plain"))).withColumn(
+            "subtypes", security.subtypes(families)
         )
         rows = matched.groupBy("ordinal").agg(
             F.sum("n").alias("rows"),
@@ -216,6 +225,13 @@ class Context:
             .collect()
         }
 
+    def injected_rows(self, columns: list[ColumnRef]) -> DataFrame:
+        """(ordinal, row_number) of the cells that hold a matching value: found by digest, so that no
+        text is matched again and none is shuffled."""
+        wanted = self.injected_values.where(F.col("ordinal").isin([c.ordinal for c in columns])).select("ordinal", "digest")
+        held = cells(self.table, columns).select("ordinal", ROW_NUMBER, digest(F.col("value")).alias("digest"))
+        return held.join(broadcast_if_small(wanted), ["ordinal", "digest"], "left_semi").select("ordinal", ROW_NUMBER)
+
     def first_rows_of(self, conditions: list[Column], limit: int = MAX_EXAMPLE_ROWS) -> list[list[int]]:
         """For each condition its first rows in row order, all from one scan (bounded examples)."""
         if not conditions:

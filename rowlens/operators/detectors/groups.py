@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowlens.functions import text
 from rowlens.operators.cells import cells
-from rowlens.operators.detectors.base import Context, Detector, Outcome
+from rowlens.operators.detectors.base import Context, Detector, Outcome, digest
 from rowlens.operators.joins import skew_safe_join
 from rowlens.operators.profile import TEXT_FAMILY
 from rowlens.operators.table import ColumnRef
@@ -22,11 +22,6 @@ VARIANTS_SHOWN = 10
 VARIANT_DISPLAY = 60
 
 
-def digest(value: Column) -> Column:
-    """SHA-256 in 32 bytes: no two different texts are known to share one."""
-    return F.unhex(F.sha2(value, 256))
-
-
 def spelling_groups(
     vf: DataFrame, key: Column, spelling: Column, keep: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:

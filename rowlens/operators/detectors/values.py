@@ -19,6 +19,7 @@ from rowlens.operators.detectors.base import (
     percent,
 )
 from rowlens.operators.profile import FENCE_MULTIPLIER, TEXT_FAMILY
+from rowlens.sources.rownum import ROW_NUMBER
 
 # Thresholds and name markers.
 MISSING_RATIO = 0.01
@@ -302,6 +303,7 @@ def _outliers(ctx: Context, _: dict) -> Outcome:
 
 def _injection(ctx: Context, _: dict) -> Outcome:
     out = Outcome()
+    keys: dict[int, str] = {}
     for ref, _p in ctx.profile.of_type(*TEXT_FAMILY):
         c = ctx.shared("injection_counters").get(ref.ordinal)
         if not c:
@@ -310,9 +312,7 @@ def _injection(ctx: Context, _: dict) -> Outcome:
         present = [s for s in security.SUBTYPES if c[f"s_{s}"]]
         heightened = any(f in security.HEIGHTENED for f in families)
         high, low = ("critical", "medium") if ctx.samples_sent else ("high", "low")
-        plain = f"_plain_{ref.ordinal}"
-        out.prepared.append(security.normalize(ctx.table.text(ref)).alias(plain))
-        out.add(
+        keys[ref.ordinal] = out.add(
             INJECTION,
             [ref],
             severity=high if heightened else low,
@@ -329,8 +329,11 @@ def _injection(ctx: Context, _: dict) -> Outcome:
                 "risk_subtypes": present,
                 "subtype_row_counts": {s: c[f"s_{s}"] for s in present},
             },
-            flag=security.any_match(F.col(plain)),
         )
+    if keys:
+        key = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+        found = ctx.injected_rows([ref for ref in ctx.table.columns if ref.ordinal in keys])
+        out.row_frames.append(found.select(key[F.col("ordinal")].alias("finding_key"), ROW_NUMBER))
     return out
 
 

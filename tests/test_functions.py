@@ -1,5 +1,6 @@
 import math
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,14 @@ def test_runs_of_white_space_become_one_blank(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.collapse_spaces(F.col("t")).alias("got"))
     for r in df.collect():
         assert r.got == (None if r.t is None else re.sub(f"[{text.WHITESPACE}]+", " ", r.t))
+
+
+def test_texts_that_folding_leaves_alone(spark):
+    every = [chr(c) for c in range(0x3100)]
+    df = spark.createDataFrame([(x,) for x in every], "t string")
+    stable = {r.t for r in df.where(F.col("t").rlike(security._STABLE)).collect()}
+    assert all(unicodedata.normalize("NFKC", x) == x and unicodedata.category(x) != "Cf" for x in stable)
+    marks = {*"¡¢£¤¥¦§©«¬®°±¶·»¿", *map(chr, [*range(0x2012, 0x2017), *range(0x2018, 0x2024)])}
+    assert stable == {*map(chr, range(0x80)), *map(chr, range(0xC0, 0x100)), *marks}
+    longer = df.where(F.concat(F.lit("a—é"), "t", F.lit("z")).rlike(security._STABLE)).count()
+    assert longer == len(stable)
