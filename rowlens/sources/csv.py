@@ -160,7 +160,9 @@ def records(lines: DataFrame) -> DataFrame:
         return indexed(marked)
     joined = broadcast_if_small(joined)
     plain = indexed(marked.join(joined, "file", "left_anti"))
-    return plain.unionByName(_joined_records(marked.join(joined, "file", "left_semi")))
+    # counts, headers and rows are read from them: put together once, as every line is shuffled for it
+    whole = materialize(_joined_records(marked.join(joined, "file", "left_semi")), "csv-whole-records")
+    return plain.unionByName(whole)
 
 
 def _joined_records(marked: DataFrame) -> DataFrame:

@@ -32,5 +32,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and return a DataFrame that reads the written table."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # texts take a third less room than by the default codec
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -176,3 +176,13 @@ def test_tree_fingerprint_in_levels(spark, tmp_path, monkeypatch):
         return level[0], len(found)
 
     assert got == {"a.txt": tree(lines), "b.txt": tree(lines[::-1])}
+
+
+def test_joined_records_are_put_together_once(spark, tmp_path):
+    path = write(tmp_path, a='id,text\n1,"x\ny"\n2,"p\n""q""\n"\n', b='id,text\n3,z\n')
+    lines = csv.read_lines(spark, path).withColumn("delimiter", F.lit(","))
+    found = csv.records(lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan
+    got = {(r.file[-5:], r["index"], r.line) for r in found.collect()}
+    assert got == {("a.csv", 0, "id,text"), ("a.csv", 1, '1,"x\ny"'), ("a.csv", 2, '2,"p\n""q""\n"'), ("b.csv", 0, "id,text"), ("b.csv", 1, "3,z")}
