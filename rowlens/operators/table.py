@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.functions import text
-from rowlens.sources.rownum import ROW_NUMBER, number_file_rows, number_rows, spread
+from rowlens.sources.rownum import ROW_NUMBER, is_small, number_file_rows, number_rows, spread
+from rowlens.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,19 @@ def _kind(data_type: T.DataType) -> str:
     return "skip"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A small scan is spread over all cores and, as every operator reads the table anew, written once.
+
+    Types and names that a written table cannot have are spread anew by each reader.
+    """
+    if not is_small(df):
+        return df
+    names = {f.name.lower() for f in df.schema.fields}
+    if len(names) < len(df.columns) or any(_kind(f.dataType) == "skip" for f in df.schema.fields):
+        return spread(df, True)
+    return materialize(spread(df, True), "table")
+
+
 class Table:
     """A DataFrame with a `row_number` column and the references of its data columns."""
 
@@ -98,9 +112,9 @@ class Table:
             for i, (f, (name, key, _)) in enumerate(zip(fields, name_columns(header), strict=True))
         ]
         if row_number is not None:
-            df = spread(df.withColumn(ROW_NUMBER, row_number.cast("long")))
+            df = _kept(df.withColumn(ROW_NUMBER, row_number.cast("long")))
         elif ROW_NUMBER in df.columns:
-            df = spread(df)
+            df = _kept(df)
         else:
             df = number_rows(df, order_by) if order_by else number_file_rows(df)
         return cls(df, columns, facts)
