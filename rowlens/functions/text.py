@@ -190,7 +190,7 @@ def name_key(c: Column) -> Column:
 
 def has_email_shape(c: Column) -> Column:
     """FN-10: local@domain.tld."""
-    return c.rlike(EMAIL_PATTERN)
+    return c.contains("@") & c.rlike(EMAIL_PATTERN)
 
 
 def compare(left: Column, operator: str, right: Column) -> Column:

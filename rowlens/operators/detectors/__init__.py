@@ -125,7 +125,7 @@ class Detection:
 
     @cached_property
     def finding_rows(self) -> DataFrame:
-        """(finding_key, row_number): one scan for every predicate, plus the grouped ones."""
+        """(finding_key, row_number): one scan for every predicate, plus the grouped ones; written once."""
         frames = list(self._all("row_frames"))
         flags = self._all("flags")
         if flags:
@@ -138,7 +138,7 @@ class Detection:
             )
         if not frames:
             return self.spark.createDataFrame([], f"finding_key string, {ROW_NUMBER} bigint")
-        return reduce(DataFrame.unionByName, frames)
+        return materialize(reduce(DataFrame.unionByName, frames), "finding-rows")
 
     @cached_property
     def finding_values(self) -> DataFrame:

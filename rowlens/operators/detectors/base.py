@@ -164,15 +164,20 @@ class Context:
         vocabulary = token.isin(*text.BOOLEAN_FAMILIES)
         family = F.create_map(*[F.lit(x) for kv in text.BOOLEAN_FAMILIES.items() for x in kv])
         vocabulary = F.coalesce(vocabulary, F.lit(False))
-        email = text.has_email_shape(value)
-        number = text.is_decorated_or_plain_number(value)
-        kinds = text.number_decorations(value)
-        decorated = F.coalesce(F.size(kinds) > 0, F.lit(False))
+        kinds = F.col("kinds")
 
         def total(condition: Column) -> Column:
             return F.sum(F.when(solid & condition, n).otherwise(0))
 
         stripped = self.text_values(*types).select("ordinal", text.strip(value).alias("value"), "n")
+        # each value is read as a number and as an address once, however many counters ask for it
+        stripped = stripped.select(
+            "*",
+            text.has_email_shape(value).alias("email"),
+            text.is_decorated_or_plain_number(value).alias("number"),
+            text.number_decorations(value).alias("kinds"),
+        )
+        decorated = F.coalesce(F.size(kinds) > 0, F.lit(False))
         rows = stripped.groupBy("ordinal").agg(
             F.sum(F.when(solid, n).otherwise(0)).alias("checked"),
             F.bool_and(~solid | vocabulary).alias("all_boolean"),
@@ -181,8 +186,8 @@ class Context:
                 "families"
             ),
             F.collect_set(F.when(solid & vocabulary, value)).alias("spellings"),
-            total(~email).alias("not_email"),
-            total(number).alias("numeric_like"),
+            total(~F.col("email")).alias("not_email"),
+            total(F.col("number")).alias("numeric_like"),
             total(decorated).alias("decorated"),
             *[
                 total(F.coalesce(F.array_contains(kinds, k), F.lit(False))).alias(f"d_{i}")
