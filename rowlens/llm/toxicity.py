@@ -2,12 +2,17 @@
 
 A text is reduced to counts: words of three lexicons, the densest stretch of them, lexicon words
 close to a second person, capitals, marks, and lexicon words in disguise (signs for letters,
-stretched letters, letters set apart). The trees only see rates of these counts, so they can learn
-neither a language nor a source by its vocabulary. Trees are fitted on three quarters of the
+stretched letters, letters set apart). Fixed lexicons miss what they do not list, so the labels add
+words: a word weighs the log odds of label 1 of the texts it is in, less `ERRORS` standard errors,
+and counts where that is above zero in `LEAST_ROWS` texts or more. A training row is fitted with
+weights from the half of the training rows that it is not in, so that no row meets its own label;
+every row is scored with the weights of all. The trees see rates of the counts and the strongest
+weights of a text, not the words. Trees are fitted on three quarters of the
 training rows; on the other quarter isotonic regression turns their margin into a probability. Where a class has
 fewer than `MIN_ROWS` rows on either side, both are fitted on all training rows.
 
-The counts are written once and both fits read them. `SAMPLE_ROWS` bounds the labelled rows that
+Words are weighed over all labelled training rows; at most `MOST_WORDS`, the heaviest, are broadcast. The
+counts and words of labelled training rows are written once and both fits read them. `SAMPLE_ROWS` bounds the labelled rows that
 are fitted, chosen by a hash of the id; every row is scored. The calibration reads one row per
 margin, rounded to `MARGIN_STEP`.
 
@@ -57,6 +62,9 @@ NEAR_WORDS, PEAK_WORDS, SPELLED_LETTERS = 5, 30, 4
 SAMPLE_ROWS, MIN_ROWS, NODE_ROWS = 200_000, 10, 10
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 7
 MARGIN_STEP, RAW_SHARE = 0.01, 0.01
+LEAST_ROWS, ERRORS, MOST_WORDS, TOP = 3, 1.0, 100_000, 3
+BROADCAST_KEYS = 2_000_000  # labels, 16 bytes each
+WEIGHTS = ("weight", "other_0", "other_1")  # of all training rows, and for rows of half 0 and 1
 
 _B = np.arange(256)
 _UPPER = (_B >= 0x41) & (_B <= 0x5A)
@@ -148,8 +156,12 @@ def _spelled(low: w.Block, found: w.Spans) -> np.ndarray:
 
 def measure(block: w.Block) -> dict[str, np.ndarray]:
     """The counts of each text of a block."""
-    low, n = block.lowered(), block.rows
-    found, hashes = _words_and_hashes(low)
+    low = block.lowered()
+    return _measured(block, low, *_words_and_hashes(low))
+
+
+def _measured(block: w.Block, low: w.Block, found: w.Spans, hashes: np.ndarray) -> dict[str, np.ndarray]:
+    n = block.rows
     per_text = lambda mask: np.bincount(found.rows[mask], minlength=n)
     is_a = {k: _among(hashes, _TABLES[k]) for k in ("insults", "profane", "threats", "you", "offensive")}
 
@@ -179,15 +191,115 @@ def measure(block: w.Block) -> dict[str, np.ndarray]:
     }
 
 
-def text_counts(text: Column) -> Column:
-    """Struct of counts of a text column."""
+def word_sets(found: w.Spans, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each text as signed hashes, and where each text's begin (with the end)."""
+    order = np.lexsort((hashes, found.rows))
+    values, rows = hashes[order], found.rows[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+    return values[new].view(np.int64), np.searchsorted(rows[new], np.arange(n + 1))
+
+
+def strengths(words: np.ndarray, first: np.ndarray, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per text: the heaviest word, the sum of the `TOP` heaviest, how many words weigh, and their share."""
+    n = len(first) - 1
+    out = np.zeros((n, 4))
+    if not len(words) or not len(known):
+        return out
+    rows = np.repeat(np.arange(n), np.diff(first))
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    weight = np.where(known[at] == words, weights[at], 0.0)
+    hits = np.flatnonzero(weight > 0)
+    hits = hits[np.lexsort((-weight[hits], rows[hits]))]
+    rows, weight = rows[hits], weight[hits]
+    begin = np.searchsorted(rows, np.arange(n + 1))
+    place = np.arange(len(rows)) - begin[rows]
+    for column, most in ((0, 1), (1, TOP)):
+        out[:, column] = np.bincount(rows[place < most], weight[place < most], minlength=n)
+    out[:, 2] = np.diff(begin)
+    out[:, 3] = out[:, 2] / np.maximum(np.diff(first), 1)
+    return out
+
+
+_KIND = ", ".join(f"{c}: bigint" for c in COUNTS)
+
+
+def _texts(texts: pa.Array) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """The counts of texts, their words, and where each text's begin."""
+    parts, words, sizes = [], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+    for block in w.blocks(texts):
+        low = block.lowered()
+        found, hashes = _words_and_hashes(low)
+        parts.append(_measured(block, low, found, hashes))
+        values, first = word_sets(found, hashes, block.rows)
+        words.append(values)
+        sizes.append(np.diff(first))
+    columns = [np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64) for c in COUNTS]
+    return [pa.array(c) for c in columns], np.concatenate(words), np.cumsum(np.concatenate(sizes))
+
+
+def text_words(text: Column) -> Column:
+    """Struct of counts of a text column and its distinct words."""
+
+    def counts(texts: pa.Array) -> pa.Array:
+        columns, words, first = _texts(texts)
+        sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words))
+        return pa.StructArray.from_arrays([*columns, sets], [*COUNTS, "words"])
+
+    return arrow_udf(counts, f"struct<{_KIND}, words: array<bigint>>")(text)
+
+
+class Lexicon:
+    """Words that speak for label 1: sorted hashes and, by name, their weights."""
+
+    def __init__(self, taught: DataFrame, words: str = "_toxic_counts.words"):
+        """`taught`: rows with `_half` (0 or 1), `_y` and words."""
+        n = {(r["_half"], r["_y"]): r["n"] for r in taught.groupBy("_half", "_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        cell = lambda h, y: F.sum(((F.col("_half") == h) & (F.col("_y") == y)).cast("bigint")).alias(f"n{h}{y}")
+        counted = taught.select("_half", "_y", F.explode(words).alias("word")).groupBy("word").agg(*[cell(h, y) for h in (0, 1) for y in (0, 1)])
+
+        def weight(*halves: int) -> Column:
+            ones, zeros = (sum((F.col(f"n{h}{y}") for h in halves), F.lit(0.0)) for y in (1, 0))
+            n1, n0 = (sum(n.get((h, y), 0) for h in halves) for y in (1, 0))
+            odds = F.log((ones + 0.5) / (n1 + 1.0)) - F.log((zeros + 0.5) / (n0 + 1.0))
+            sure = odds - ERRORS * F.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
+            return F.when(ones >= LEAST_ROWS, F.greatest(sure, F.lit(0.0))).otherwise(0.0)
+
+        weighed = counted.select("word", weight(0, 1).alias("weight"), weight(1).alias("other_0"), weight(0).alias("other_1"))
+        heavy = weighed.withColumn("_most", F.greatest(*WEIGHTS)).where("_most > 0").orderBy(F.desc("_most"), "word").limit(MOST_WORDS)
+        rows = sorted(heavy.select("word", *WEIGHTS).collect())
+        self.words = np.array([r[0] for r in rows], np.int64)
+        self.weights = {c: np.array([r[i + 1] for r in rows], np.float64) for i, c in enumerate(WEIGHTS)}
+
+    def strengths(self, words: np.ndarray, first: np.ndarray, weights: str) -> np.ndarray:
+        return strengths(words, first, self.words, self.weights[weights])
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+
+def text_strengths(text: Column, lexicon) -> Column:
+    """Struct of counts of a text column and the strengths of its words; `lexicon` is a broadcast one."""
 
     def counts(texts: pa.Array) -> pa.Array:
-        parts = [measure(b) for b in w.blocks(texts)]
-        columns = [np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64) for c in COUNTS]
-        return pa.StructArray.from_arrays([pa.array(c) for c in columns], list(COUNTS))
+        columns, words, first = _texts(texts)
+        return pa.StructArray.from_arrays([*columns, _lists(lexicon.value.strengths(words, first, "weight"))], [*COUNTS, "strengths"])
+
+    return arrow_udf(counts, f"struct<{_KIND}, strengths: array<double>>")(text)
+
+
+def other_strengths(words: str, half: str, lexicon) -> Column:
+    """Strengths of word arrays by the weights of the half of the training rows that a row is not in."""
 
-    return arrow_udf(counts, "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">")(text)
+    def weigh(sets: pa.Array, halves: pa.Array) -> pa.Array:
+        flat, mine = np.asarray(sets.flatten()), np.asarray(halves)
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.asarray(sets.value_lengths(), np.int64))))
+        both = [lexicon.value.strengths(flat, first, c) for c in WEIGHTS[1:]]
+        return _lists(np.where((mine == 0)[:, None], *both))
+
+    return arrow_udf(weigh, "array<double>")(F.col(words), F.col(half))
 
 
 def features(counts: str) -> Column:
@@ -203,12 +315,6 @@ def features(counts: str) -> Column:
     )
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `_toxic_x`."""
-    counted = docs.withColumn("_toxic_counts", text_counts(F.col(text)))
-    return counted.withColumn("_toxic_x", features("_toxic_counts")).drop("_toxic_counts")
-
-
 class Model:
     """Trees and calibration, or one share where a class has too few rows."""
 
@@ -259,6 +365,15 @@ def fit(labelled: DataFrame, key: str, label: str, x: str = "_toxic_x", sample_r
 
 def scored(docs: DataFrame, labels: DataFrame, key: str, label: str, teaches: Column) -> DataFrame:
     """`docs` (key, text, ...) with `_toxic_score`; rows with `teaches` learn from `labels` (key, label)."""
-    known = materialize(with_features(docs.withColumn("_toxic_teaches", F.coalesce(teaches, F.lit(False)))).drop("text"), "toxic-features")
-    taught = known.where("_toxic_teaches").select(key, "_toxic_x").join(labels.select(key, label), key)
-    return fit(taught, key, label).score(known).drop("_toxic_teaches")
+    marks = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
+    if marks.count() <= BROADCAST_KEYS:
+        marks = F.broadcast(marks)
+    half = F.pmod(F.shiftright(F.xxhash64(F.lit(SEED), key), 36), F.lit(2)).cast("int")
+    own = docs.where(F.coalesce(teaches, F.lit(False))).select(key, "text").join(marks, key)
+    taught = materialize(own.select(key, "_y", half.alias("_half"), text_words(F.col("text")).alias("_toxic_counts")), "toxic-words")
+    lexicon = docs.sparkSession.sparkContext.broadcast(Lexicon(taught))
+    others = other_strengths("_toxic_counts.words", "_half", lexicon)
+    model = fit(taught.select(key, "_y", F.concat(features("_toxic_counts"), others).alias("_toxic_x")), key, "_y")
+    known = docs.withColumn("_toxic_counts", text_strengths(F.col("text"), lexicon))
+    known = known.withColumn("_toxic_x", F.concat(features("_toxic_counts"), F.col("_toxic_counts.strengths")))
+    return model.score(materialize(known.drop("text", "_toxic_counts"), "toxic-features"))

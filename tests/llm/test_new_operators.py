@@ -170,6 +170,22 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), labels, "doc_id", "toxic", F.lit(True)).count() == 0
 
 
+def test_toxic_words_come_from_the_labels(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    slurs = ["zorglak", "quimbert", "vöxnard", "plundrisk"]  # in no list
+    texts = [" ".join(rng.choices(plain, k=25) + rng.sample(slurs, 2) * (i % 4 == 0)) for i in range(600)]
+    docs = table(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600) if i % 5], "doc_id bigint, toxic int")
+    held_out = {r.doc_id: r._toxic_score for r in toxicity.scored(docs, labels, "doc_id", "toxic", F.col("doc_id") % 5 != 0).collect() if r.doc_id % 5 == 0}
+    assert len(held_out) == 120 and all((x >= 0.5) == (i % 4 == 0) for i, x in held_out.items())
+    # heaviest word, sum of the heaviest, words that weigh, their share
+    known, weights = np.array([1, 5, 9]), np.array([1.0, 0.0, 3.0])
+    got = toxicity.strengths(np.array([1, 5, 9, 7, 9]), np.array([0, 3, 3, 5]), known, weights)
+    assert got.tolist() == [[3.0, 4.0, 2.0, 2 / 3], [0.0] * 4, [3.0, 3.0, 1.0, 0.5]]
+    assert not toxicity.strengths(np.array([1]), np.array([0, 1]), known[:0], weights[:0]).any()
+
+
 # --- 13 ------------------------------------------------------------------------------------------
 
 
