@@ -31,6 +31,7 @@ from rowlens.sources.scratch import materialize
 
 MIN_LINES, MIN_CHARS = 2, 40
 BROADCAST_KEYS = 2_000_000
+BROADCAST_BYTES = 32 << 20
 _PLACE = ("doc_id", "_kid", "i")
 
 
@@ -203,6 +204,10 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHAR
         F.col("doc_id").alias("_d"), F.col("_kid").alias("_k"), F.col("gone").alias("_gone"), F.col("copied_depth").alias("_copied_depth"),
         F.col("runs").alias("_runs"),
     )
+    # about the bytes of a row: key, line numbers, runs
+    row_bytes = 64 + 4 * F.size("gone") + 48 * F.size("runs")
+    if (gone.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES:  # else the texts are dealt to them
+        right = F.broadcast(right)
     same = (F.col("_kid") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     touched = keyed.join(few, "_kid", "left_semi").join(right, same, "left").drop("_d", "_k")
     touched = touched.withColumn(

@@ -241,15 +241,22 @@ def classes_linked(classes: DataFrame, texts: DataFrame, size: int, percent: int
     spark = classes.sparkSession
     state = _State(spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "cls bigint, comp bigint"))
 
-    def verify(pairs: DataFrame) -> None:
-        """Links the pairs that overlap enough, and joins their components."""
-        linked = _linked(pairs.join(shown.toDF("a", "ea"), "a").join(shown.toDF("b", "eb"), "b"), percent)
+    def verify(pairs: DataFrame, few: bool = True) -> None:
+        """Links the pairs that overlap enough, and joins their components; where `few` classes are
+        in the pairs, the sets of the others are not dealt."""
+        asked = shown
+        if few and shown is sets:
+            pairs = materialize(pairs, "near-pairs")
+            ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+            ids = materialize(ids, "near-asked")
+            asked = sets.join(F.broadcast(ids), "cls", "left_semi") if ids.count() <= BROADCAST_KEYS else sets
+        linked = _linked(pairs.join(asked.toDF("a", "ea"), "a").join(asked.toDF("b", "eb"), "b"), percent)
         linked = materialize(linked, "near-links")
         if not linked.isEmpty():
             state.join(linked)
 
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    verify(members.where((F.col("cls") != F.col("hub.cls")) & fits).select(*_pair("cls", "hub.cls")).distinct())
+    verify(members.where((F.col("cls") != F.col("hub.cls")) & fits).select(*_pair("cls", "hub.cls")).distinct(), few=False)
     # a bucket of two is settled; in others the members that were not the hub are left
     open_ = members.where((F.col("size") > 2) & (F.col("cls") != F.col("hub.cls"))).select("key", "cls", "n")
     pairs, open_ = _second_hubs(open_, state.comps, percent)

@@ -78,6 +78,24 @@ def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_few_removals_do_not_deal_the_texts(spark, monkeypatch):
+    line = "a line of more than forty characters, which stands in many texts"
+    rows = [(i, f"own {i}\n{line}\n{line if i % 3 else 'end'}") for i in range(60)] + [(None, line), (70, None), (71, "alone")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = line_dedup.dedup(df)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+        dealt = line_dedup.dedup(df)
+        assert "SortMergeJoin" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(few.collect(), key=str) == sorted(dealt.collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_ranks_are_a_suffix_array(spark):
     text = "b\na\nb\na\nb\nc\na\nb\na\nb"
     keyed = line_dedup.with_key(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))

@@ -87,6 +87,25 @@ def test_groups_without_broadcasts(spark, monkeypatch, way):
     assert sorted(rows) == sorted(brute(docs, 2, 80))
 
 
+@pytest.mark.parametrize("keys", [1000, 0])
+def test_later_rounds_deal_asked_sets_only(spark, monkeypatch, keys):
+    monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)
+    docs = drifting(3, 150, 25) + [(1000 + 2 * i + j, " ".join(f"q{i}x{k}" for k in range(30)) + " end" * j) for i in range(100) for j in (0, 1)]
+    counts, write = {}, near_dup.materialize
+
+    def noted(df, label):
+        out = write(df, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", noted)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dup, "BROADCAST_KEYS", keys)
+    rows = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.groups(df, size=2, percent=80).collect()]
+    assert sorted(rows) == sorted(brute(docs, 2, 80))
+    assert counts["near-asked"] and all(n <= counts["near-sets"][0] - 200 for n in counts["near-asked"])
+
+
 def test_registers_of_chunks(monkeypatch):
     rnd = np.random.default_rng(1)
     sizes = [0, 1, 5, 300, 0, 4000]

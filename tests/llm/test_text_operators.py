@@ -133,6 +133,20 @@ def test_no_constant_gives_the_verdicts_of_the_fences(spark, monkeypatch):
         assert sum(own[k] != v for k, v in other.items()) > 50
 
 
+def test_quality_rules_write_no_texts(spark, monkeypatch):
+    plain = "Some words that nobody would mind reading in a row of twenty or more words, number {} of them here today and tomorrow."
+    rows = [(i, plain.format(i).replace(" ", " | " if i % 50 == 0 else " "), "en", f"s{i % 3}") for i in range(900)]
+    df = spark.createDataFrame(rows + [(1000, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    written, write = [], quality_rules.materialize
+    monkeypatch.setattr(quality_rules, "materialize", lambda df, label: (written.extend(df.columns), write(df, label))[1])
+    own = quality_rules.judge(df)
+    assert written and not {"text", "_q_counts"} & set(written)
+    plan = own.where("_q_kept")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", -1)  # texts are dealt by group
+    assert sorted(quality_rules.judge(df).collect(), key=str) == sorted(own.collect(), key=str)
+
+
 def test_quality_rules_of_odd_rows(spark):
     rows = [(1, None, None, None, 1), (None, "", "en", None, 2), (2, "word " * 30, None, "s", 3), (2, "word " * 30, None, "s", 3), (3, "x" * 9000, "en", "s", 4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, _q_counts int")
