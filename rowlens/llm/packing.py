@@ -222,15 +222,15 @@ RANGE_BYTES = 64 << 20  # of ids in one range of the curve; the driver keeps one
 
 def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of `docs` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
-    kind = np.uint16 if Tokenizer.from_str(tokenizer_json).get_vocab_size() <= 1 << 16 else np.uint32
     path = scratch_path(spark, "packing-tokens")
     written = tokenized(docs, tokenizer_json, end_id)
     written.write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(written.schema).parquet(path)
 
+    # the driver does not load the vocabulary: a row, which has an id at least, tells the bytes of an id
+    row = tokens.select("n_tokens", F.octet_length("ids").alias("bytes")).first()
+    kind = np.uint16 if row is None or row["bytes"] == 2 * row["n_tokens"] else np.uint32
     written_bytes = (tokens.agg(F.sum("n_tokens")).first()[0] or 0) * kind().itemsize
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written_bytes // RANGE_BYTES))
     shares = [i / n for i in range(1, n)] or [0.5]

@@ -133,3 +133,25 @@ def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 99), (101, 100), (99, 101), (7, 7)] + [(1000 + i, 1000) for i in range(50)]
     got = {r.u: r.v for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100: 99, 101: 99} | {1000 + i: 1000 for i in range(1, 50)}
+
+
+@pytest.mark.parametrize("links", [0, 100_000])
+def test_components_end_with_stars(spark, monkeypatch, links):
+    """No round more is run to see that nothing changes, and stars need none at all."""
+    from rowlens.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "BROADCAST_LINKS", links)
+    monkeypatch.setattr(module, "materialize", lambda df, label, f=module.materialize: (written.append(label), f(df, label))[1])
+
+    def found(edges):
+        written.clear()
+        return sorted(tuple(r) for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
+
+    assert found([(0, i) for i in range(1, 30)] + [(50, 51), (51, 50), (7, 7)]) == [*((i, 0) for i in range(1, 30)), (51, 50)]
+    assert len(written) == 1
+    # the larger neighbour of two is joined to both: one round makes the star
+    assert found([(9, 1), (9, 5)]) == [(5, 1), (9, 1)]
+    assert len(written) == 2
+    assert found([]) == []
+    assert found([(i, i + 1) for i in range(40)]) == [(i, 0) for i in range(1, 41)]

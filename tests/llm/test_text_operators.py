@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -297,6 +298,13 @@ def test_packing_round_trip(spark, texts):
     assert packing.pack(df.where("false"), source).count() == 0
 
 
+def test_packing_loads_no_vocabulary_on_the_driver(spark, texts, monkeypatch):
+    source = queries.tokenizer_json()
+    docs = table(spark, texts[:40])
+    monkeypatch.setitem(sys.modules, "tokenizers", None)  # of this process; workers have their own
+    assert packing.pack(docs, source).agg(F.countDistinct("doc_id")).first()[0] == 40
+
+
 def test_hilbert_neighbours():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
