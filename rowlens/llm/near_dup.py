@@ -39,6 +39,7 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 80
 HUBS = 1  # per bucket in the second round
+BITMAP_WORDS = 8  # of 64 bits, for a class that is compared by the prefix filter
 BROADCAST_BYTES = 16 << 20
 BROADCAST_KEYS = 2_000_000  # 8 bytes each
 _BLOCK = 1 << 17  # bytes of text whose shingles are in a worker's memory at once
@@ -299,21 +300,31 @@ def _prefix_pairs(unclear: DataFrame, sets: DataFrame, percent: int) -> DataFram
     and j leaves an overlap of at most min(n - i, m - j), which must reach p / (100 + p) of n + m.
     So it lies in the first (100 - p) / 100 of both sets and in the first (100 - p) / (100 + p) of
     one. Members of a group that differ in many places begin with shingles no one else has.
+
+    A pair that meets must also pass by its bitmaps: each shingle flips one bit, so two bitmaps differ
+    in no more bits than the sets have shingles that only one of them holds, which are at most
+    (100 - p) / (100 + p) of n + m. Copies that share frequent shingles only seldom pass.
     """
     who = _small(unclear, 32)
     tokens = materialize(_exploded(sets.join(who.select("cls"), "cls")), "near-tokens")
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
     place = F.row_number().over(Window.partitionBy("cls").orderBy("frequency", "token")) - 1
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(token, 32) & 63 as int))")
+    word = F.pmod("token", F.lit(BITMAP_WORDS))
+    bitmap = [F.bit_xor(F.when(word == k, bit).otherwise(0)).over(Window.partitionBy("cls")) for k in range(BITMAP_WORDS)]
     entries = (
-        tokens.join(frequency, "token").withColumn("i", place).where("frequency > 1").join(who, "cls")
+        tokens.join(frequency, "token").withColumns({"i": place} | {f"b{k}": x for k, x in enumerate(bitmap)})
+        .where("frequency > 1").join(who, "cls")
         .where(100 * F.col("i") <= (100 - percent) * F.col("n"))
-        .select("token", "cls", "n", "comp", "i")
+        .select("token", "cls", "n", "comp", "i", *[f"b{k}" for k in range(BITMAP_WORDS)])
     )
     entries = materialize(entries, "near-entries")
     early = entries.where((100 + percent) * F.col("i") <= (100 - percent) * F.col("n"))
-    other = entries.toDF("token", "cls2", "n2", "comp2", "i2")
+    other = entries.toDF("token", "cls2", "n2", "comp2", "i2", *[f"c{k}" for k in range(BITMAP_WORDS)])
     reach = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    joined = early.join(other, (early["token"] == other["token"]) & (F.col("comp") != F.col("comp2")) & reach)
+    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(1, BITMAP_WORDS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n2"))
+    joined = early.join(other, (early["token"] == other["token"]) & (F.col("comp") != F.col("comp2")) & reach & near)
     return joined.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 

@@ -155,3 +155,21 @@ def test_components_end_with_stars(spark, monkeypatch, links):
     assert len(written) == 2
     assert found([]) == []
     assert found([(i, i + 1) for i in range(40)]) == [(i, 0) for i in range(1, 41)]
+
+
+def test_prefix_filter_joins_few_pairs_of_a_drifted_group(spark, monkeypatch):
+    """Texts that only share the frequent half of their shingles are not paired, links are."""
+    sets = []
+    for c in range(1, 61):
+        shingles = {*range(10_000, 10_060), *((c * 7 + j * j * 13) % 40 for j in range(40))}
+        sets.append((c, near_dup.w.mix(np.array(sorted(shingles), np.uint64)).view(np.int64).tolist()))
+    df = spark.createDataFrame(sets, "cls bigint, elements array<bigint>")
+    unclear = spark.createDataFrame([(c, len(s), c) for c, s in sets], "cls bigint, n bigint, comp bigint")
+    pairs = {(r.a, r.b) for r in near_dup._prefix_pairs(unclear, df, 90).collect()}
+    links = {
+        (a, b) for a, x in sets for b, y in sets
+        if a < b and 100 * len(set(x) & set(y)) >= 90 * len(set(x) | set(y))
+    }
+    monkeypatch.setattr(near_dup.F, "bit_count", lambda column: near_dup.F.lit(0))
+    loose = near_dup._prefix_pairs(unclear, df, 90).count()
+    assert links and links <= pairs and 2 * len(pairs) < loose
