@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.operators.table import Table
-from rowlens.sources.rownum import ROW_NUMBER
+from rowlens.sources.rownum import MAX_BROADCAST_ROWS, ROW_NUMBER
 
 # Bounds of one window.
 MAX_SIDE = 25
@@ -27,6 +27,7 @@ def row_windows(
 
     `anchors(anchor_row)`; `marked(row_number)` are the affected rows. An anchor asks for at
     most 51 row numbers, so the lookup is an equi-join on a unique key, never a range join.
+    The table itself is never broadcast: it is scanned where few rows are asked for, else merged.
     """
     rows = table.row_count
     wanted_before = min(max(before, 0), MAX_SIDE)
@@ -47,7 +48,7 @@ def row_windows(
     cost = sum(
         (F.coalesce(F.length(table.text(c)), F.lit(0)) for c in table.active), F.lit(len(fields))
     )
-    window = asked.join(table.df.withColumn("_cost", cost.cast("bigint")), ROW_NUMBER)
+    window = _counted(asked).join(table.df.withColumn("_cost", cost.cast("bigint")), ROW_NUMBER)
     fits = fit_windows(window.select("anchor_row", ROW_NUMBER, "_cost"), max_characters)
     kept = window.join(fits, "anchor_row").where(
         F.col(ROW_NUMBER).between(
@@ -56,7 +57,7 @@ def row_windows(
     )
     if marked is not None:
         kept = kept.join(
-            marked.select(ROW_NUMBER, F.lit(True).alias("_marked")).distinct(), ROW_NUMBER, "left"
+            _counted(marked.select(ROW_NUMBER, F.lit(True).alias("_marked")).distinct()), ROW_NUMBER, "left"
         )
     else:
         kept = kept.withColumn("_marked", F.lit(False))
@@ -72,6 +73,16 @@ def row_windows(
     )
 
 
+def _counted(side: DataFrame) -> DataFrame:
+    """Broadcast a side of short rows only after counting it, else have the join sort and merge.
+
+    Left alone, Spark judges both sides by the bytes of their files. Row numbers and repeated values
+    take next to none there, so a table of millions of rows would be built up whole on the driver.
+    """
+    few = side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return F.broadcast(side) if few else side.hint("merge")
+
+
 def fit_windows(costs: DataFrame, budget: int = MAX_CHARACTERS) -> DataFrame:
     """WIN-04: how far each window may reach within a character budget.
 

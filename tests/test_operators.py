@@ -17,6 +17,7 @@ from rowlens.operators.joins import skew_safe_join
 from rowlens.operators.profile import compute_profile
 from rowlens.operators.quantiles import exact_percentiles
 from rowlens.operators.rules import Rule
+from rowlens.operators.table import Table
 from rowlens.sources import csv, demo, grid
 from rowlens.sources.headers import normalize_headers
 
@@ -197,6 +198,35 @@ def test_window_fit_against_brute_force(spark):
         assert got[a] == tuple(taken)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 100])
+def test_windows_never_broadcast_the_table(spark, tmp_path, monkeypatch, most):
+    """Files under Spark's limit for broadcasts, rows far above what a broadcast may take here; many
+    anchors, repeated, null and out of range, are merged with the table instead."""
+    size = 300_000
+    values = F.when(F.col("id") % 7 != 0, F.concat(F.lit("v"), F.col("id") % 5))
+    spark.range(size).select(F.col("id").alias("row_number"), values.alias("c")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < 10 << 20
+    anchors = [0, 1, 1, *range(500, 600, 3), size - 1, size, -1, None]
+    affected = [1, 1, 501, 700, None]
+    monkeypatch.setattr(win, "MAX_BROADCAST_ROWS", most, raising=False)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "5m")
+    try:
+        got = win.row_windows(
+            Table.from_dataframe(spark.read.parquet(str(tmp_path / "t"))),
+            spark.createDataFrame([(a,) for a in anchors], "anchor_row bigint"),
+            spark.createDataFrame([(a,) for a in affected], "row_number bigint"),
+            before=2, after=3,
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    want = [
+        (a, r, a == r, r in affected, a < 2, a + 3 >= size, False, f"v{r % 5}" if r % 7 else None)
+        for a in {a for a in anchors if a is not None and 0 <= a < size}
+        for r in range(max(a - 2, 0), min(a + 3, size - 1) + 1)
+    ]
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want)
+
+
 def test_relationship_decisions(spark):
     def req(seq, transition, rid=None, expected=None, roles=True, new=None, kind="start_end_date"):
         start, end = ("s", "e") if roles else (None, None)
