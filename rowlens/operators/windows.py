@@ -48,7 +48,8 @@ def row_windows(
     cost = sum(
         (F.coalesce(F.length(table.text(c)), F.lit(0)) for c in table.active), F.lit(len(fields))
     )
-    window = _counted(asked).join(table.df.withColumn("_cost", cost.cast("bigint")), ROW_NUMBER)
+    # costs are worked out after the join, so that a merge shuffles the table once for both uses
+    window = _counted(asked).join(table.df, ROW_NUMBER).withColumn("_cost", cost.cast("bigint"))
     fits = fit_windows(window.select("anchor_row", ROW_NUMBER, "_cost"), max_characters)
     kept = window.join(fits, "anchor_row").where(
         F.col(ROW_NUMBER).between(
